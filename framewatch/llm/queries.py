@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewatch.llm import chat, media
+from framewatch.llm import chat, media, substring_dedup
 from framewatch.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,25 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SUBSTRING_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i+12], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+m AS (SELECT k, min(doc_id) AS d FROM g GROUP BY k),
+bad AS (SELECT DISTINCT doc_id, i + o AS p FROM g JOIN m USING (k), range(0, 13) t(o) WHERE m.d < g.doc_id),
+x AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
+r AS (SELECT x.doc_id, count(*) AS n, count(bad.p) AS gone, string_agg(CASE WHEN bad.p IS NULL THEN word END, ' ' ORDER BY x.p) AS kept
+      FROM x LEFT JOIN bad ON x.doc_id = bad.doc_id AND x.p = bad.p GROUP BY x.doc_id)
+SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN r USING (doc_id)
+"""
+
+
+@query("op3_substring_dedup", SUBSTRING_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every whole text, less those in 13-word windows that a document with a smaller id has too."""
+    return substring_dedup.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op9_media_columns")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text stored as PNG, read back from the stored bytes, with digests and a cosine hash."""

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewatch.llm import chat, media, substring_dedup
-from framewatch.llm.common import table
+from framewatch.llm import chat, langid, media, substring_dedup, toxicity
+from framewatch.llm.common import bucket_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -93,3 +93,20 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text stored as PNG, read back from the stored bytes, with digests and a cosine hash."""
     return media.features(media.store(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query("op1_language_id")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, learned from documents whose bucket of four is not 2."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", bucket_of("doc_id", 4) == 2)
+    langs, p = langid.fit(docs.filter("not held_out"))
+    return langid.predict(docs, langs, p, keys=("doc_id", "held_out"))
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every whole text, learned from labelled documents whose bucket of three is not 1."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", bucket_of("doc_id", 3) == 1)
+    lexicon = toxicity.fit(toxicity.labelled_sample(docs.filter("not held_out"), table(spark, sf_dir, "labels")))
+    scored = toxicity.score(docs, lexicon, ["doc_id", "held_out"])
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -80,3 +81,44 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYT
             held += n
         if len(lengths) > start:
             yield batch.slice(start)
+
+
+def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of the rows that have the same ``keys``, from batches in which such rows are neighbours."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = [batch.column(k).to_pylist() for k in keys]
+        rows = list(zip(*values))
+        begin = 0
+        for i, row in enumerate(rows):
+            if row != last:
+                if i > begin:
+                    held.append(batch.slice(begin, i - begin))
+                if held:
+                    yield pa.Table.from_batches(held)
+                held, begin, last = [], i, row
+        held.append(batch.slice(begin))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+class Marks:
+    """A filter of 64-bit keys in a broadcast of fixed size: says yes to all keys it was made of, and to few others."""
+
+    ITEMS, BITS = 1 << 23, 1 << 27
+
+    def __init__(self, keys: DataFrame, column: str):
+        """``keys`` has ITEMS distinct keys at most."""
+        p = F.col(column).cast("long").bitwiseAND(F.lit(self.BITS - 1))
+        words = keys.select(p.alias("p")).groupBy(F.expr("cast(shiftright(p, 6) as int)").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
+        got = words.toArrow()
+        table = np.zeros(self.BITS // 64, np.uint64)
+        table[got.column("at").to_numpy()] = got.column("bits").to_numpy().astype(np.int64).view(np.uint64)
+        self.sent = keys.sparkSession.sparkContext.broadcast(table)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        p = keys & (self.BITS - 1)
+        return (self.sent.value[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1

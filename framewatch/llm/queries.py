@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewatch.llm import chat, langid, media, substring_dedup, toxicity
+from framewatch.llm import chat, decontaminate, html, langid, media, substring_dedup, toxicity
 from framewatch.llm.common import bucket_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,3 +110,15 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexicon = toxicity.fit(toxicity.labelled_sample(docs.filter("not held_out"), table(spark, sf_dir, "labels")))
     scored = toxicity.score(docs, lexicon, ["doc_id", "held_out"])
     return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
+@query("op4_html_extract")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op8_decontaminate")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document and benchmark item of which the document holds a passage, with its edits and place in words."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -5,7 +5,8 @@ shard of its minimizer, the least hash among the short word grams inside it: equ
 windows have equal minimizers, so every repeat meets in one shard, and neighbouring
 windows mostly share theirs, so they travel as one segment. Minimizers that only
 one document has cannot hold a repeat; they are counted first (map-side combined)
-and their segments stay at home. A shard indexes its distinct segments, streams
+and their segments stay at home
+(a broadcast filter of fixed size says which; beyond its capacity, a join does). A shard indexes its distinct segments, streams
 them through backward search, and learns for each window the least document id in
 its interval; windows of documents with a larger id are reported back.
 """
@@ -22,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewatch.llm.common import kept, slices, texts, widened
+from framewatch.llm.common import Marks, kept, slices, texts, widened
 from framewatch.llm.fmindex import FMIndex
 from framewatch.llm.words import grams, words
 
@@ -32,8 +33,6 @@ GRAM = 4
 SEGMENT = 64
 #: Words of the segments that a shard indexes at a time.
 SHARD_WORDS = 1 << 20
-#: Shared minimizers up to which their filter is broadcast (FILTER_BITS / 8 bytes); beyond, they are joined.
-FILTER_ITEMS, FILTER_BITS = 1 << 23, 1 << 27
 
 
 def minimizers(hashes: np.ndarray, row: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -218,16 +217,11 @@ def repeated_places(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     pairs = rows.mapInArrow(_seeds(window, gram), "m long, doc long")
     shared = pairs.groupBy("m").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("m")
     shared = kept(shared, "shared")
-    if shared.count() <= FILTER_ITEMS:
-        marks = shared.select(F.expr(f"m & {FILTER_BITS - 1}").alias("p")).groupBy(F.expr("p >> 6").cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
-        got = marks.toArrow()
-        filter_words = np.zeros(FILTER_BITS // 64, np.uint64)
-        filter_words[got.column("at").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
-        sent = spark.sparkContext.broadcast(filter_words)
+    if shared.count() <= Marks.ITEMS:
+        marks = Marks(shared, "m")
 
         def known(m: np.ndarray, batch: pa.RecordBatch, row: np.ndarray) -> np.ndarray:
-            p = m & (FILTER_BITS - 1)
-            return (sent.value[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1
+            return marks(m)
     else:
         mine = pairs.join(shared, "m", "left_semi").groupBy("doc").agg(F.collect_set("m").alias("known"))
         rows = rows.join(mine, rows.doc_id == mine.doc).select("doc_id", "text", "known")

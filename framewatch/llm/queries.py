@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewatch.llm import chat, decontaminate, html, langid, media, substring_dedup, toxicity
+from framewatch.llm import chat, decontaminate, html, langid, media, neardup, substring_dedup, toxicity
 from framewatch.llm.common import bucket_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,3 +122,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document and benchmark item of which the document holds a passage, with its edits and place in words."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_ngram_jaccard_join")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class of near duplicates (five-word shingles, Jaccard 0.8) and its number of links."""
+    return neardup.classes(table(spark, sf_dir, "documents"))

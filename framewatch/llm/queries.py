@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewatch.llm import chat, decontaminate, html, langid, media, neardup, substring_dedup, toxicity
+from framewatch.llm import chat, decontaminate, html, langid, lm, media, neardup, substring_dedup, toxicity
 from framewatch.llm.common import bucket_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,3 +128,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class of near duplicates (five-word shingles, Jaccard 0.8) and its number of links."""
     return neardup.classes(table(spark, sf_dir, "documents"))
+
+
+@query("op7_lm_score")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recurrent-network and unigram log10 probabilities of every whole text, learned from documents whose bucket of five is not 1."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", bucket_of("doc_id", 5) == 1)
+    model, counted = lm.fit(docs.filter("not held_out"))
+    return lm.score(docs, model, counted)

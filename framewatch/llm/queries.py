@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewatch.llm import chat, decontaminate, html, langid, lm, media, neardup, substring_dedup, toxicity
+from framewatch.llm import chat, decontaminate, html, langid, lm, media, mixing, neardup, substring_dedup, toxicity
 from framewatch.llm.common import bucket_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,3 +136,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", bucket_of("doc_id", 5) == 1)
     model, counted = lm.fit(docs.filter("not held_out"))
     return lm.score(docs, model, counted)
+
+
+@query("op10_source_mixing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its expected domain posterior and the rate that brings all domains to their targets."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = mixing.fit(mixing.labelled_domains(docs, table(spark, sf_dir, "labels")))
+    return mixing.mix_to_targets(docs, model, mixing.even_languages(model.domains), ["doc_id"])

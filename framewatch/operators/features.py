@@ -9,6 +9,7 @@ from framewatch.functions import frames as FR
 from framewatch.functions import payload as P
 from framewatch.operators import calibrate as C
 from framewatch.operators import windows as W
+from framewatch.storage import kept
 
 
 def _back(n: int):
@@ -85,7 +86,7 @@ BASE_FEATURES = (
 
 def base47(frames: DataFrame) -> DataFrame:
     """bus, seq and the base features, all doubles, in the published order."""
-    rows = communication(behavior(interval_stats(rates(frames))))
+    rows = communication(kept(behavior(interval_stats(rates(frames))), "base"))
     rows = rows.withColumn("_s", P.stats("data")).withColumn("_p", P.patterns("data")).withColumn("_i", FR.id_priority())
     have = {
         "data_mean": "_s.mean", "data_median": "_s.median", "data_std": "_s.std", "data_min": "_s.min", "data_max": "_s.max", "data_range": "_s.range", "data_sum": "_s.sum", "zero_bytes": "_s.zeros", "max_bytes": "_s.ones",
@@ -214,10 +215,11 @@ def rolling(frames: DataFrame, n: int = 100) -> DataFrame:
 
 
 def enhanced13(frames: DataFrame, normal: DataFrame) -> DataFrame:
-    """Deviation, burst, novelty and rolling features in one table, calibrated on ``normal``."""
+    """Deviation, burst, novelty and rolling features in one table, calibrated on ``normal``. Steps that read their input more than once get it from a written table."""
     rows = id_frequency(C.with_delta(frames))
-    rows = deviation(rows, C.frequency_profile(normal), C.payload_profile(normal), C.timing_profile(normal))
-    return rolling(sequence_novelty(burst(rows), C.ngrams(normal, 3, 100)))
+    rows = kept(deviation(rows, C.frequency_profile(normal), C.payload_profile(normal), C.timing_profile(normal)), "deviation")
+    rows = kept(sequence_novelty(kept(burst(rows), "burst"), C.ngrams(normal, 3, 100)), "novelty")
+    return rolling(rows)
 
 
 def lags(df: DataFrame, columns: list[str], n: int = 3) -> DataFrame:

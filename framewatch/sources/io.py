@@ -134,10 +134,10 @@ def read_pcap(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return frame_columns(rows, seq=F.col("n"), ts_us=F.col("us"), can_id=F.col("id"), dlc=F.size("d"), data=F.col("d"), is_extended=F.col("ext"), is_remote=F.col("rtr"), is_error=F.col("err"), source_file=F.col("file"), bus=F.regexp_extract("file", r"([^/]+)$", 1))
 
 
-def read_frames_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """JSON arrays of frame objects (timestamp in seconds, can_id, dlc, data, and the flags and labels they have)."""
+def read_frames_json(spark: SparkSession, path: str | list[str], lines: bool = False) -> DataFrame:
+    """JSON arrays (``lines``: an object or array per line) of frame objects: timestamp in seconds, can_id, dlc, data, and the flags and labels they have."""
     schema = "timestamp double, can_id long, dlc int, data array<int>, is_extended boolean, is_remote boolean, is_error boolean, source_id int, is_attack boolean, attack_type string, vehicle_type string, source_file string"
-    raw = spark.read.schema(schema).option("multiLine", True).json(path).filter("timestamp is not null and can_id is not null").withColumn("_seq", _seq())
+    raw = spark.read.schema(schema).option("multiLine", not lines).json(path).filter("timestamp is not null and can_id is not null").withColumn("_seq", _seq())
     d = F.coalesce("data", F.expr("cast(array() as array<int>)"))
     return frame_columns(raw, seq=F.col("_seq"), ts_us=_micros(F.col("timestamp")), can_id=F.col("can_id"), dlc=F.coalesce("dlc", F.size(d)), data=d, is_extended=F.coalesce("is_extended", F.lit(False)), is_remote=F.coalesce("is_remote", F.lit(False)), is_error=F.coalesce("is_error", F.lit(False)), source_id=F.col("source_id"), attack=F.col("is_attack").cast("int"), attack_type=F.col("attack_type"), vehicle=F.col("vehicle_type"), source_file=F.col("source_file"), bus=F.coalesce("vehicle_type", F.lit("can0")))
 

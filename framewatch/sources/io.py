@@ -115,7 +115,7 @@ def parse_pcap(content: bytes) -> Iterator[tuple[int, int, bool, bool, bool, lis
             word, dlc = struct.unpack_from(">I", frame)[0], frame[4]
             ident = word & (0x1FFFFFFF if word & 0x80000000 else 0x7FF)
             plain = not word & 0x80000000 and word & 0x1FFFF800
-            if dlc <= 8 and len(frame) >= 8 + dlc and not plain and frame[5:8] == b"\0\0\0":
+            if dlc <= 8 and 8 + dlc <= len(frame) <= 16 and not plain and frame[5:8] == b"\0\0\0":
                 yield seconds * 1_000_000 + fraction * nanos // 1000, ident, bool(word & 0x80000000), bool(word & 0x40000000), bool(word & 0x20000000), list(frame[8 : 8 + dlc])
                 break
 

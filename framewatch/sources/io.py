@@ -181,7 +181,7 @@ def load_rules(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _text(spark: SparkSession, path: str) -> str:
-    return spark.read.option("wholetext", True).text(path).first()[0]
+    return spark.read.text(path, wholetext=True).first()[0]
 
 
 def write_alerts(alerts: DataFrame, path: str, format: str = "json") -> None:

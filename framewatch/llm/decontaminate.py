@@ -4,9 +4,10 @@ Windows as long as an item are embedded by CGK's random walk, which turns a smal
 edit distance into a small Hamming distance, and compared with the item on a few
 sampled places of the embedding, again and again (bit-sampling LSH) until the
 target recall; what agrees in one repetition is verified by the exact edit
-distance. Windows are looked at where they share a word gram with the item: with
-at most k edits, n words keep a run of (n - k) / (k + 1) words, so grams no longer
-than that miss nothing.
+distance. Windows are looked at where they share enough word grams with the item:
+with at most k edits, n words keep a run of (n - k) / (k + 1) words, and all but
+k * q of their grams of q words, so what has fewer in the range of places that k
+edits can shift them to is no match.
 """
 
 from __future__ import annotations
@@ -38,9 +39,10 @@ def repetitions(bits: int = BITS, recall: float = RECALL, agreement: float = AGR
     return math.ceil(math.log(1 - recall) / math.log(1 - agreement**bits))
 
 
-def steps(symbols: np.ndarray, place: int, seed: int) -> np.ndarray:
+def steps(symbols: np.ndarray, place: int, seed: int | np.ndarray) -> np.ndarray:
     """Whether the walk goes on to the next symbol after this place."""
-    return (mix(symbols ^ np.uint64((place * 0x9E3779B97F4A7C15 + seed * 0xC2B2AE3D27D4EB4F) & 0xFFFFFFFFFFFFFFFF)) & np.uint64(1)).astype(np.int64)
+    key = np.atleast_1d(np.asarray(seed, np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(place * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    return (mix(symbols ^ key) & np.uint64(1)).astype(np.int64)
 
 
 @dataclass
@@ -49,6 +51,7 @@ class Items:
     symbols: np.ndarray  # all items' words, one after the other
     offsets: np.ndarray
     edits: np.ndarray
+    gram: np.ndarray  # words in the grams that an item is looked for by
     grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # size -> sorted grams, item, place
     filters: dict[int, np.ndarray]
     embedded: np.ndarray  # repetition x item x place
@@ -85,7 +88,7 @@ class Items:
             embedded[r] = walk(w.hashes, offsets[:-1], size, longest, r)
             for i, n in enumerate(size):
                 sampled[r, i, rng.choice(3 * n, min(bits, 3 * n), replace=False)] = True
-        return cls(ids, w.hashes, offsets, k, by_size, filters, embedded, sampled)
+        return cls(ids, w.hashes, offsets, k, gram, by_size, filters, embedded, sampled)
 
 
 def walk(symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray, longest: int, seed: int) -> np.ndarray:
@@ -103,28 +106,27 @@ def walk(symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray, longest: in
 
 
 def agreeing(items: Items, item: np.ndarray, symbols: np.ndarray, low: np.ndarray, size: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Which windows symbols[low : low + size] (nothing before 0 or from ``high`` on) agree with their item on all sampled places of some repetition."""
+    """Which windows symbols[low : low + size] (nothing from ``high`` on) agree with their item on all sampled places of some repetition. All repetitions walk side by side."""
+    reps = len(items.embedded)
     ok = np.zeros(len(item), bool)
-    for r in range(len(items.embedded)):
-        rest = np.flatnonzero(~ok)
-        if not len(rest):
-            break
-        it, start, n, end = item[rest], low[rest], size[rest], np.minimum(high[rest], low[rest] + size[rest])
-        at = np.zeros(len(rest), np.int64)
-        alive = np.ones(len(rest), bool)
-        last = items.sampled[r].shape[1] - np.argmax(items.sampled[r][:, ::-1], axis=1)  # past the last sampled place
-        stop = last[it]
-        for place in range(int(stop.max())):
-            active = np.flatnonzero(alive & (place < stop))
-            if not len(active):
-                break
-            p = start[active] + at[active]
-            inside = p < end[active]
-            s = np.where(inside, symbols[np.clip(p, 0, len(symbols) - 1)], np.uint64(0))
-            look = items.sampled[r, it[active], place]
-            alive[active[look & (s != items.embedded[r, it[active], place])]] = False
-            at[active] += np.where(inside, steps(s, place, r), 0)
-        ok[rest[alive]] = True
+    for part in range(0, len(item), 4096):
+        which = slice(part, part + 4096)
+        it = np.repeat(item[which], reps)
+        rep = np.tile(np.arange(reps), len(item[which]))
+        start, end = np.repeat(low[which], reps), np.repeat(np.minimum(high[which], low[which] + size[which]), reps)
+        live = np.arange(len(it))
+        at = start.copy()
+        longest = int(items.sampled.any(axis=(0, 1)).nonzero()[0].max(initial=-1)) + 1
+        for place in range(longest):
+            s = np.where(at < end, symbols[np.minimum(at, len(symbols) - 1)], np.uint64(0))
+            good = ~items.sampled[rep, it, place] | (s == items.embedded[rep, it, place])
+            step = steps(s, place, rep)
+            at = at + np.where(at < end, step, 0)
+            if not good.all():
+                live, it, rep, at, end = (x[good] for x in (live, it, rep, at, end))
+                if not len(live):
+                    break
+        ok[part + live // reps] = True
     return ok
 
 
@@ -158,25 +160,35 @@ def find(items: Items, column: pa.LargeStringArray) -> list[tuple[int, int, int,
         at, low, count = (x[row[at] == row[at + g - 1]] for x in (at, low, count))
         which = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         found.append(np.stack([np.repeat(row[at], count), item[which], np.repeat(at, count) - place[which]], axis=1))
-    pairs = np.unique(np.concatenate(found), axis=0)
+    pairs, seeds = np.unique(np.concatenate(found), axis=0, return_counts=True)
     if not len(pairs):
         return []
+    # Starts of one match lie within k of each other; so many of its grams survive k edits at least.
     r, it, start = pairs.T
-    first, past = w.offsets[r], w.offsets[r + 1]
+    k = items.edits[it]
+    new = np.ones(len(r), bool)
+    new[1:] = (r[1:] != r[:-1]) | (it[1:] != it[:-1]) | (start[1:] - start[:-1] > k[1:])
+    cluster = np.cumsum(new) - 1
     size = np.diff(items.offsets)[it]
+    need = np.maximum(1, size - items.gram[it] + 1 - k * items.gram[it])
+    enough = (np.bincount(cluster, seeds) >= need[new])[cluster]
+    r, it, start, k, cluster, size = (x[enough] for x in (r, it, start, k, cluster, size))
+    first, past = w.offsets[r], w.offsets[r + 1]
     inside = np.maximum(start, first)
     ok = agreeing(items, it, w.hashes, inside, size - (inside - start), past)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for r, it, start, first, past, n in zip(*(x[ok].tolist() for x in (r, it, start, first, past, size))):
-        k = int(items.edits[it])
-        if best.get((r, it), (1,))[0] == 0:
-            continue
-        low, high = max(first, start - k), min(past, start + n + k)
-        symbols = items.symbols[items.offsets[it] : items.offsets[it + 1]]
+    if not ok.any():
+        return []
+    r, it, start, k, cluster, size, first, past = (x[ok] for x in (r, it, start, k, cluster, size, first, past))
+    edge = np.flatnonzero(np.concatenate([[True], cluster[1:] != cluster[:-1], [True]]))
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        row, item, n, edits_allowed = int(r[a]), int(it[a]), int(size[a]), int(k[a])
+        low, high = max(int(first[a]), int(start[a]) - edits_allowed), min(int(past[a]), int(start[b - 1]) + n + edits_allowed)
+        symbols = items.symbols[items.offsets[item] : items.offsets[item + 1]]
         edits, end = best_match(symbols, w.hashes[low:high])
-        if edits <= k and edits < best.get((r, it), (k + 1,))[0]:
+        if edits <= edits_allowed and edits < best.get((row, item), (edits_allowed + 1,))[0]:
             length = best_match(symbols[::-1], w.hashes[low : low + end][::-1])[1] if edits else n
-            best[r, it] = (edits, low + end - length - first, low + end - first)
+            best[row, item] = (edits, low + end - length - int(first[a]), low + end - int(first[a]))
     return [(r, it, *v) for (r, it), v in sorted(best.items())]
 
 

@@ -19,7 +19,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below the threshold; the lexicon is learned from labelled ones whose bucket of three is not 1."""
     lexicon = toxicity.fit(toxicity.labelled_sample(docs.filter(bucket_of("doc_id", 3) != 1), table(spark, sf_dir, "labels")))
-    return toxicity.score(docs, lexicon).filter(F.col("score") < toxicity.THRESHOLD).drop("score")
+    return toxicity.score(docs, lexicon, out="__toxicity").filter(F.col("__toxicity") < toxicity.THRESHOLD).drop("__toxicity").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +29,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 13 words and more that an earlier document has; n_chars follows a changed text."""
-    cut = substring_dedup.remove_repeats(docs.withColumn("_was", F.md5("text")))
-    return cut.withColumn("n_chars", F.when(F.md5("text") == F.col("_was"), F.col("n_chars")).otherwise(F.char_length("text").cast("long"))).select(*docs.columns)
+    cut = substring_dedup.remove_repeats(docs.withColumn("__was", F.md5("text")))
+    return cut.withColumn("n_chars", F.when(F.md5("text") == F.col("__was"), F.col("n_chars")).otherwise(F.char_length("text").cast("long"))).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -124,7 +124,21 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@query("op6_ngram_jaccard_join")
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))
+  WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n, list_sort(list(g)) AS gs FROM s GROUP BY doc_id),
+copies AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY gs) AS copy_of FROM n),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
+r(doc_id, class_id) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.class_id FROM r JOIN l ON l.a = r.doc_id)
+SELECT d.doc_id, (SELECT min(class_id) FROM r WHERE r.doc_id = d.doc_id) AS class_id, coalesce(copy_of, d.doc_id) AS copy_of, (SELECT count(*) FROM l WHERE l.a = d.doc_id) AS n_links
+FROM documents d LEFT JOIN copies c ON c.doc_id = d.doc_id
+"""
+
+
+@query("op6_ngram_jaccard_join", JACCARD_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class of near duplicates (five-word shingles, Jaccard 0.8) and its number of links."""
     return neardup.classes(table(spark, sf_dir, "documents"))

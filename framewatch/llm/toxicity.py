@@ -184,11 +184,11 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return tuple(float(v) for v in w)
 
 
-def score(df: DataFrame, lexicon: Lexicon, keys: list[str] | None = None) -> DataFrame:
-    """``keys`` (by default all columns) of every row and its ``score`` (0 to 1) over the whole text; a null text scores as an empty one."""
-    keys = [c for c in (keys if keys is not None else df.columns) if c != "score"]
+def score(df: DataFrame, lexicon: Lexicon, keys: list[str] | None = None, out: str = "score") -> DataFrame:
+    """``keys`` (by default all columns) of every row and the score (0 to 1) of its whole text as ``out``, in place of a column of that name; a null text scores as an empty one."""
+    keys = [c for c in (keys if keys is not None else df.columns) if c != out]
     rows = df.select(*dict.fromkeys([*keys, "text"]))
-    schema = widened(df.select(*keys), score="double")
+    schema = widened(df.select(*keys), **{out: "double"})
     sent = df.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -241,16 +241,15 @@ def repeated_places(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
 
 
 def mark_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """``docs`` with ``places``: list of binary int32 arrays of the starts of repeated windows (null: none).
+    """``docs`` with ``__places``: list of binary int32 arrays of the starts of repeated windows (null: none).
 
     A null text has no words; a null doc_id is never smaller or larger than
     another, so its text stays whole. Rows that share a doc_id are one document
     for this purpose: neither is earlier than the other.
     """
-    found = repeated_places(docs, window, gram).groupBy("doc", "tag").agg(F.collect_list("places").alias("_places"))
-    tagged = docs.withColumn("_tag", F.crc32(F.coalesce("text", F.lit(""))))
-    on = (F.col("doc_id") == found.doc) & (F.col("_tag") == found.tag)
-    return tagged.join(found, on, "left").drop("doc", "tag", "_tag")
+    found = repeated_places(docs, window, gram).groupBy("doc", "tag").agg(F.collect_list("places").alias("__places")).withColumnsRenamed({"doc": "__doc", "tag": "__crc"})
+    tagged = docs.withColumn("__tag", F.crc32(F.coalesce("text", F.lit(""))))
+    return tagged.join(found, (F.col("doc_id") == F.col("__doc")) & (F.col("__tag") == F.col("__crc")), "left").drop("__doc", "__crc", "__tag")
 
 
 def kept_words(text: bytes, places: list[bytes] | None, window: int) -> tuple[list[bytes], int]:
@@ -273,7 +272,7 @@ def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             total, gone, sha = [], [], []
-            for text, places in zip(texts(batch.column("text")).cast(pa.large_binary()).to_pylist(), batch.column("_places").to_pylist()):
+            for text, places in zip(texts(batch.column("text")).cast(pa.large_binary()).to_pylist(), batch.column("__places").to_pylist()):
                 left, n = kept_words(text, places, window)
                 total.append(n)
                 gone.append(n - len(left))
@@ -295,7 +294,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             out = []
-            for text, places in zip(batch.column("text").to_pylist(), batch.column("_places").to_pylist()):
+            for text, places in zip(batch.column("text").to_pylist(), batch.column("__places").to_pylist()):
                 out.append(b" ".join(kept_words(text.encode(), places, window)[0]).decode() if places and text else text)
             cols = [pa.array(out, batch.column("text").type) if n == "text" else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(cols, names=names)

@@ -21,6 +21,7 @@ from framewatch.llm.words import words
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+DOCS_COLUMNS = [c.split()[0] for c in DOCS.split(", ")]
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -374,6 +375,22 @@ def test_pages(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_pipeline_keeps_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(i, prose(random.Random(i), 40)) for i in range(20)] + [(30, None), (31, "")]
+    extra = {c: F.lit(c) for c in ("doc", "tag", "places", "score", "m", "_id", "class_id", "item_id", "_q", "_h")}
+    now = docs(spark, rows).withColumns(extra)
+    spark.createDataFrame([(i, 1, 0) for i in range(5)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(0, "not there at all")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        now = stage(spark, now, str(tmp_path))
+        got = now.collect()
+        assert now.columns == [*DOCS_COLUMNS, *extra], name
+        assert len(got) == 22 and all(r.doc == "doc" and r.score == "score" for r in got), name
+        now = spark.createDataFrame(got, now.schema)
+
+
 # --- all together -----------------------------------------------------------------
 
 

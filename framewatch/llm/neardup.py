@@ -14,6 +14,7 @@ link is lost to the star and none is written out per pair.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -124,17 +125,19 @@ def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     row, column = row[use], number[column[use]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    out = np.zeros((len(left), len(right)), np.float32)
+    out = np.zeros((len(left), len(right)), np.int64)
     for low in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
         a, b = np.searchsorted(column, [low, low + COLUMNS])
         m = np.zeros((len(left) + len(right), COLUMNS), np.float32)
         m[row[a:b], column[a:b] - low] = 1
-        out += m[: len(left)] @ m[len(left) :].T
+        out += (m[: len(left)] @ m[len(left) :].T).astype(np.int64)
     return out
 
 
 def _verify(threshold: float):
     """Per class and task: links to other classes (in documents), and the least class reached within the task."""
+    exact = Fraction(str(threshold)).limit_denominator(10**9)  # compared in integers, so that ties count at any size
+    above, below = exact.numerator, exact.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs_of(batches, ["comp", "i", "j"]):
@@ -143,9 +146,9 @@ def _verify(threshold: float):
             i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
             left = np.flatnonzero(block == i)
             right = np.flatnonzero(block == j) if j != i else left
-            size = np.array([len(s) for s in sets], np.float64)
+            size = np.array([len(s) for s in sets], np.int64)
             shared = common([sets[x] for x in left], [sets[x] for x in right])
-            linked = shared * (1 + threshold) >= threshold * (size[left][:, None] + size[right][None, :]) - 1e-6
+            linked = shared * (above + below) >= above * (size[left][:, None] + size[right][None, :])
             links = np.zeros(len(rep), np.int64)
             if i == j:
                 np.fill_diagonal(linked, False)

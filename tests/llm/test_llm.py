@@ -148,6 +148,17 @@ def test_blocks_of_a_large_class_lose_no_link(spark, monkeypatch):
     assert neardup.common(left, right).tolist() == [[2.0, 0.0]]
 
 
+def test_pairs_at_exactly_the_threshold_are_linked(spark):
+    rng = random.Random(21)
+    rows, want = [], {}
+    for shared, a, b, linked in ((12, 13, 14, 1), (32, 36, 36, 1), (64, 72, 72, 1), (12, 14, 14, 0), (64, 72, 73, 0)):
+        base = [f"w{rng.randrange(10**9)}" for _ in range(shared + 4)]
+        i = len(rows)
+        rows += [(i + k, " ".join([*base, *(f"v{rng.randrange(10**9)}" for _ in range(n - shared))])) for k, n in enumerate((a, b))]
+        want |= {i: (i, linked), i + 1: (i if linked else i + 1, linked)}
+    assert {r.doc_id: (r.class_id, r.n_links) for r in neardup.classes(docs(spark, rows)).collect()} == want
+
+
 def test_prefix_length_reaches_recall():
     n = neardup.prefix_length()
     assert 1 - (1 - 0.8**n) ** neardup.TREES >= neardup.RECALL > 1 - (1 - 0.8 ** (n + 1)) ** neardup.TREES

@@ -386,6 +386,21 @@ def test_pages(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_copied_pages_keep_their_text(spark):
+    menu = "<div><p>Home News Sport Weather Travel Contact</p></div>"
+    rng = random.Random(31)
+    body = [prose(rng, 30) for _ in range(2)]
+    near = [prose(rng, 30) for _ in range(2)]
+    pages = {i: (f"{menu}<p>{body[0]}</p><p>{body[1]}</p>", body) for i in range(3)}
+    for i in range(3, 6):  # views that differ in a word, and in a short line
+        own = [f"{near[0]} view{i}", near[1]]
+        pages[i] = (f"{menu}<p>{own[0]}</p><p>{own[1]}</p><p>printed {i}</p>", [*own, f"printed {i}"])
+    rows = [(i, f"http://h.example/{i}", p) for i, (p, _) in pages.items()]
+    rows += [(10 + i, f"http://alone.example/{i}", f"<p>{body[0]}</p><p>{body[1]}</p>") for i in range(3)]
+    got = {r.page_id: r.text.split("\n") for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: want for i, (_, want) in pages.items()} | {10 + i: body for i in range(3)}
+
+
 def test_pipeline_keeps_clashing_columns(spark, tmp_path):
     import corpus_pipeline
 

@@ -401,6 +401,15 @@ def test_copied_pages_keep_their_text(spark):
     assert got == {i: want for i, (_, want) in pages.items()} | {10 + i: body for i in range(3)}
 
 
+def test_groups_of_a_large_host_change_nothing(spark):
+    rng = random.Random(32)
+    notice = [f"<p>{prose(rng, 9)}</p>" for _ in range(10)]  # each on three pages of 30
+    rows = [(i, f"http://h.example/{i}", f"<div>{notice[i % 10]}</div><p>{prose(rng, 30)}</p>") for i in range(30)]
+    df = spark.createDataFrame(rows + [(99, "http://h.example/x", rows[0][2])], "page_id long, url string, html string")
+    one, many = ({r.page_id: r.text for r in html.extract(df, group).collect()} for group in (512, 4))
+    assert one == many == {i: re.findall("<p>(.*?)</p>", page)[1] for i, _, page in [*rows, (99, None, rows[0][2])]}
+
+
 def test_pipeline_keeps_clashing_columns(spark, tmp_path):
     import corpus_pipeline
 

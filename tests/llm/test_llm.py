@@ -356,6 +356,18 @@ def test_lm_scores(spark, monkeypatch, head):
         assert got[i].score < 0
 
 
+def test_all_training_texts_shape_the_network(spark):
+    """Order that only texts have which a sample of 2 000 by the hash of doc_id would leave out."""
+    rng = random.Random(33)
+    ids = spark.range(4000).select("id", (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) * 4000 < 2000 << 20).alias("sampled")).collect()
+    mixed = lambda: " ".join(rng.choices(["red", "green", "blue", "one", "two"], k=60))
+    df = docs(spark, [(r.id, mixed() if r.sampled else "red green blue one two " * 12) for r in ids]).repartition(3)
+    model, table = lm.fit(df)
+    probe = docs(spark, [(1, "red green blue one two " * 12), (2, mixed())]).withColumn("held_out", F.lit(True))
+    got = {r.doc_id: r.score for r in lm.score(probe, model, table).collect()}
+    assert got[1] > got[2] + 10
+
+
 def test_mixing_meets_targets(spark):
     rng = random.Random(12)
     rows = [(i, prose(rng, 60, "abcd" if i % 4 else "wxyz"), "en", "s", 0) for i in range(120)] + [(500, None, "en", "s", 0), (501, "", None, None, 0)]

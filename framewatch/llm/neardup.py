@@ -1,11 +1,11 @@
-"""Near duplicates by Jaccard similarity of word shingles: MinHash LSH forest, then exact verification.
+"""Near duplicates by Jaccard similarity of word shingles: banded MinHash, then exact verification.
 
 Documents with the same set of shingles are one class and are handled once. Each
-of TREES trees labels a class with DEPTH min-hashes; in a tree's sorted prefix
-trie, classes that share a prefix are candidates. Prefixes are shortened from the
-whole label until the chance that a pair at the threshold shares one in some tree
-reaches the target recall; shorter prefixes hold all that longer ones do, so one
-pass at that length sees them all. Members of a bucket are linked to its least
+of TREES bands labels a class with min-hashes; classes with the same label in a
+band are candidates. This is not an LSH forest: all labels have one fixed length,
+the longest (DEPTH at most) at which the chance that a pair at the threshold shares
+one in some band reaches the target recall. A forest's shortened prefixes would end
+at that length too. Members of a bucket are linked to its least
 member (a star, not all pairs); within the components of these links every pair is
 compared exactly, by counting common shingles in blocks of bounded size, so that no
 link is lost to the star and none is written out per pair.

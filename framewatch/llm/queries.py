@@ -42,20 +42,22 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
-  CAST(sum(size) AS BIGINT) AS formatted_chars
+  CAST(sum(size) AS BIGINT) AS formatted_chars,
+  regexp_full_match(string_agg(CASE role WHEN 'system' THEN 'S' WHEN 'user' THEN 'U' WHEN 'assistant' THEN 'A' ELSE 'X' END, '' ORDER BY turn NULLS FIRST, role, text), 'S?(UA)+') AS valid
 FROM sized GROUP BY conv_id
 """
 
 
 @query("op2_chat_format", CHAT_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Formats all conversations plus conversation -7, and reads turns and loss texts back from the output."""
+    """Formats all conversations plus conversation -7, and reads turns and loss texts back from the output; valid says whether the roles came in order."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
     extra = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(probe).alias("text")) for i, r in enumerate(("user", "assistant"))))).alias("t")).select("t.*")
     out = chat.format_turns(turns.unionByName(extra))
     back = out.select(
         "conv_id",
+        "valid",
         chat.read_turns(F.col("formatted")).alias("turns"),
         F.array_join(chat.loss_texts(F.col("formatted"), F.col("loss_spans")), "").alias("loss"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
@@ -67,6 +69,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.char_length("loss").cast("long").alias("loss_chars"),
         F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
         "formatted_chars",
+        "valid",
     )
 
 

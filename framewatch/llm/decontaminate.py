@@ -1,13 +1,17 @@
 """Benchmark passages inside documents, within an edit distance in words.
 
-Windows as long as an item are embedded by CGK's random walk, which turns a small
-edit distance into a small Hamming distance, and compared with the item on a few
-sampled places of the embedding, again and again (bit-sampling LSH) until the
-target recall; what agrees in one repetition is verified by the exact edit
-distance. Windows are looked at where they share enough word grams with the item:
-with at most k edits, n words keep a run of (n - k) / (k + 1) words, and all but
-k * q of their grams of q words, so what has fewer in the range of places that k
-edits can shift them to is no match.
+CGK's random walk embeds a sequence of words so that few edits become few
+differing places. Each repetition has a walk of its own and compares BITS sampled
+places of it (bit-sampling LSH): the items' sampled places are hash tables, one for
+each length, and the windows of that length in a document, one at every word, are
+looked up in them. The repetitions are as many as the target recall asks for at the
+edits allowed. Pairs that meet are verified by the exact edit distance. Windows that
+cannot match any item are not looked up: with at most k edits, n words keep a run of
+(n - k) / (k + 1) words, and all but k * q of their grams of q words.
+
+An embedding goes on past the end of its window, and only places are sampled that
+an item's walk reaches inside the item; so one walk from a word serves the windows
+of all lengths that begin there.
 """
 
 from __future__ import annotations
@@ -15,119 +19,141 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from framewatch.llm.common import slices, texts, widened
+from framewatch.llm.common import slices, texts
 from framewatch.llm.words import grams, mix, words
 
 #: Edits allowed as a share of the item's words.
 EDITS = 0.2
 GRAM = 3
 #: Sampled places of the embedding in one repetition, and the recall to reach for items at the full distance.
-BITS, RECALL = 3, 0.999
-#: Share of places that the embeddings of two such texts keep in common at least (measured; see the tests).
-AGREEMENT = 0.45
-#: Characters of benchmark text that are sent to the tasks at a time.
-BROADCAST_CHARS = 8 << 20
+BITS, RECALL = 2, 0.999
+#: Places are sampled below this share of an item's words; a walk takes a word in two places on average.
+REACH = 1.6
+#: Windows whose embeddings a task holds at a time.
+CHUNK = 512
+#: Characters of benchmark text that are sent to the tasks at a time; a task holds some 40 bytes for each.
+BROADCAST_CHARS = 4 << 20
+_BITMAP = 1 << 22
+
+
+def agreement(edits: int) -> float:
+    """The chance that one repetition agrees for texts ``edits`` edits apart: a line under what nine in ten such pairs showed (tests/llm holds it against random edits)."""
+    return 1.0 if edits == 0 else 0.34 * edits**-0.46
+
+
+def repetitions(edits: int, recall: float = RECALL) -> int:
+    return 1 if edits == 0 else math.ceil(math.log(1 - recall) / math.log(1 - agreement(edits)))
+
 
+def sampled(size: int, repetition: int, bits: int = BITS) -> np.ndarray:
+    """The places that a repetition compares of items of ``size`` words."""
+    reach = max(1, int(size * REACH))
+    return np.sort(np.random.default_rng([size, repetition]).choice(reach, min(bits, reach), replace=False))
 
-def repetitions(bits: int = BITS, recall: float = RECALL, agreement: float = AGREEMENT) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - agreement**bits))
 
+@lru_cache(1 << 14)
+def _multipliers(place: int) -> np.ndarray:
+    """For each repetition, the odd number that decides at this place whether the walk goes on."""
+    return np.random.default_rng([77, place]).integers(1 << 63, size=1 << 11, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-def steps(symbols: np.ndarray, place: int, seed: int | np.ndarray) -> np.ndarray:
-    """Whether the walk goes on to the next symbol after this place."""
-    key = np.atleast_1d(np.asarray(seed, np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(place * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-    return (mix(symbols ^ key) & np.uint64(1)).astype(np.int64)
+
+def embedded(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, repetitions: int, places: int) -> np.ndarray:
+    """CGK embeddings, repetition x start x place, of symbols[start:end] (0 past the end)."""
+    out = np.zeros((repetitions, len(starts), places), np.uint64)
+    at = np.tile(starts, (repetitions, 1))
+    for place in range(places):
+        key = _multipliers(place)[:repetitions, None]
+        inside = at < ends
+        s = np.where(inside, symbols[np.minimum(at, len(symbols) - 1)], np.uint64(0))
+        out[:, :, place] = s
+        at += ((s * key) >> np.uint64(63)).astype(np.int64)
+    return out
+
+
+def sampled_keys(walks: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """repetition x start: a hash of the repetition and the symbols at its sampled places."""
+    r = np.arange(len(places))
+    key = np.broadcast_to(r[:, None].astype(np.uint64), (len(places), walks.shape[1]))
+    for column in places.T:
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + walks[r, :, column])
+    return key
+
+
+@dataclass
+class Length:
+    """The hash tables of the items of one length; a key has its repetition in it."""
+
+    size: int
+    edits: int
+    gram: int
+    need: int  # grams of the item that are left by so many edits
+    places: np.ndarray  # repetition x sampled place
+    keys: np.ndarray  # sorted
+    items: np.ndarray
+    bitmap: np.ndarray
 
 
 @dataclass
 class Items:
-    ids: np.ndarray
+    ids: pa.Array  # distinct ones
+    id_of: np.ndarray  # the id of each item
     symbols: np.ndarray  # all items' words, one after the other
     offsets: np.ndarray
     edits: np.ndarray
-    gram: np.ndarray  # words in the grams that an item is looked for by
-    grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # size -> sorted grams, item, place
-    filters: dict[int, np.ndarray]
-    embedded: np.ndarray  # repetition x item x place
-    sampled: np.ndarray  # the same, whether the place is compared
+    grams: dict[int, tuple[np.ndarray, ...]]  # size -> sorted grams, a bitmap of them, where the lengths that have each begin, these lengths
+    lengths: list[Length]
 
     @classmethod
-    def of(cls, ids: np.ndarray, column: pa.LargeStringArray, edits: float, bits: int, reps: int) -> Items:
+    def of(cls, ids: pa.Array, column: pa.LargeStringArray, edits: float = EDITS, bits: int = BITS, recall: float = RECALL) -> Items:
         w = words(column, lower=True)
         size = np.diff(w.offsets)
-        keep = size > 0
-        ids, size = ids[keep], size[keep]
+        keep = np.flatnonzero(size)
+        size = size[keep]
+        coded = pc.dictionary_encode(ids.take(pa.array(keep)), null_encoding="encode")
         offsets = np.concatenate([[0], np.cumsum(size)])
-        k = np.floor(size * edits + 1e-9).astype(np.int64)
-        gram = np.clip(-(-(size - k) // (k + 1)), 1, GRAM)
-        gram = np.minimum(np.where(k == 0, np.minimum(size, GRAM), gram), size)
-        by_size, filters = {}, {}
-        for g in np.unique(gram):
-            which = np.flatnonzero(gram == g)
-            item = np.repeat(which, size[which] - g + 1)
-            place = np.concatenate([np.arange(size[i] - g + 1) for i in which]) if len(which) else np.zeros(0, int)
-            value = np.zeros(len(item), np.uint64)
-            at = offsets[item] + place
-            all_grams = grams(w.hashes, int(g))
-            value = all_grams[at]
-            order = np.argsort(value, kind="stable")
-            by_size[int(g)] = (value[order], item[order], place[order])
-            table = np.zeros(1 << 22, bool)
-            table[value & np.uint64((1 << 22) - 1)] = True
-            filters[int(g)] = table
-        longest = int(3 * size.max(initial=0))
-        embedded, sampled = np.zeros((reps, len(ids), longest), np.uint64), np.zeros((reps, len(ids), longest), bool)
-        rng = np.random.default_rng(11)
-        for r in range(reps):
-            embedded[r] = walk(w.hashes, offsets[:-1], size, longest, r)
-            for i, n in enumerate(size):
-                sampled[r, i, rng.choice(3 * n, min(bits, 3 * n), replace=False)] = True
-        return cls(ids, w.hashes, offsets, k, gram, by_size, filters, embedded, sampled)
-
-
-def walk(symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray, longest: int, seed: int) -> np.ndarray:
-    """CGK embeddings of symbols[start : start + size], filled up with 0 past the end."""
-    out = np.zeros((len(starts), longest), np.uint64)
-    at = np.zeros(len(starts), np.int64)
-    for place in range(longest):
-        inside = at < sizes
-        if not inside.any():
-            break
-        s = np.where(inside, symbols[np.minimum(starts + at, len(symbols) - 1)], np.uint64(0))
-        out[:, place] = s
-        at += np.where(inside, steps(s, place, seed), 0)
-    return out
+        allowed = np.floor(size * edits + 1e-9).astype(np.int64)
+        lengths, values = [], {}
+        for n in np.unique(size).tolist():
+            which = np.flatnonzero(size == n)
+            k = int(allowed[which[0]])
+            gram = min(n, GRAM) if k == 0 else min(GRAM, n, max(1, -(-(n - k) // (k + 1))))
+            place = (offsets[which][:, None] + np.arange(n - gram + 1)).ravel()
+            own = np.unique(grams(w.hashes, gram)[place])
+            values.setdefault(gram, []).append((own, np.full(len(own), len(lengths))))
+            reps = repetitions(k, recall)
+            places = np.stack([sampled(n, r, bits) for r in range(reps)])
+            keys = sampled_keys(embedded(w.hashes, offsets[which], offsets[which + 1], reps, int(places.max()) + 1), places)
+            order = np.argsort(keys.ravel(), kind="stable")
+            keys = keys.ravel()[order]
+            lengths.append(Length(n, k, gram, max(1, n - gram + 1 - k * gram), places, keys, np.tile(which, reps)[order], _bitmap(keys)))
+        found = {}
+        for g, parts in values.items():
+            own, of = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(own, kind="stable")
+            value, first = np.unique(own[order], return_index=True)
+            found[g] = (value, _bitmap(value), np.append(first, len(own)), of[order])
+        return cls(coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), w.hashes, offsets, allowed, found, lengths)
 
 
-def agreeing(items: Items, item: np.ndarray, symbols: np.ndarray, low: np.ndarray, size: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Which windows symbols[low : low + size] (nothing from ``high`` on) agree with their item on all sampled places of some repetition. All repetitions walk side by side."""
-    reps = len(items.embedded)
-    ok = np.zeros(len(item), bool)
-    for part in range(0, len(item), 4096):
-        which = slice(part, part + 4096)
-        it = np.repeat(item[which], reps)
-        rep = np.tile(np.arange(reps), len(item[which]))
-        start, end = np.repeat(low[which], reps), np.repeat(np.minimum(high[which], low[which] + size[which]), reps)
-        live = np.arange(len(it))
-        at = start.copy()
-        longest = int(items.sampled.any(axis=(0, 1)).nonzero()[0].max(initial=-1)) + 1
-        for place in range(longest):
-            s = np.where(at < end, symbols[np.minimum(at, len(symbols) - 1)], np.uint64(0))
-            good = ~items.sampled[rep, it, place] | (s == items.embedded[rep, it, place])
-            step = steps(s, place, rep)
-            at = at + np.where(at < end, step, 0)
-            if not good.all():
-                live, it, rep, at, end = (x[good] for x in (live, it, rep, at, end))
-                if not len(live):
-                    break
-        ok[part + live // reps] = True
-    return ok
+def _bitmap(keys: np.ndarray) -> np.ndarray:
+    table = np.zeros(max(1 << 10, min(_BITMAP, 1 << (16 * len(keys)).bit_length())), bool)
+    table[keys & np.uint64(len(table) - 1)] = True
+    return table
+
+
+def _known(keys: np.ndarray, values: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """Where ``keys`` has one of the sorted ``values``."""
+    at = np.flatnonzero(bitmap[keys & np.uint64(len(bitmap) - 1)])
+    return at[values[np.minimum(np.searchsorted(values, keys[at]), len(values) - 1)] == keys[at]]
 
 
 def best_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -143,79 +169,101 @@ def best_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return int(row[end]), end
 
 
+def windows(length: Length, hits: np.ndarray, row: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where windows begin that hold enough of ``hits`` (ascending places of grams of items of this length) for a match."""
+    reach = length.size + length.edits - length.gram
+    one, last = hits[: max(0, len(hits) - length.need + 1)], hits[length.need - 1 :]
+    ok = (last - one <= reach) & (row[one] == row[last])
+    one, last = one[ok], last[ok]
+    low = np.maximum(last - reach, first[row[one]])
+    count = one - low + 1
+    return np.unique(np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
+
+
+def candidates(items: Items, symbols: np.ndarray, row: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, item) of the item-sized windows that agree with an item in some repetition."""
+    able = [np.zeros(0, np.int64)] * len(items.lengths)
+    for g, (values, bitmap, cuts, which) in items.grams.items():
+        own = grams(symbols, g)
+        at = _known(own, values, bitmap)
+        at = at[row[at] == row[at + g - 1]]
+        gram = np.searchsorted(values, own[at])
+        count = cuts[gram + 1] - cuts[gram]
+        of = which[np.repeat(cuts[gram], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
+        place = np.repeat(at, count)
+        order = np.argsort(of, kind="stable")
+        edges = np.searchsorted(of[order], np.arange(len(items.lengths) + 1))
+        for i in np.flatnonzero(np.diff(edges)).tolist():
+            able[i] = windows(items.lengths[i], place[order[edges[i] : edges[i + 1]]], row, offsets[:-1])
+    found = [np.zeros((2, 0), np.int64)]
+    for length, starts in zip(items.lengths, able):
+        for low in range(0, len(starts), CHUNK):
+            chunk = starts[low : low + CHUNK]
+            walks = embedded(symbols, chunk, offsets[1:][row[chunk]], len(length.places), int(length.places.max()) + 1)
+            keys = sampled_keys(walks, length.places).ravel()
+            at = _known(keys, length.keys, length.bitmap)
+            first, last = (np.searchsorted(length.keys, keys[at], side) for side in ("left", "right"))
+            count = last - first
+            which = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            found.append(np.unique(np.stack([np.repeat(chunk[at % len(chunk)], count), length.items[which]]), axis=1))
+    start, item = np.concatenate(found, axis=1)
+    return start, item
+
+
 def find(items: Items, column: pa.LargeStringArray) -> list[tuple[int, int, int, int, int]]:
-    """(row, item, edits, first word, past last word) of the best match of each item in each text, where there is one."""
+    """(row, id, edits, first word, past last word) of the best match of each id in each text, where there is one."""
     w = words(column, lower=True)
-    if not len(w.hashes) or not len(items.ids):
+    if not len(w.hashes) or not len(items.id_of):
         return []
     row = w.row_of_word()
-    found = []
-    for g, (values, item, place) in items.grams.items():
-        own = grams(w.hashes, g)
-        at = np.flatnonzero(items.filters[g][own & np.uint64((1 << 22) - 1)])
-        low = np.searchsorted(values, own[at], "left")
-        count = np.searchsorted(values, own[at], "right") - low
-        at = at[count > 0]
-        low, count = low[count > 0], count[count > 0]
-        at, low, count = (x[row[at] == row[at + g - 1]] for x in (at, low, count))
-        which = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        found.append(np.stack([np.repeat(row[at], count), item[which], np.repeat(at, count) - place[which]], axis=1))
-    pairs, seeds = np.unique(np.concatenate(found), axis=0, return_counts=True)
-    if not len(pairs):
-        return []
-    # Starts of one match lie within k of each other; so many of its grams survive k edits at least.
-    r, it, start = pairs.T
-    k = items.edits[it]
-    new = np.ones(len(r), bool)
-    new[1:] = (r[1:] != r[:-1]) | (it[1:] != it[:-1]) | (start[1:] - start[:-1] > k[1:])
-    cluster = np.cumsum(new) - 1
-    size = np.diff(items.offsets)[it]
-    need = np.maximum(1, size - items.gram[it] + 1 - k * items.gram[it])
-    enough = (np.bincount(cluster, seeds) >= need[new])[cluster]
-    r, it, start, k, cluster, size = (x[enough] for x in (r, it, start, k, cluster, size))
-    first, past = w.offsets[r], w.offsets[r + 1]
-    inside = np.maximum(start, first)
-    ok = agreeing(items, it, w.hashes, inside, size - (inside - start), past)
+    start, item = candidates(items, w.hashes, row, w.offsets)
+    order = np.lexsort((start, item, row[start]))
+    start, item = start[order], item[order]
+    own = row[start]
+    # Windows of one match begin within k words of each other: these are verified at once.
+    new = np.ones(len(start), bool)
+    new[1:] = (own[1:] != own[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > items.edits[item[1:]])
+    edge = np.append(np.flatnonzero(new), len(start))
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    if not ok.any():
-        return []
-    r, it, start, k, cluster, size, first, past = (x[ok] for x in (r, it, start, k, cluster, size, first, past))
-    edge = np.flatnonzero(np.concatenate([[True], cluster[1:] != cluster[:-1], [True]]))
     for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
-        row, item, n, edits_allowed = int(r[a]), int(it[a]), int(size[a]), int(k[a])
-        low, high = max(int(first[a]), int(start[a]) - edits_allowed), min(int(past[a]), int(start[b - 1]) + n + edits_allowed)
-        symbols = items.symbols[items.offsets[item] : items.offsets[item + 1]]
+        r, it = int(own[a]), int(item[a])
+        k, key = int(items.edits[it]), (r, int(items.id_of[it]))
+        symbols = items.symbols[items.offsets[it] : items.offsets[it + 1]]
+        first = int(w.offsets[r])
+        low, high = max(first, int(start[a]) - k), min(int(w.offsets[r + 1]), int(start[b - 1]) + len(symbols) + k)
         edits, end = best_match(symbols, w.hashes[low:high])
-        if edits <= edits_allowed and edits < best.get((row, item), (edits_allowed + 1,))[0]:
-            length = best_match(symbols[::-1], w.hashes[low : low + end][::-1])[1] if edits else n
-            best[row, item] = (edits, low + end - length - int(first[a]), low + end - int(first[a]))
-    return [(r, it, *v) for (r, it), v in sorted(best.items())]
+        if edits <= k:
+            length = best_match(symbols[::-1], w.hashes[low : low + end][::-1])[1] if edits else len(symbols)
+            best[key] = min(best.get(key, (edits + 1, 0, 0)), (edits, low + end - length - first, low + end - first))
+    return [(*key, *v) for key, v in sorted(best.items())]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
     """doc_id, item_id, edits, first_word, past_word for each document and item that meet within ``edits`` times the item's words.
 
-    The item's best place in the document is given. Words are compared as they
-    stand, but for the case of A-Z. Items without words (or null) are never
-    found. The benchmark is sent to the tasks in parts of BROADCAST_CHARS, so any size will do.
+    The item's best place in the document is given (fewest edits, then the first).
+    Words are compared as they stand, but for the case of A-Z. Items without words
+    (or null) are never found; of items with one id (null is one, too) the best
+    is given. Every row of a repeated doc_id has rows of its own. A match longer
+    than its item by insertions is found from where it begins. The benchmark is sent to the tasks in parts of about
+    BROADCAST_CHARS, whole ids each; so a single id's texts must fit a task's memory, nothing else need.
     """
     rows = docs.select("doc_id", "text")
     asked = benchmark.select("item_id", "text")
     size = asked.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = -(-size // BROADCAST_CHARS) or 1
-    schema = widened(rows.select("doc_id"), item_id="long", edits="integer", first_word="integer", past_word="integer")
+    schema = StructType([docs.schema["doc_id"], benchmark.schema["item_id"]]).add("edits", "integer").add("first_word", "integer").add("past_word", "integer")
     out = None
     for part in range(parts):
-        got = asked.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).toArrow()
-        items = Items.of(got.column("item_id").to_numpy(), texts(got.column("text")), edits, BITS, repetitions())
+        got = asked.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).toArrow()
+        items = Items.of(got.column("item_id").combine_chunks(), texts(got.column("text")), edits)
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "text"):
-                hits = find(sent.value, texts(batch.column("text")))
-                cols = np.array(hits, np.int64).reshape(-1, 5).T
+                cols = np.array(find(sent.value, texts(batch.column("text"))), np.int64).reshape(-1, 5).T
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(cols[0])), pa.array(sent.value.ids[cols[1]]), *(pa.array(c.astype(np.int32)) for c in cols[2:])],
+                    [batch.column("doc_id").take(pa.array(cols[0])), sent.value.ids.take(pa.array(cols[1])), *(pa.array(c.astype(np.int32)) for c in cols[2:])],
                     names=schema.names,
                 )
 

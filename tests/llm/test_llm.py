@@ -159,11 +159,6 @@ def test_pairs_at_exactly_the_threshold_are_linked(spark):
     assert {r.doc_id: (r.class_id, r.n_links) for r in neardup.classes(docs(spark, rows)).collect()} == want
 
 
-def test_prefix_length_reaches_recall():
-    n = neardup.prefix_length()
-    assert 1 - (1 - 0.8**n) ** neardup.TREES >= neardup.RECALL > 1 - (1 - 0.8 ** (n + 1)) ** neardup.TREES
-
-
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (3, 4), (20, 4), (5, 5)], "a long, b long")
     assert {(r.id, r.root) for r in components.components(edges).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (20, 1), (8, 8), (9, 8)}

@@ -314,25 +314,49 @@ def test_toxicity_folds_and_excepts(spark):
 
 
 def test_gradients_of_the_network():
+    """Backpropagation against differences of the loss, for every kind of weight."""
     rng = np.random.default_rng(4)
-    cls = rng.integers(0, lm._CLASSES, 40)
-    offsets = np.array([0, 17, 40])
-    w = {k: v.astype(np.float64) for k, v in lm.initial().items()}
-    base = lm.log_probabilities({k: v.astype(np.float32) for k, v in w.items()}, cls, offsets)
-    assert abs(np.exp(base).sum() / 40 - 1 / lm._CLASSES) < 0.01  # near uniform before training
-    skewed = np.tile([3, 7, 70], 400)
-    trained = lm.train(skewed, np.array([0, 600, 1200]), epochs=30)
-    assert lm.log_probabilities(trained, skewed, np.array([0, 600, 1200])).mean() > -0.5  # it learns the order
+    cls, slot, offsets = rng.integers(0, lm._CLASSES, 40), rng.integers(0, lm.IN_CLASS, 40), np.array([0, 17, 40])
+    w = {k: (v + rng.standard_normal(v.shape) * 0.3).astype(np.float32) for k, v in lm.initial().items()}
+    inside = cls >= lm.SINGLE
+
+    def loss(w):
+        return -lm.log_probabilities(w, cls, slot, offsets).astype(float).mean()
+
+    trainer = lm.Trainer(w)
+    trainer.learn(cls, slot, offsets, lambda done: 0.0, window=64)  # the first moments hold a tenth of the gradient
+    flat = np.concatenate([v.ravel() for v in trainer.m1.values()]) * 10
+    scale = 1.0 if np.linalg.norm(flat) < 0.999 else None
+    assert scale, "the gradient was cut"
+    for k, v in w.items():
+        places = np.argsort(-np.abs(trainer.m1[k]).ravel())[:4]
+        for at in places:
+            up, down = ({**w, k: v.copy()} for _ in range(2))
+            up[k].ravel()[at] += 0.02
+            down[k].ravel()[at] -= 0.02
+            assert (loss(up) - loss(down)) / 0.04 == pytest.approx(trainer.m1[k].ravel()[at] * 10, rel=0.05, abs=5e-4), k
+    assert inside.any()
+
+
+def test_the_network_learns_order_and_its_softmaxes_sum_to_one():
+    cls, slot, offsets = np.tile([3, 7, 70], 400), np.tile([31, 31, 5], 400), np.array([0, 600, 1200])
+    trained = lm.train(cls, slot, offsets, epochs=30)
+    assert lm.log_probabilities(trained, cls, slot, offsets).mean() > -0.5
+    every = [(c, s) for c in range(lm._CLASSES) for s in (range(lm.IN_CLASS) if c >= lm.SINGLE else [lm.IN_CLASS - 1])]
+    one = [lm.log_probabilities(trained, np.array([3, 7, c]), np.array([31, 31, s]), np.array([0, 3]))[2] for c, s in every[:: len(every) // 50]]
+    last = np.array([[3, 7, c] for c, _ in every]).ravel(), np.array([[31, 31, s] for _, s in every]).ravel(), np.arange(len(every) + 1) * 3
+    p = np.exp(lm.log_probabilities(trained, *last)[2::3].astype(float))
+    assert p.sum() == pytest.approx(1, abs=1e-4) and np.allclose(np.log(p[:: len(every) // 50]), one, atol=1e-4)
 
 
 def test_state_is_carried_across_windows(monkeypatch):
     rng = np.random.default_rng(5)
-    cls, offsets = rng.integers(0, lm._CLASSES, 300), np.array([0, 0, 1, 230, 300])
-    w = lm.initial()
-    whole = lm.log_probabilities(w, cls, offsets)
+    cls, slot, offsets = rng.integers(0, lm._CLASSES, 300), rng.integers(0, lm.IN_CLASS, 300), np.array([0, 0, 1, 230, 300])
+    w = {k: (v + rng.standard_normal(v.shape) * 0.2).astype(np.float32) for k, v in lm.initial().items()}
+    whole = lm.log_probabilities(w, cls, slot, offsets)
     monkeypatch.setattr(lm, "WINDOW", 7)
     monkeypatch.setattr(lm, "LANES", 2)
-    assert np.allclose(whole, lm.log_probabilities(w, cls, offsets), atol=1e-5)
+    assert np.allclose(whole, lm.log_probabilities(w, cls, slot, offsets), atol=1e-4)
 
 
 @pytest.mark.parametrize("head", [1 << 19, 20])
@@ -349,6 +373,20 @@ def test_lm_scores(spark, monkeypatch, head):
         assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(t), sum(c[x] > 0 for x in t), n)
         assert got[i].base_score == pytest.approx(sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in t))
         assert got[i].score < 0
+    # The score is the network's, plus the share of each unlisted word in its class, whether the counts are carried or joined.
+    for i, t in itertools.islice(rows, 12):
+        h, e, offsets = lm.tokens_of(words(texts(pa.array([t], pa.string())), lower=True))
+        cls, slot = model.classes(h, e)
+        count = np.array([c[x] for x in tok[i]])
+        assert got[i].score == pytest.approx(lm.log_probabilities(model.weights, cls, slot, offsets).sum() / math.log(10) + model.unlisted(cls, slot, count).sum(), rel=1e-4)
+    twice = docs(spark, [rows[-1], rows[-1]]).withColumn("known", F.lit(1)).withColumn("_row", F.lit("r"))
+    same = lm.score(twice, model, table, keys=("doc_id", "known", "_row")).collect()
+    assert len(same) == 2 and {(r.known, r._row, round(r.score, 3)) for r in same} == {(1, "r", round(got[rows[-1][0]].score, 3))}
+
+
+def test_the_score_beats_counts_on_held_out_texts(spark):
+    rows = queries.op7(spark, "/root/testdata/sf0.01").filter("held_out").collect()
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows) + 0.1 * sum(r.n_tokens for r in rows)
 
 
 def test_all_training_texts_shape_the_network(spark):

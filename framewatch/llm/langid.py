@@ -6,13 +6,13 @@ expectation-maximisation from word counts of a bounded sample. A word's
 probability under a language is the sum over all its segmentations into pieces
 (forward algorithm, in numpy over all distinct words of a slice at once); a text's
 is the product over its words. Words are lower-cased in A-Z and keep a leading
-space; a word of more than SPAN bytes counts as several, so that work is linear.
+space. A word may be any length: long ones are worked on in parts between places
+that no piece of the vocabulary crosses, where the sum is a product of exact parts.
 """
 
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,36 +24,49 @@ from framewatch.llm.common import slices, texts, widened
 from framewatch.llm.words import LOWER, Words, mix, words
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-#: Longest piece used, and longest run of bytes segmented as one word.
-PIECE, SPAN = 16, 32
+#: Words of more bytes are looked through for places that no piece crosses.
+LONG = 32
+#: Sums are multiplied by this for each byte, and taken apart into a factor every so many bytes, to stay within a float.
+BOOST, RESCALE = 8.0, 128
+#: Parts of words of more bytes are left out when probabilities are fitted (not when texts are scored).
+FIT_BYTES = 512
+#: Sums (for one language) that a task holds at a time.
+CELLS = 1 << 19
 #: Rows of each language in the sample that the piece probabilities are fitted to (in expectation).
 SAMPLE = 1500
 ROUNDS = 3
 SMOOTHING = 0.02
 #: Distinct words that a task keeps scores of before it starts anew.
 CACHE = 1 << 19
-_LETTER = re.compile(r"[^\W\d_]")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+def pieces(path: str) -> list[bytes]:
+    """The pieces of a vocabulary file, one in base64 at the head of each line; bytes that it lacks are added."""
+    with open(path, "rb") as file:
+        found = [base64.b64decode(line.split()[0]) for line in file if line.strip()]
+    have = set(found)
+    return found + [bytes([i]) for i in range(256) if bytes([i]) not in have]
+
+
 class Vocabulary:
-    """Pieces by a hash of their bytes, in a table that answers for whole arrays."""
+    """Pieces by a hash of their bytes, in a table that answers for whole arrays. It is read on the driver and sent to the tasks."""
 
     def __init__(self, path: str):
-        with open(path, "rb") as file:
-            pieces = [base64.b64decode(line.split()[0]) for line in file if line.strip()]
-        pieces = [p for p in pieces if len(p) <= PIECE]
-        have = set(pieces)
-        pieces += [bytes([i]) for i in range(256) if bytes([i]) not in have]
-        self.size = len(pieces)
+        found = pieces(path)
+        self.size = len(found)
+        self.length = np.array([len(p) for p in found])
         self.hashes = np.zeros(self.size + 1, np.uint64)
-        for i, p in enumerate(pieces):
+        for i, p in enumerate(found):
             h = 0
             for b in p:
                 h = (h * int(_BASE) + b + 1) & 0xFFFFFFFFFFFFFFFF
             self.hashes[i] = h
-        self.tables, rest = [], np.arange(self.size)
         self.shift = np.uint64(64 - 21)
+        self._build()
+
+    def _build(self) -> None:
+        self.tables, rest = [], np.arange(self.size)
         while len(rest):  # what collides goes to a further table
             table = np.full(1 << 21, self.size, np.int32)
             slot = mix(self.hashes[rest]) >> self.shift
@@ -61,6 +74,13 @@ class Vocabulary:
             self.tables.append(table)
             rest = rest[table[slot] != rest]
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in vars(self).items() if k != "tables"}
+
+    def __setstate__(self, state: dict) -> None:
+        vars(self).update(state)
+        self._build()
+
     def find(self, hashes: np.ndarray) -> np.ndarray:
         slot = mix(hashes) >> self.shift
         out = np.full(len(hashes), self.size, np.int32)
@@ -69,82 +89,108 @@ class Vocabulary:
             out = np.where((self.hashes[got] == hashes) & (got < self.size), got, out)
         return out
 
+    def boosted(self, p: np.ndarray) -> np.ndarray:
+        """``p`` times BOOST for each byte of the piece; its last row (no piece) stays 0."""
+        return p * (BOOST ** np.append(self.length, 0))[:, None]
+
 
 class Lattice:
-    """Chunks of bytes, longest first, with the piece (or none) of every length at every place."""
+    """Parts of words, longest first, with the piece (or none) of every length at every place."""
 
     def __init__(self, vocabulary: Vocabulary, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-        size = ends - starts
-        parts = np.maximum(1, -(-size // SPAN))
-        self.word = np.repeat(np.arange(len(size)), parts)
-        nth = np.arange(len(self.word)) - np.repeat(np.cumsum(parts) - parts, parts)
-        low = starts[self.word] + nth * SPAN
-        high = np.minimum(low + SPAN, ends[self.word])
-        lead = (nth == 0).astype(np.int64)  # room for the space before the word
-        length = high - low + lead
-        order = np.argsort(-length, kind="stable")
-        self.word, length, low, lead = self.word[order], length[order], low[order], lead[order]
-        self.length = length
-        self.at = np.concatenate([[0], np.cumsum(length)])[:-1]
-        total = int(length.sum())
-        place = np.arange(total) - np.repeat(self.at, length)
-        source = np.repeat(low - lead, length) + place
-        flat = LOWER[data[np.maximum(source, 0)]] if len(data) else np.zeros(total, np.uint8)
-        flat[(place == 0) & (np.repeat(lead, length) == 1)] = 32
-        self.ids, h = [], np.zeros(total, np.uint64)
-        padded = np.concatenate([flat.astype(np.uint64) + np.uint64(1), np.zeros(PIECE, np.uint64)])
-        for n in range(PIECE):
-            h = h * _BASE + padded[n : n + total]
-            self.ids.append(vocabulary.find(h))
-        #: Chunks with at least e bytes, for each e.
-        self.active = np.searchsorted(-length, -np.arange(PIECE and SPAN + 2), side="right")
-
-    def forward(self, p: np.ndarray) -> np.ndarray:
-        """Sums over segmentations up to each place: chunk x place x language. ``p``: piece x language, its last row 0."""
-        out = np.zeros((len(self.length), SPAN + 2, p.shape[1]))
-        out[:, 0] = 1
-        for e in range(1, SPAN + 2):
-            k = self.active[e]
-            if not k:
+        self.vocabulary = vocabulary
+        self.words = len(starts)
+        size = ends - starts + 1  # with the space before the word
+        begin = np.cumsum(size) - size
+        total = int(size.sum())
+        place = np.arange(total) - np.repeat(begin, size)
+        flat = LOWER[data[np.maximum(np.repeat(starts, size) + place - 1, 0)]] if len(data) else np.zeros(total, np.uint8)
+        flat[place == 0] = 32
+        flat = flat.astype(np.uint64) + np.uint64(1)
+        room = np.repeat(size, size) - place
+        #: Length of pieces -> the piece of that length at every place.
+        self.ids: dict[int, np.ndarray] = {}
+        live, h = np.arange(total), np.zeros(total, np.uint64)
+        crossed = np.zeros(total + 1, np.int64)
+        for n in range(1, int(vocabulary.length.max()) + 1):
+            inside = room[live] >= n
+            live, h = live[inside], h[inside] * _BASE + flat[live[inside] + n - 1]
+            if not len(live):
                 break
-            for n in range(1, min(PIECE, e) + 1):
-                out[:k, e] += out[:k, e - n] * p[self.ids[n - 1][self.at[:k] + e - n]]
-        return out
+            found = vocabulary.find(h)
+            hit = found < vocabulary.size
+            if hit.any():
+                self.ids[n] = np.full(total, vocabulary.size, np.int32)
+                self.ids[n][live] = found
+                np.add.at(crossed, live[hit] + 1, 1)
+                np.add.at(crossed, live[hit] + n, -1)
+        # A long word may be cut wherever no piece goes on.
+        first = (place == 0) | (np.cumsum(crossed)[:total] == 0) & (np.repeat(size, size) > LONG)
+        self.at = np.flatnonzero(first)
+        self.length = np.diff(np.append(self.at, total))
+        self.word = np.repeat(np.arange(self.words), size)[self.at]
+        order = np.argsort(-self.length, kind="stable")
+        self.at, self.length, self.word = self.at[order], self.length[order], self.word[order]
+
+    def groups(self) -> Iterator[slice]:
+        """The parts in groups of bounded size."""
+        low = 0
+        while low < len(self.length):
+            count = max(1, CELLS // (int(self.length[low]) + 1))
+            yield slice(low, low + count)
+            low += count
+
+    def forward(self, group: slice, p: np.ndarray, rescale: int = RESCALE) -> tuple[np.ndarray, np.ndarray]:
+        """Sums over segmentations up to each place: part x place x language, and the logarithm of what was taken out of those of each part. ``p``: boosted, piece x language."""
+        at, length = self.at[group], self.length[group]
+        longest = int(length[0])
+        active = np.searchsorted(-length, -np.arange(longest + 1), side="right")
+        reach = max(self.ids)
+        out, taken = np.zeros((len(at), longest + 1, p.shape[1])), np.zeros((len(at), p.shape[1]))
+        out[:, 0] = 1
+        for e in range(1, longest + 1):
+            k = active[e]
+            for n, ids in self.ids.items():
+                if n <= e:
+                    out[:k, e] += out[:k, e - n] * p[ids[at[:k] + e - n]]
+            if e % rescale == 0:
+                low = max(0, e - reach)
+                top = out[:k, low : e + 1].max(axis=1)
+                out[:k, low : e + 1] /= top[:, None]
+                taken[:k] += np.log(top)
+        return out, taken
 
     def totals(self, p: np.ndarray) -> np.ndarray:
-        """log probability of each word under each language."""
-        out = np.zeros((self.word.max(initial=-1) + 1, p.shape[1]))
-        step = 20_000
-        for i in range(0, len(self.length), step):
-            part = self._part(i, i + step)
-            sums = part.forward(p)[np.arange(len(part.length)), part.length]
-            np.add.at(out, part.word, np.log(np.maximum(sums, 1e-300)))
+        """log probability of each word under each language. ``p``: piece x language, its last row 0."""
+        p = self.vocabulary.boosted(p)
+        out = np.zeros((self.words, p.shape[1]))
+        for group in self.groups():
+            sums, taken = self.forward(group, p)
+            length = self.length[group]
+            np.add.at(out, self.word[group], np.log(np.maximum(sums[np.arange(len(length)), length], 1e-300)) + taken - length[:, None] * np.log(BOOST))
         return out
 
-    def _part(self, low: int, high: int) -> Lattice:
-        part = object.__new__(Lattice)
-        part.word, part.length, part.at, part.ids = self.word[low:high], self.length[low:high], self.at[low:high], self.ids
-        part.active = np.searchsorted(-part.length, -np.arange(SPAN + 2), side="right")
-        return part
-
     def expected(self, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Expected count of every piece under one language (``p``: piece x 1), words weighted."""
+        p = self.vocabulary.boosted(p)
         out = np.zeros(len(p))
-        step = 20_000
-        for i in range(0, len(self.length), step):
-            part = self._part(i, i + step)
-            a = part.forward(p)[:, :, 0]
-            n = np.arange(len(part.length))
-            total = np.maximum(a[n, part.length], 1e-300)
+        for group in self.groups():
+            at, length = self.at[group], self.length[group]
+            if length[0] > FIT_BYTES:
+                continue
+            a = self.forward(group, p, FIT_BYTES + 1)[0][:, :, 0]
+            k = np.arange(len(length))
             b = np.zeros_like(a)
-            b[n, part.length] = weight[part.word] / total
-            for e in range(SPAN + 1, 0, -1):
-                k = part.active[e]
-                for m in range(1, min(PIECE, e) + 1):
-                    ids = part.ids[m - 1][part.at[:k] + e - m]
-                    step_p = p[ids, 0] * b[:k, e]
-                    b[:k, e - m] += step_p
-                    out += np.bincount(ids, a[:k, e - m] * step_p, len(p))
+            b[k, length] = weight[self.word[group]] / np.maximum(a[k, length], 1e-300)
+            active = np.searchsorted(-length, -np.arange(length[0] + 1), side="right")
+            for e in range(int(length[0]), 0, -1):
+                live = active[e]
+                for n, piece in self.ids.items():
+                    if n <= e:
+                        ids = piece[at[:live] + e - n]
+                        step = p[ids, 0] * b[:live, e]
+                        b[:live, e - n] += step
+                        out += np.bincount(ids, a[:live, e - n] * step, len(p))
         return out
 
 
@@ -162,9 +208,9 @@ def fit_pieces(column: pa.LargeStringArray, vocabulary: Vocabulary, rounds: int
         weight = np.bincount(same).astype(float)
         lattice = Lattice(vocabulary, w.data, w.starts[one], w.ends[one])
         count = np.full(vocabulary.size + 1, 0.01)
-        for n in range(PIECE):  # to begin with: how often the piece occurs at all
-            live = np.repeat(weight[lattice.word], lattice.length)
-            count += np.bincount(lattice.ids[n], live, vocabulary.size + 1)
+        live = np.repeat(weight, w.ends[one] - w.starts[one] + 1)
+        for ids in lattice.ids.values():  # to begin with: how often the piece occurs at all
+            count += np.bincount(ids, live, vocabulary.size + 1)
         for _ in range(rounds):
             count[-1] = 0
             p = ((count + SMOOTHING) / (count + SMOOTHING).sum())[:, None]
@@ -179,14 +225,16 @@ def fit_pieces(column: pa.LargeStringArray, vocabulary: Vocabulary, rounds: int
 def fit(labelled: DataFrame, vocabulary: str = VOCABULARY, sample: int = SAMPLE, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """Languages, and piece x language probabilities, from (lang, text, doc_id); rows with a null lang are left out.
 
-    Fitted on about ``sample`` rows of each language, chosen by a hash of doc_id and text.
+    Fitted on about ``sample`` rows of each language, chosen by a hash of doc_id and lang;
+    repeated rows count as often as they occur. No row at all gives no language.
     """
+    known_pieces = labelled.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary))
     known = labelled.filter(F.col("lang").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "lang").alias("_h"))
     counts = known.groupBy("lang").agg(F.count("*").alias("_n"))
     chosen = known.join(F.broadcast(counts), "lang").filter((F.pmod("_h", F.lit(1 << 20)) * F.col("_n")) < F.lit(sample << 20)).select("lang", "text")
 
     def learn(table: pa.Table) -> pa.Table:
-        p = fit_pieces(texts(table.column("text")), Vocabulary(vocabulary), rounds)
+        p = fit_pieces(texts(table.column("text")), known_pieces.value, rounds)
         return pa.table({"lang": table.column("lang").slice(0, 1), "p": pa.array([p.tobytes()], pa.binary())})
 
     got = sorted((r.lang, r.p) for r in chosen.groupBy("lang").applyInArrow(learn, "lang string, p binary").collect())
@@ -196,8 +244,8 @@ def fit(labelled: DataFrame, vocabulary: str = VOCABULARY, sample: int = SAMPLE,
 
 
 class Scorer:
-    def __init__(self, vocabulary: str, p: np.ndarray):
-        self.vocabulary, self.p = Vocabulary(vocabulary), p
+    def __init__(self, vocabulary: Vocabulary, p: np.ndarray):
+        self.vocabulary, self.p = vocabulary, p
         self.known, self.scores = np.zeros(0, np.uint64), np.zeros((0, p.shape[1]), np.float32)
 
     def texts(self, column: pa.LargeStringArray) -> np.ndarray:
@@ -224,17 +272,18 @@ def predict(df: DataFrame, langs: list[str], p: np.ndarray, vocabulary: str = VO
     """``keys``, lang_pred and score (its posterior, languages equally likely beforehand) of every whole text.
 
     A text that is null or has no letter, or any text if no language was learned, gives ``und`` and 0.
+    Every row has a result, repeated ones the same; ties go to the language that is first by name.
     """
     spark = df.sparkSession
-    sent = spark.sparkContext.broadcast(p)
+    sent = spark.sparkContext.broadcast((Vocabulary(vocabulary) if langs else None, p))
     rows = df.select(*keys, "text")
     schema = widened(rows.drop("text"), lang_pred="string", score="double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(vocabulary, sent.value) if langs else None
+        scorer = Scorer(*sent.value) if langs else None
         for batch in slices(batches, "text"):
             column = texts(batch.column("text"))
-            letter = np.array([bool(_LETTER.search(t)) for t in column.to_pylist()], bool)
+            letter = np.array([any(map(str.isalpha, t)) for t in column.to_pylist()], bool)
             if scorer is None:
                 lang, score = ["und"] * len(column), np.zeros(len(column))
             else:

@@ -267,35 +267,63 @@ def test_media_columns(spark):
 # --- 1, 5, 7, 10: learned -----------------------------------------------------------
 
 
-def test_forward_sums_all_segmentations():
+def test_forward_sums_all_segmentations(monkeypatch):
+    """Against every piece at every place of whole words, long ones, unspaced and uncuttable ones included."""
     v = langid.Vocabulary(langid.VOCABULARY)
-    w = words(texts(pa.array(["the naïve " + "z" * 70])), lower=True)
-    p = np.append(np.random.default_rng(1).random(v.size), 0.0)[:, None] * 1e-2
-    got = langid.Lattice(v, w.data, w.starts, w.ends).totals(p)[:, 0]
-    of = {int(h): i for i, h in enumerate(v.hashes[:-1])}
+    ids = {p: i for i, p in enumerate(langid.pieces(langid.VOCABULARY))}
+    chinese = "".join(chr(0x4E00 + i * 37 % 9000) for i in range(150))
+    w = words(texts(pa.array(["the naïve " + "z" * 700 + f" a {chinese} " + "ab" * 300, "internationalization" * 9, "=" * 64])), lower=True)
+    p = np.append(np.random.default_rng(1).random(v.size), 0.0)[:, None] * [1e-2, 1e-4]
+    lattice = langid.Lattice(v, w.data, w.starts, w.ends)
+    assert len(lattice.length) > len(w.hashes)  # the unspaced word is cut
+    got = lattice.totals(p)
+    monkeypatch.setattr(langid, "CELLS", 40)
+    assert np.allclose(got, langid.Lattice(v, w.data, w.starts, w.ends).totals(p))
+    longest = max(map(len, ids))
+    for i, (s, e) in enumerate(zip(w.starts, w.ends)):
+        raw = b" " + bytes(w.data[s:e])
+        for lang in range(2):
+            a = [0.0] + [-math.inf] * len(raw)  # logarithms, so that nothing underflows
+            for end in range(1, len(raw) + 1):
+                terms = [a[end - n] + math.log(p[j, lang]) for n in range(1, min(longest, end) + 1) if (j := ids.get(raw[end - n : end])) is not None]
+                top = max(terms)
+                a[end] = top + math.log(sum(math.exp(t - top) for t in terms))
+            assert got[i, lang] == pytest.approx(a[-1], abs=1e-6)
 
-    def ident(b):
-        h = 0
-        for x in b:
-            h = (h * int(langid._BASE) + x + 1) & 0xFFFFFFFFFFFFFFFF
-        return of.get(h)
 
-    for i, (s, e) in enumerate(zip(w.starts, w.ends)):
-        raw, total = bytes(w.data[s:e]), 0.0
-        for k in range(0, len(raw), langid.SPAN):
-            part = (b" " if k == 0 else b"") + raw[k : k + langid.SPAN]
-            a = [1.0] + [0.0] * len(part)
-            for end in range(1, len(part) + 1):
-                a[end] = sum(a[end - n] * p[j, 0] for n in range(1, min(langid.PIECE, end) + 1) if (j := ident(part[end - n : end])) is not None)
-            total += math.log(a[-1])
-        assert abs(got[i] - total) < 1e-6
+def test_expected_counts_are_those_of_all_segmentations():
+    v = langid.Vocabulary(langid.VOCABULARY)
+    ids = {p: i for i, p in enumerate(langid.pieces(langid.VOCABULARY))}
+    w = words(texts(pa.array(["there banana"])), lower=True)
+    p = np.append(np.random.default_rng(3).random(v.size), 0.0)[:, None] * 1e-2
+    got = langid.Lattice(v, w.data, w.starts, w.ends).expected(p, np.array([2.0, 1.0]))
+    want = Counter()
+    for raw, weight in ((b" there", 2), (b" banana", 1)):
+        ways = [[i for i in range(1, len(raw)) if bits >> i & 1] for bits in range(0, 1 << len(raw), 2)]
+        cut = [[raw[a:b] for a, b in itertools.pairwise([0, *way, len(raw)])] for way in ways]
+        cut = [(c, math.prod(p[ids[x], 0] for x in c)) for c in cut if all(x in ids for x in c)]
+        total = sum(q for _, q in cut)
+        for c, q in cut:
+            for x in c:
+                want[ids[x]] += weight * q / total
+    assert {i: got[i] for i in np.flatnonzero(got > 1e-9)} == pytest.approx({i: n for i, n in want.items() if n > 1e-9})
 
 
 def test_language_id_held_out(spark):
     got = queries.QUERIES["op1_language_id"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     assert sum(r.lang_pred == r.lang for r in got) >= 0.95 * len(got)
-    out = langid.predict(docs(spark, [(0, None), (1, "12 34"), (2, "é")]), ["x", "y"], np.full((langid.Vocabulary(langid.VOCABULARY).size + 1, 2), 1e-4))
-    assert [(r.lang_pred, r.score) for r in out.orderBy("doc_id").collect()] == [("und", 0.0), ("und", 0.0), ("x", 0.5)]
+    odd = docs(spark, [(0, None), (1, "12 34 ² ½ Ⅷ _"), (2, "é"), (2, "é"), (3, "字" * 20_000)]).withColumn("score", F.lit("clash"))
+    p = np.full((langid.Vocabulary(langid.VOCABULARY).size + 1, 2), 1e-4)
+    p[-1] = 0
+    out = langid.predict(odd, ["x", "y"], p)
+    assert [(r.lang_pred, r.score) for r in out.orderBy("doc_id").collect()] == [("und", 0.0), ("und", 0.0), ("x", 0.5), ("x", 0.5), ("x", 0.5)]
+    assert langid.predict(odd.limit(0), ["x", "y"], p).count() == 0
+    # the posterior is that of the words' probabilities
+    langs, p = langid.fit(docs(spark, [(i, prose(random.Random(i), 50, "abc" if i % 2 else "xyz")) for i in range(20)]).withColumn("lang", F.when(F.col("doc_id") % 2 == 1, "l1").otherwise("l2")))
+    w = words(texts(pa.array(["abba xy"])), lower=True)
+    log = langid.Lattice(langid.Vocabulary(langid.VOCABULARY), w.data, w.starts, w.ends).totals(p).sum(axis=0)
+    r = langid.predict(docs(spark, [(0, "Abba xy")]), langs, p).first()
+    assert langs == ["l1", "l2"] and r.lang_pred == langs[log.argmax()] and r.score == pytest.approx(1 / (1 + math.exp(-abs(log[0] - log[1]))), abs=1e-4)
     assert langid.fit(docs(spark, [(0, "a")]))[0] == []
     assert [r.lang_pred for r in langid.predict(docs(spark, [(0, "a")]), [], np.zeros((0, 0))).collect()] == ["und"]
 

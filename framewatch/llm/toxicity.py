@@ -1,7 +1,7 @@
 """Toxicity by a weighted lexicon: Aho-Corasick over folded text, normalised by length, with exception phrases.
 
 Folding lower-cases, maps homoglyphs (Cyrillic, Greek, full width) and digit or
-sign substitutions to one letter, drops invisible characters and turns
+sign substitutions to one letter, drops invisible characters and accents and turns
 punctuation into spaces. ``l`` and ``1`` and ``i`` fold to one letter, in texts
 and lexicon alike. An entry is the beginning of a word (or a whole one); it is
 learned, with its weight, from how much more often labelled toxic texts use it.
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from framewatch.llm.common import slices, texts, widened
 
-#: Labelled rows that the lexicon and the curve are fitted to (in expectation), and entries kept at most.
-SAMPLE, ENTRIES = 20_000, 5_000
+#: Labelled rows that the lexicon, its exceptions and the curve are fitted to (in expectation); so many texts bound them.
+SAMPLE = 20_000
 #: An entry has so many characters at least, occurs in so many toxic texts, and so much more often there than in clean ones.
 SHORTEST, LONGEST, DOCS, RATIO = 4, 10, 6, 8.0
 #: An exception occurs in so many clean texts, and in no toxic one.
@@ -33,7 +33,7 @@ EXCEPTION = 3
 THRESHOLD = 0.7
 #: Characters that look like a Latin letter, and the letter.
 HOMOGLYPHS = {
-    "аɑα": "a", "ЬЪв": "b", "сϲ": "c", "ԁ": "d", "еєε": "e", "ɡ": "g", "һн": "h", "іїιı": "i", "ј": "j", "кκ": "k", "мμ": "m", "пηո": "n", "оοσօ": "o",
+    "аɑα": "a", "ьъв": "b", "сϲ": "c", "ԁ": "d", "еєε": "e", "ɡ": "g", "һн": "h", "іїιı": "i", "ј": "j", "кκ": "k", "мμ": "m", "пηո": "n", "оοσօ": "o",
     "рρ": "p", "ѕ": "s", "тτ": "t", "υս": "u", "ѵν": "v", "ԝω": "w", "хχ": "x", "уγү": "y",
 }
 SUBSTITUTES = {"0": "o", "1": "i", "l": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
@@ -45,7 +45,7 @@ def _folds() -> dict[int, str | None]:
         kind = unicodedata.category(chr(code))
         if kind[0] in "PZ" or kind == "Cc" or kind[0] == "S":
             table[code] = " "
-        elif kind == "Cf":
+        elif kind == "Cf" or 0x300 <= code < 0x370:  # invisible, and accents
             table[code] = None
     for code in range(0xFF01, 0xFF5F):  # full width
         plain = chr(code - 0xFEE0).lower()
@@ -64,7 +64,7 @@ _ASCII = bytes(ord(_TABLE.get(i, chr(i)) or " ") for i in range(128)) + bytes(ra
 def fold(text: str) -> str:
     """The folded text with a space before each word and one at the end."""
     text = text.lower()
-    text = text.encode().translate(_ASCII).decode() if text.isascii() else unicodedata.normalize("NFC", text).translate(_TABLE)
+    text = text.encode().translate(_ASCII).decode() if text.isascii() else unicodedata.normalize("NFKD", text).translate(_TABLE)
     return f" {text} "
 
 
@@ -74,7 +74,7 @@ class Lexicon:
 
     entries: dict[str, float]
     exceptions: frozenset[str]
-    curve: tuple[float, float, float] = (-4.0, 1.0, 0.5)
+    curve: tuple[float, ...] = (-4.0, 0.0, 0.0, 0.0)  # bias, and weights of what ``measure`` gives
 
     def automaton(self) -> ahocorasick.Automaton:
         found = ahocorasick.Automaton()
@@ -89,9 +89,14 @@ def phrases(folded: str, start: int) -> tuple[str, ...]:
     """The word at ``start`` (of the space before it), and with the word before and after it."""
     end = folded.find(" ", start + 1)
     word = folded[start + 1 : end]
-    before = folded[:start].rstrip()[-64:].rpartition(" ")[2] if start < 4096 else folded[start - 128 : start].rstrip().rpartition(" ")[2]
-    after = folded[end : end + 128].split(None, 1)[:1]
-    return (word, f"{before} {word}" if before else "", f"{word} {after[0]}" if after else "")
+    low, high = start, end
+    while low > 0 and folded[low - 1] == " ":
+        low -= 1
+    while high < len(folded) and folded[high] == " ":
+        high += 1
+    before = folded[folded.rfind(" ", 0, low) + 1 : low] if low else ""
+    after = folded[high : folded.find(" ", high)] if high < len(folded) else ""
+    return (word, f"{before} {word}" if before else "", f"{word} {after}" if after else "")
 
 
 def matches(folded: str, automaton: ahocorasick.Automaton) -> dict[int, float]:
@@ -105,14 +110,12 @@ def matches(folded: str, automaton: ahocorasick.Automaton) -> dict[int, float]:
     return {start: weight for start, (_, weight) in best.items()}
 
 
-def measure(text: str, automaton: ahocorasick.Automaton, exceptions: frozenset[str]) -> tuple[float, float]:
-    """Weight of the matches outside exceptions per hundred words (ten added, so that one match in a very short text is no proof), and the logarithm of one plus that weight."""
+def measure(text: str, automaton: ahocorasick.Automaton, exceptions: frozenset[str]) -> tuple[float, float, float]:
+    """Of the matches outside exceptions: logarithms of one plus their weight per hundred words (ten added, so that one match in a very short text is no proof) and of one plus their weight, and the greatest weight."""
     folded = fold(text)
-    weight = 0.0
-    for start, w in matches(folded, automaton).items():
-        if not exceptions or exceptions.isdisjoint(phrases(folded, start)):
-            weight += w
-    return 100 * weight / (len(folded.split()) + 10) if weight else 0.0, float(np.log1p(weight))
+    found = [w for start, w in matches(folded, automaton).items() if not exceptions or exceptions.isdisjoint(phrases(folded, start))]
+    weight = sum(found)
+    return float(np.log1p(100 * weight / (len(folded.split()) + 10))) if found else 0.0, float(np.log1p(weight)), max(found, default=0.0)
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Lexicon:
@@ -138,7 +141,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Lexicon:
     counts = rows.mapInArrow(count, "entry string, bad long, good long, docs long").groupBy("entry").agg(*(F.sum(c).alias(c) for c in ("bad", "good", "docs")))
     total = F.broadcast(counts.filter("entry = ''").select(F.col("bad").alias("all_bad"), F.col("good").alias("all_good")))
     ratio = ((F.col("bad") + 0.5) / (F.col("all_bad") + 1)) / ((F.col("good") + 0.5) / (F.col("all_good") + 1))
-    best = counts.filter(f"entry != '' and docs >= {DOCS}").join(total).withColumn("ratio", ratio).filter(F.col("ratio") >= RATIO).orderBy(F.desc(F.col("docs") * F.log("ratio")), "entry").limit(ENTRIES).collect()
+    best = counts.filter(f"entry != '' and docs >= {DOCS}").join(total).withColumn("ratio", ratio).filter(F.col("ratio") >= RATIO).collect()
     entries: dict[str, float] = {}
     kept: dict[str, tuple[float, int]] = {}
     for r in sorted(best, key=lambda r: (len(r.entry), r.entry)):
@@ -159,27 +162,27 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Lexicon:
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([t for _, t in found], pa.int32())], names=["phrase", "toxic"])
 
     seen = rows.mapInArrow(around, "phrase string, toxic int").groupBy("phrase").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
-    exceptions = frozenset(r.phrase for r in seen.filter(f"bad = 0 and n >= {EXCEPTION}").orderBy(F.desc("n"), "phrase").limit(ENTRIES).collect())
+    exceptions = frozenset(r.phrase for r in seen.filter(f"bad = 0 and n >= {EXCEPTION}").collect())
     lexicon.exceptions = exceptions
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
         for batch in batches:
-            got = np.array([measure(t, automaton, exceptions) for t in batch.column("text").to_pylist()]).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(got[:, 0]), pa.array(got[:, 1])], names=["toxic", "a", "b"])
+            got = np.array([measure(t, automaton, exceptions) for t in batch.column("text").to_pylist()]).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), *(pa.array(c) for c in got.T)], names=["toxic", "a", "b", "c"])
 
-    got = rows.mapInArrow(features, "toxic int, a double, b double").toArrow()
-    lexicon.curve = _logistic(np.stack([got.column("a").to_numpy(), got.column("b").to_numpy()], axis=1), got.column("toxic").to_numpy().astype(float))
+    got = rows.mapInArrow(features, "toxic int, a double, b double, c double").toArrow()
+    lexicon.curve = _logistic(np.stack([got.column(c).to_numpy() for c in "abc"], axis=1), got.column("toxic").to_numpy().astype(float))
     return lexicon
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     """Bias and weights by Newton steps, with a little ridge."""
-    x = np.concatenate([np.ones((len(x), 1)), np.minimum(x, 50)], axis=1)
-    w = np.zeros(3)
+    x = np.concatenate([np.ones((len(x), 1)), x], axis=1)
+    w = np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(3)
+        h = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(x.shape[1])
         w += np.linalg.solve(h, x.T @ (y - p) - 0.1 * w)
     return tuple(float(v) for v in w)
 
@@ -195,8 +198,8 @@ def score(df: DataFrame, lexicon: Lexicon, keys: list[str] | None = None, out: s
         lexicon = sent.value
         automaton = lexicon.automaton()
         for batch in slices(batches, "text"):
-            x = np.array([measure(t, automaton, lexicon.exceptions) for t in texts(batch.column("text")).to_pylist()]).reshape(-1, 2)
-            z = lexicon.curve[0] + np.minimum(x, 50) @ np.array(lexicon.curve[1:])
+            x = np.array([measure(t, automaton, lexicon.exceptions) for t in texts(batch.column("text")).to_pylist()]).reshape(-1, 3)
+            z = lexicon.curve[0] + x @ np.array(lexicon.curve[1:])
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=schema.names)
 
     return rows.mapInArrow(run, schema)

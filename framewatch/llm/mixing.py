@@ -4,14 +4,15 @@ A linear classifier over hashed words, fitted to a labelled table, gives every
 document a posterior over domains. Nonnegative rates per document are then fitted
 by projected gradient least squares so that the expected tokens of each domain
 (rate x tokens x posterior, summed over all documents) meet their targets. A
-gradient step needs only the totals by domain: each task folds the steps so far
-into its documents' rates, sums, and sends one row; the driver holds as many
-numbers as there are domains.
+gradient step needs only the totals by domain: each task folds the steps since the
+rates were last written into its documents' rates, sums, and sends a row for each
+domain; the driver holds as many numbers as there are domains.
 """
 
 from __future__ import annotations
 
 import pickle
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +30,8 @@ SAMPLE = 3000
 #: Hashed features: words and word endings share these buckets.
 BUCKETS = 1 << 14
 EPOCHS, RATE, RIDGE = 60, 0.3, 1e-3
-STEPS, TOLERANCE = 60, 1e-3
+#: Gradient steps at most, the distance from a target (as a share of it) that is near enough, and steps after which the rates are written.
+STEPS, TOLERANCE, WRITTEN = 200, 1e-3, 8
 
 
 @dataclass
@@ -63,37 +65,44 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return p / p.sum(axis=1, keepdims=True)
 
 
-def train(column: pa.LargeStringArray, target: np.ndarray, domains: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and bias of the softmax by Adam on distinct features of each text, their shares as values."""
+def sparse(column: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct features of each text (bucket), their shares of its words, and where each text's begin: BUCKETS at most, however long it is."""
     w = words(column)
-    a, b = features(w)
     row = np.concatenate([w.row_of_word()] * 2)
-    key, times = np.unique(row * BUCKETS + np.concatenate([a, b]), return_counts=True)
-    row, bucket = key // BUCKETS, key % BUCKETS
-    value = times / np.maximum(1, np.diff(w.offsets))[row]
+    key, times = np.unique(row * BUCKETS + np.concatenate(features(w)), return_counts=True)
+    row = key // BUCKETS
+    return (key % BUCKETS).astype(np.int32), (times / np.maximum(1, np.diff(w.offsets))[row]).astype(np.float32), np.searchsorted(row, np.arange(len(column) + 1))
+
+
+def train(bucket: np.ndarray, value: np.ndarray, offsets: np.ndarray, target: np.ndarray, domains: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and bias of the softmax by Adam on the sparse features of some texts."""
+    row = np.repeat(np.arange(len(target)), np.diff(offsets))
+    used, bucket = np.unique(bucket, return_inverse=True)
     by_bucket = np.argsort(bucket, kind="stable")
-    row_cut, bucket_cut = np.searchsorted(row, np.arange(len(column))), np.searchsorted(bucket[by_bucket], np.arange(BUCKETS))
-    full_rows = np.diff(np.append(row_cut, len(row))) > 0
-    full_buckets = np.diff(np.append(bucket_cut, len(row))) > 0
-    weights, bias = np.zeros((BUCKETS, domains)), np.log((np.bincount(target, minlength=domains) + 0.5) / (len(target) + 0.5 * domains))
+    bucket_cut = np.searchsorted(bucket[by_bucket], np.arange(len(used)))
+    full = np.diff(offsets) > 0
+    weights, bias = np.zeros((len(used), domains), np.float32), np.log((np.bincount(target, minlength=domains) + 0.5) / (len(target) + 0.5 * domains))
     m, v = np.zeros_like(weights), np.zeros_like(weights)
     hot = np.eye(domains)[target]
+    value = value[:, None]
     for step in range(1, EPOCHS + 1):
-        x = np.zeros((len(column), domains))
+        x = np.zeros((len(target), domains), np.float32)
         if len(row):
-            x[full_rows] = np.add.reduceat(weights[bucket] * value[:, None], row_cut[full_rows], axis=0)
-        error = (softmax(x + bias) - hot) / len(target)
+            x[full] = np.add.reduceat(weights[bucket] * value, offsets[:-1][full], axis=0)
+        error = ((softmax(x + bias) - hot) / len(target)).astype(np.float32)
         grad = RIDGE * weights / len(target)
         if len(row):
-            grad[full_buckets] += np.add.reduceat((error[row] * value[:, None])[by_bucket], bucket_cut[full_buckets], axis=0)
+            grad += np.add.reduceat((error[row] * value)[by_bucket], bucket_cut, axis=0)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         weights -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
         bias -= 2.0 * error.sum(axis=0)
-    return weights, bias
+    every = np.zeros((BUCKETS, domains))
+    every[used] = weights
+    return every, bias
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Classifier:
-    """A classifier from (text, domain, doc_id) rows; rows with a null domain are left out. ``sample`` of them, by a hash, are used."""
+    """A classifier from (text, domain, doc_id) rows; rows with a null domain are left out. About ``sample`` of them, by a hash, are used, in one task, which gets a bounded number of features a row."""
     known = labelled.filter(F.col("domain").isNotNull())
     counts = {r.domain: r["count"] for r in known.groupBy("domain").count().collect()}
     domains = sorted(counts)
@@ -102,12 +111,22 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Classifier:
     n = sum(counts.values())
     chosen = known.filter(F.pmod(F.xxhash64("doc_id", "domain"), F.lit(1 << 20)) * F.lit(n) < F.lit(sample << 20)).select("text", "domain", F.lit(1).alias("one"))
 
+    number = {d: i for i, d in enumerate(domains)}
+
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            bucket, value, offsets = sparse(texts(batch.column("text")))
+            lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x)) for x in (bucket, value)]
+            yield pa.RecordBatch.from_arrays([batch.column("one"), pa.array([number[d] for d in batch.column("domain").to_pylist()], pa.int32()), *lists], names=["one", "target", "bucket", "value"])
+
     def learn(part: pa.Table) -> pa.Table:
-        number = {d: i for i, d in enumerate(domains)}
-        target = np.array([number[d] for d in part.column("domain").to_pylist()])
-        return pa.table({"w": pa.array([pickle.dumps(train(texts(part.column("text")), target, len(domains)))], pa.binary())})
+        part = part.combine_chunks()
+        bucket, value = (part.column(c).combine_chunks() for c in ("bucket", "value"))
+        offsets = np.concatenate([[0], np.cumsum(bucket.value_lengths().to_numpy())])
+        found = train(bucket.flatten().to_numpy(), value.flatten().to_numpy(), offsets, part.column("target").to_numpy(), len(domains))
+        return pa.table({"w": pa.array([pickle.dumps(found)], pa.binary())})
 
-    got = chosen.groupBy("one").applyInArrow(learn, "w binary").collect()
+    got = chosen.mapInArrow(reduced, "one int, target int, bucket array<int>, value array<float>").groupBy("one").applyInArrow(learn, "w binary").collect()
     if not got:
         share = np.array([counts[d] for d in domains], float)
         return Classifier(domains, np.zeros((BUCKETS, len(domains))), np.log(share / share.sum()))
@@ -136,54 +155,84 @@ def _matrix(batch: pa.RecordBatch, d: int) -> np.ndarray:
     return batch.column("posterior").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
 
-def rates(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    """Rates after the steps, from 1: each goes down the gradient and back to nonnegative."""
-    r = np.ones(len(p))
+def rates(p: np.ndarray, steps: list[np.ndarray], begin: np.ndarray) -> np.ndarray:
+    """Rates after the steps: each goes down the gradient and back to nonnegative."""
+    r = begin.copy()
     for s in steps:
         r = np.maximum(0.0, r - p @ s)
     return r
 
 
-def solve(table: DataFrame, targets: np.ndarray, steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[list[np.ndarray], np.ndarray]:
-    """Gradient steps that bring the expected tokens by domain to ``targets``, and the totals that they reach.
+def _moved(steps: list[np.ndarray], d: int):
+    """Rows with their rates after the steps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = pa.array(rates(_matrix(batch, d), steps, batch.column("rate").to_numpy()))
+            yield batch.set_column(batch.schema.get_field_index("rate"), "rate", new)
+
+    return run
+
+
+def solve(table: DataFrame, targets: np.ndarray, steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[DataFrame, np.ndarray]:
+    """``table`` (n_tokens, posterior, rate, more) with rates that bring the expected tokens by domain to ``targets``, and the totals that they reach.
 
     Least squares of (total - target) / sqrt(mass of the domain) in the metric of
-    tokens; posteriors sum to 1, so a step of 1 never overshoots.
+    tokens; posteriors sum to 1, so a step of 1 never overshoots. Targets that no
+    nonnegative rates meet are met as nearly as ``steps`` steps come, with a warning.
     """
     d = len(targets)
 
-    def totals(taken: list[np.ndarray]) -> np.ndarray:
+    def totals(table: DataFrame, taken: list[np.ndarray]) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(d)
             for batch in batches:
                 p = _matrix(batch, d)
-                total += (rates(p, taken) * batch.column("n_tokens").to_numpy()) @ p
+                total += (rates(p, taken, batch.column("rate").to_numpy()) * batch.column("n_tokens").to_numpy()) @ p
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(d, dtype=np.int32)), pa.array(total)], names=["d", "x"])
 
         got = np.zeros(d)
-        for r in table.select("n_tokens", "posterior").mapInArrow(run, "d int, x double").groupBy("d").agg(F.sum("x").alias("x")).collect():
+        for r in table.select("n_tokens", "posterior", "rate").mapInArrow(run, "d int, x double").groupBy("d").agg(F.sum("x").alias("x")).collect():
             got[r.d] = r.x
         return got
 
     taken: list[np.ndarray] = []
-    now = mass = totals(taken)
+    now = mass = totals(table, taken)
+    near = lambda: (np.abs(now - targets) <= tolerance * np.maximum(targets, 1)).all()
     for _ in range(steps):
-        if (np.abs(now - targets) <= tolerance * np.maximum(targets, 1)).all():
+        if near():
             break
         taken.append((now - targets) / np.maximum(mass, 1e-9))
-        now = totals(taken)
-    return taken, now
+        if len(taken) == WRITTEN:
+            table, taken = kept(table.mapInArrow(_moved(taken, d), table.schema), "rates"), []
+        now = totals(table, taken)
+    if not near():
+        warnings.warn(f"expected tokens {now.tolist()} stay off the targets {targets.tolist()} after {steps} steps", stacklevel=2)
+    return table.mapInArrow(_moved(taken, d), table.schema), now
 
 
 def mix_to_targets(docs: DataFrame, model: Classifier, weights: dict[str, float], keys: list[str] | None = None) -> DataFrame:
-    """``keys`` (by default all columns), n_tokens, domain (likeliest; null if none was learned), posterior, rate for every document.
+    """``keys`` (by default all columns), n_tokens, posterior, rate, domain, gap for every document.
 
     ``weights``: share of all tokens that each domain should have; a domain
-    without one keeps what is left in proportion to its mass. The total stays as it is.
+    without one keeps what is left in proportion to its mass. The total stays as it
+    is. domain is the likeliest (null if none was learned), gap the greatest distance
+    of a domain's expected tokens from its target, as a share of it (0 without
+    domains). A column of ``docs`` with one of these names is kept with ``in_``
+    before it. A null text is empty: it has no tokens, the posterior of the bias,
+    and a rate as any other. Repeated rows each have a row.
     """
-    keys = [c for c in (keys or docs.columns) if c not in {"n_tokens", "domain", "posterior", "rate"}]
-    table = kept(posteriors(docs, model, keys), "posteriors")
+    own = ("n_tokens", "posterior", "rate", "domain", "gap")
+    keys = list(keys or docs.columns)
+    for name in own:
+        if name in keys:
+            free = f"in_{name}"
+            while free in docs.columns:
+                free = f"in_{free}"
+            docs, keys = docs.withColumnRenamed(name, free), [free if k == name else k for k in keys]
+    table = kept(posteriors(docs, model, keys).withColumn("rate", F.lit(1.0)), "posteriors")
     d = len(model.domains)
+    gap = 0.0
     if d:
         sums = table.select("n_tokens", F.posexplode("posterior").alias("d", "p")).groupBy("d").agg(F.sum(F.col("n_tokens") * F.col("p")).alias("x")).collect()
         mass = np.zeros(d)
@@ -193,22 +242,18 @@ def mix_to_targets(docs: DataFrame, model: Classifier, weights: dict[str, float]
         free = np.isnan(want)
         left = max(0.0, 1 - np.nansum(want))
         want[free] = left * mass[free] / max(mass[free].sum(), 1e-9)
-        steps, _ = solve(table, want * mass.sum())
-    else:
-        steps = []
-    schema = widened(table, domain="string", rate="double")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = _matrix(batch, d) if d else np.zeros((batch.num_rows, 0))
-            best = [model.domains[i] for i in p.argmax(axis=1)] if d else [None] * batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string()), pa.array(rates(p, steps))], names=schema.names)
-
-    return table.mapInArrow(run, schema)
+        targets = want * mass.sum()
+        table, reached = solve(table, targets)
+        gap = float((np.abs(reached - targets) / np.maximum(targets, 1)).max())
+    names = F.array(*map(F.lit, model.domains)).cast("array<string>")
+    return table.withColumn("domain", F.get(names, (F.array_position("posterior", F.array_max("posterior")) - 1).cast("int"))).withColumn("gap", F.lit(gap))
 
 
 def labelled_domains(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """(doc_id, text, domain) of about ``size`` labelled documents; the domain is the language and the labelled quality. That many ids are broadcast."""
+    """(doc_id, text, domain) of about ``size`` labelled documents; the domain is the language and the labelled quality. That many ids are broadcast.
+
+    Rows without a language or a label are left out; of several labels of a doc_id the greatest counts.
+    """
     known = labels.filter(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("_q"))
     n = known.count()
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) * F.lit(n) < F.lit(size << 20))

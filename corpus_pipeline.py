@@ -53,7 +53,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("mixing", mix_domains),
 ]
 
-#: Learned scores have no SQL form; the tests hold each stage against a brute-force version.
+#: Learned scores have no SQL form; tests/llm holds the rows that each stage keeps, and the mixing totals, against brute force on a small table.
 ORACLE_SQL = None
 
 

@@ -367,12 +367,13 @@ def test_gradients_of_the_network():
 
 
 def test_the_network_learns_order_and_its_softmaxes_sum_to_one():
-    cls, slot, offsets = np.tile([3, 7, 70], 400), np.tile([31, 31, 5], 400), np.array([0, 600, 1200])
+    other = lm.IN_CLASS - 1
+    cls, slot, offsets = np.tile([3, 7, 50], 400), np.tile([other, other, 5], 400), np.array([0, 600, 1200])
     trained = lm.train(cls, slot, offsets, epochs=30)
     assert lm.log_probabilities(trained, cls, slot, offsets).mean() > -0.5
     every = [(c, s) for c in range(lm._CLASSES) for s in (range(lm.IN_CLASS) if c >= lm.SINGLE else [lm.IN_CLASS - 1])]
-    one = [lm.log_probabilities(trained, np.array([3, 7, c]), np.array([31, 31, s]), np.array([0, 3]))[2] for c, s in every[:: len(every) // 50]]
-    last = np.array([[3, 7, c] for c, _ in every]).ravel(), np.array([[31, 31, s] for _, s in every]).ravel(), np.arange(len(every) + 1) * 3
+    one = [lm.log_probabilities(trained, np.array([3, 7, c]), np.array([other, other, s]), np.array([0, 3]))[2] for c, s in every[:: len(every) // 50]]
+    last = np.array([[3, 7, c] for c, _ in every]).ravel(), np.array([[other, other, s] for _, s in every]).ravel(), np.arange(len(every) + 1) * 3
     p = np.exp(lm.log_probabilities(trained, *last)[2::3].astype(float))
     assert p.sum() == pytest.approx(1, abs=1e-4) and np.allclose(np.log(p[:: len(every) // 50]), one, atol=1e-4)
 

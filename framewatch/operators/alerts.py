@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewatch.operators import windows as W
+
 #: Severities by level.
 LEVELS = {"INFO": 0, "LOW": 1, "MEDIUM": 2, "HIGH": 3, "CRITICAL": 4}
 
@@ -39,7 +41,11 @@ _ORDER = ("ts_us", "seq", "rule_name")
 
 
 def rate_limit(alerts: DataFrame, per_second: int, sliding: bool = False) -> DataFrame:
-    """The first ``per_second`` alerts of each bus and second; ``sliding``: at most so many kept in any trailing second (a scan per bus, times only)."""
+    """The first ``per_second`` alerts of each bus and second; ``sliding``: at most so many kept in any trailing second.
+
+    A second without an alert forgets all before it, so a bus is scanned in the
+    stretches between such gaps, order columns only. Repeated rows count as often as they occur; a null bus is one more bus.
+    """
     if not sliding:
         w = Window.partitionBy("bus", F.expr("ts_us div 1000000")).orderBy(*_ORDER)
         return alerts.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= per_second).drop("_n")
@@ -53,9 +59,15 @@ def rate_limit(alerts: DataFrame, per_second: int, sliding: bool = False) -> Dat
                 kept.append(now)
         return part[keep]
 
-    keys = alerts.select("bus", *_ORDER)
-    kept = keys.groupBy("bus").applyInPandas(scan, keys.schema)
-    return alerts.join(kept, ["bus", *_ORDER], "left_semi")
+    rows = W.copies(alerts, ["bus", *_ORDER])
+    slim = rows.select("bus", *_ORDER, "_copy")
+    times, w = W.bus_blocks(slim.select("bus", "ts_us").distinct().withColumn("seq", F.lit(0)), 1)
+    far = F.coalesce(F.col("ts_us") - F.lag("ts_us").over(w) >= 1_000_000, F.lit(True)).cast("int")
+    stretches = W.running_sum(times.withColumn("_far", far).filter("_native = 1").select("bus", "ts_us", "seq", "_far"), F.col("_far"), "_stretch")
+    dealt = W.null_safe(slim, stretches.select("bus", "ts_us", "_stretch"), ["bus", "ts_us"])
+    columns = slim.columns
+    kept = dealt.groupBy("bus", "_stretch").applyInPandas(lambda part: scan(part)[columns], slim.schema)
+    return W.null_safe(rows, kept, columns, "left_semi").drop("_copy")
 
 
 def keep_apart(times: np.ndarray, width: int) -> np.ndarray:
@@ -70,7 +82,8 @@ def keep_apart(times: np.ndarray, width: int) -> np.ndarray:
 def dedup(alerts: DataFrame, window_s: float = 60.0) -> DataFrame:
     """Drops an alert if one of the same bus, rule, id and severity was kept less than ``window_s`` before.
 
-    Only signature and order reach the tasks that scan; what they keep is joined back.
+    Null is a value like any other here (alerts of a whole bus have no id). Of repeated
+    rows one is kept. Only signature and order reach the tasks that scan, one signature each; what they keep is joined back.
     """
     width = int(window_s * 1_000_000)
 
@@ -79,9 +92,10 @@ def dedup(alerts: DataFrame, window_s: float = 60.0) -> DataFrame:
         return part.iloc[keep_apart(part["ts_us"].to_numpy(), width)]
 
     keys = ["bus", "rule_name", "can_id", "severity"]
-    rows = alerts.select(*keys, "ts_us", "seq")
-    kept = rows.groupBy(*keys).applyInPandas(scan, rows.schema)
-    return alerts.join(kept, [*keys, "ts_us", "seq"], "left_semi")
+    rows = W.copies(alerts, [*keys, "ts_us", "seq"]).filter("_copy = 1").drop("_copy")
+    slim = rows.select(*keys, "ts_us", "seq")
+    kept = slim.groupBy(*keys).applyInPandas(scan, slim.schema)
+    return W.null_safe(rows, kept, slim.columns, "left_semi")
 
 
 def process(alerts: DataFrame, source: str = "rules", min_severity: str = "INFO", min_confidence: float = 0.0, per_second: int = 10, window_s: float = 60.0) -> DataFrame:

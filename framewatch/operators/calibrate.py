@@ -11,8 +11,8 @@ from framewatch.functions import payload as P
 from framewatch.operators import windows as W
 
 KEYS = ("bus", "can_id")
-#: Intervals that the periodicity of an id is measured on; of longer series, evenly spaced stretches.
-SERIES = 65_536
+#: Intervals in one stretch of an id's history, each of which has a spectrum of its own.
+STRETCH = 65_536
 
 
 def _w(keys: tuple[str, ...]):
@@ -66,9 +66,14 @@ def periodicity(deltas: np.ndarray) -> float:
     return float(power.max() / power.sum()) if power.sum() > 1e-12 else 0.0
 
 
-def timing_profile(frames: DataFrame, keys: tuple[str, ...] = KEYS, series: int = SERIES) -> DataFrame:
-    """regularity_cv, and periodicity_score averaged over stretches of ``series`` intervals, so that no task holds an id's whole history."""
-    rows = _later(frames, keys).withColumn("_part", F.expr(f"(row_number() over (partition by {', '.join(keys)} order by ts_us, seq) - 1) div {series}"))
+def timing_profile(frames: DataFrame, keys: tuple[str, ...] = KEYS, stretch: int = STRETCH) -> DataFrame:
+    """regularity_cv, and periodicity_score: the mean over consecutive stretches of ``stretch`` intervals, weighted by their intervals.
+
+    An id's history is taken in stretches at every size (the averaged periodogram), so that
+    what is periodic within one is found wherever it lies and no task holds more than a
+    stretch; a history shorter than that is one stretch, and the score that of its whole spectrum.
+    """
+    rows = _later(frames, keys).withColumn("_part", F.expr(f"(row_number() over (partition by {', '.join(keys)} order by ts_us, seq) - 1) div {stretch}"))
     cv = rows.groupBy(*keys).agg(F.when(F.avg("iat") > 0, F.coalesce(F.stddev_samp("iat"), F.lit(0.0)) / F.avg("iat")).otherwise(0.0).alias("regularity_cv"))
     kinds = {f.name: f.dataType.simpleString() for f in frames.schema.fields}
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from framewatch.functions import payload as P
 from framewatch.operators import calibrate as C
 from framewatch.operators import windows as W
-from framewatch.operators.evaluate import confusion
+from framewatch.operators.evaluate import metrics
 
 KEYS = ["bus", "can_id"]
 
@@ -104,7 +104,7 @@ def hybrid(frames: DataFrame, p99: DataFrame, **limits: float) -> DataFrame:
 def dos_crosscheck(df: DataFrame, fp_max: int, base: str = "pred", id_threshold: int = 0x100, epoch_s: float = 1.0) -> DataFrame:
     """Adds dos_check: of base hits, those of ids up to the threshold beyond the first ``fp_max`` of the id in its epoch (counted from the bus's first frame)."""
     first = df.groupBy("bus").agg(F.min("ts_us").alias("_t0"))
-    rows = df.join(F.broadcast(first), "bus").withColumn("_epoch", F.expr(f"(ts_us - _t0) div {int(epoch_s * 1_000_000)}"))
+    rows = W.null_safe(df, first, ["bus"]).withColumn("_epoch", F.expr(f"(ts_us - _t0) div {int(epoch_s * 1_000_000)}"))
     hit = (F.col(base) == 1) & (F.col("can_id") <= id_threshold)
     count = F.sum(_flag(hit)).over(Window.partitionBy(*KEYS, "_epoch").orderBy(*W.ORDER).rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("dos_check", _flag(hit & (count > fp_max))).drop("_t0", "_epoch")
@@ -153,8 +153,12 @@ def by_vehicle(df: DataFrame, profiles: DataFrame, default: str, columns: list[s
 
 def compare_vehicles(df: DataFrame, profiles: DataFrame, tolerance: float = 0.1) -> DataFrame:
     """recall, precision, f1 of each vehicle's timing calibration (``mean`` per id) on one labelled table; an id that a calibration lacks counts as a hit."""
-    names = profiles.select(F.col("vehicle").alias("calibration")).distinct()
-    rows = df.select("can_id", "time_delta", "attack").join(F.broadcast(names))
-    joined = rows.join(profiles.select(F.col("vehicle").alias("calibration"), "can_id", "mean"), ["calibration", "can_id"], "left")
+    attack, normal = F.coalesce(F.col("attack") == 1, F.lit(False)), ~F.coalesce(F.col("attack") == 1, F.lit(False))
+    count = lambda c, name: F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(name)
+    joined = df.select("can_id", "time_delta", "attack").join(profiles.select(F.col("vehicle").alias("calibration"), "can_id", "mean"), "can_id")
     hit = F.coalesce(F.abs(F.col("time_delta") - F.col("mean")) > tolerance * F.col("mean"), F.lit(True))
-    return confusion(joined.withColumn("pred", hit.cast("int")), by=["calibration"]).select("calibration", "recall", "precision", "f1")
+    seen = joined.groupBy("calibration").agg(count(attack, "a"), count(normal, "b"), count(attack & hit, "ah"), count(normal & hit, "bh"))
+    all_rows = df.agg(count(attack, "all_a"), count(normal, "all_b"))
+    rows = profiles.select(F.col("vehicle").alias("calibration")).distinct().join(seen, "calibration", "left").fillna(0).join(F.broadcast(all_rows))
+    tp, fp = F.col("all_a") - F.col("a") + F.col("ah"), F.col("all_b") - F.col("b") + F.col("bh")
+    return rows.withColumns(metrics(tp, fp, F.col("b") - F.col("bh"), F.col("a") - F.col("ah"))).select("calibration", "recall", "precision", "f1")

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewatch.operators import windows as W
+from framewatch.storage import kept
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(0.0)
 
 
-def _metrics(tp: Column, fp: Column, tn: Column, fn: Column) -> dict[str, Column]:
+def metrics(tp: Column, fp: Column, tn: Column, fn: Column) -> dict[str, Column]:
     precision, recall = _ratio(tp, tp + fp), _ratio(tp, tp + fn)
     return {
         "accuracy": _ratio(tp + tn, tp + tn + fp + fn), "precision": precision, "recall": recall, "f1": _ratio(2 * precision * recall, precision + recall),
@@ -23,7 +26,7 @@ def confusion(df: DataFrame, label: str = "attack", pred: str = "pred", by: list
     a, p = F.coalesce(F.col(label), F.lit(0)) == 1, F.coalesce(F.col(pred), F.lit(0)) == 1
     count = lambda c: F.sum(c.cast("long"))
     out = df.groupBy(*(by or [])).agg(count(a & p).alias("tp"), count(~a & p).alias("fp"), count(~a & ~p).alias("tn"), count(a & ~p).alias("fn"), F.count("*").alias("n"))
-    return out.withColumns(_metrics(*(F.col(c) for c in ("tp", "fp", "tn", "fn"))))
+    return out.withColumns(metrics(*(F.col(c) for c in ("tp", "fp", "tn", "fn"))))
 
 
 def by_attack_type(df: DataFrame, label: str = "attack", pred: str = "pred") -> DataFrame:
@@ -34,17 +37,26 @@ def by_attack_type(df: DataFrame, label: str = "attack", pred: str = "pred") ->
 def roc(df: DataFrame, label: str = "attack", score: str = "score") -> DataFrame:
     """Points (score, tpr, fpr) of the ROC curve, one for each distinct score, highest first, and the area so far.
 
-    Rows are first counted by score; the running sums are over distinct scores. Round
-    scores beforehand where they are many.
+    Rows are counted by score; distinct scores are dealt in order to partitions, written,
+    and summed up within each, with the sums of those before it added.
     """
     points = df.groupBy(F.col(score).alias("score")).agg(F.sum((F.col(label) == 1).cast("long")).alias("p"), F.sum((F.col(label) != 1).cast("long")).alias("q"))
-    w = Window.orderBy(F.desc("score"))
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    total = points.agg(F.sum("p").alias("_p"), F.sum("q").alias("_q"))
-    sums = points.join(F.broadcast(total)).withColumn("tp", F.sum("p").over(upto)).withColumn("fp", F.sum("q").over(upto))
-    curve = sums.select("score", _ratio(F.col("tp"), F.col("_p")).alias("tpr"), _ratio(F.col("fp"), F.col("_q")).alias("fpr"))
-    before = lambda c: F.coalesce(F.lag(c).over(w), F.lit(0.0))
-    return curve.withColumn("_a", (F.col("fpr") - before("fpr")) * (F.col("tpr") + before("tpr")) / 2).withColumn("auc", F.sum("_a").over(upto)).drop("_a")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = kept(points.repartitionByRange(n, F.desc("score")).withColumn("_part", F.spark_partition_id()), "scores")
+    upto = Window.partitionBy("_part").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a partition
+
+    def summed(rows: DataFrame, *columns: str) -> DataFrame:
+        parts = rows.groupBy("_part").agg(*(F.sum(c).alias(c) for c in columns))
+        before = parts.select("_part", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_before_{c}") for c in columns))
+        return rows.join(F.broadcast(before), "_part").withColumns({f"{c}_sum": F.sum(c).over(upto) + F.col(f"_before_{c}") for c in columns}).drop(*(f"_before_{c}" for c in columns))
+
+    total = dealt.agg(F.sum("p").alias("_p"), F.sum("q").alias("_q"))
+    sums = summed(dealt, "p", "q").join(F.broadcast(total))
+    tpr, fpr = _ratio(F.col("p_sum"), F.col("_p")), _ratio(F.col("q_sum"), F.col("_q"))
+    last_tpr = _ratio(F.col("p_sum") - F.col("p"), F.col("_p"))
+    area = sums.select("_part", "score", tpr.alias("tpr"), fpr.alias("fpr"), (_ratio(F.col("q"), F.col("_q")) * (tpr + last_tpr) / 2).alias("a"))
+    return summed(area, "a").select("score", "tpr", "fpr", F.col("a_sum").alias("auc"))
 
 
 def detection_gaps(df: DataFrame, pred: str = "pred") -> DataFrame:
@@ -58,7 +70,7 @@ def rate_over_time(df: DataFrame, width_s: float = 60.0, pred: str = "pred") ->
     """Messages, detections and rate per window of the bus, counted from its first frame."""
     first = df.groupBy("bus").agg(F.min("ts_us").alias("_t0"))
     width = int(width_s * 1_000_000)
-    rows = df.join(F.broadcast(first), "bus").withColumn("window", F.expr(f"(ts_us - _t0) div {width}"))
+    rows = W.null_safe(df, first, ["bus"]).withColumn("window", F.expr(f"(ts_us - _t0) div {width}"))
     return rows.groupBy("bus", "window").agg(F.count("*").alias("messages"), F.sum(F.col(pred).cast("long")).alias("detections")).withColumn("rate", F.col("detections") / F.col("messages"))
 
 

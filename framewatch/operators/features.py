@@ -69,7 +69,7 @@ def communication(frames: DataFrame, slab_us: int = W.SLAB_US) -> DataFrame:
     rows = W.running_sum(rows, F.lit(1), "total_messages", slab_us=slab_us)
     rows = W.running_sum(rows, F.col("_first"), "unique_can_ids", slab_us=slab_us)
     start = frames.groupBy("bus").agg(F.min("ts_us").alias("_t0"))
-    rows = rows.join(F.broadcast(start), "bus").withColumn("runtime_seconds", (F.col("ts_us") - F.col("_t0")) / 1_000_000)
+    rows = W.null_safe(rows, start, ["bus"]).withColumn("runtime_seconds", (F.col("ts_us") - F.col("_t0")) / 1_000_000)
     rows = rows.withColumn("id_diversity", F.col("unique_can_ids") / F.col("total_messages")).withColumn("global_message_rate", F.when(F.col("runtime_seconds") > 0, F.col("total_messages") / F.col("runtime_seconds")).otherwise(0.0))
     return rows.drop("_first", "_t0")
 
@@ -205,7 +205,7 @@ def rolling(frames: DataFrame, n: int = 100) -> DataFrame:
     w = b.rowsBetween(-(n - 1), 0)
     rows = blocks.withColumns({"_tm": F.avg("time_delta").over(w), "_ts": F.coalesce(F.stddev_samp("time_delta").over(w), F.lit(0.0)), "_fm": F.avg("id_frequency").over(w), "_fs": F.coalesce(F.stddev_samp("id_frequency").over(w), F.lit(0.0))}).filter("_native = 1")
     whole = frames.groupBy("bus").agg(F.count("*").alias("_n"), F.avg("time_delta").alias("_am"), F.coalesce(F.stddev_samp("time_delta"), F.lit(0.0)).alias("_as"))
-    rows = rows.join(F.broadcast(whole), "bus")
+    rows = W.null_safe(rows, whole, ["bus"])
     long = F.col("_n") >= n
     rows = rows.withColumns({
         "time_delta_rolling_mean": F.when(long, F.col("_tm")).otherwise(F.col("_am")), "time_delta_rolling_std": F.when(long, F.col("_ts")).otherwise(F.col("_as")),

@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framewatch.functions import payload as P
 from framewatch.functions.frames import diagnostic_source, is_diagnostic
@@ -132,9 +133,9 @@ def add_state(frames: DataFrame, sources: bool = True) -> DataFrame:
     out = out.withColumn("_gap_us", F.col("ts_us") - F.lag("ts_us").over(again)).withColumn("_repeats", F.row_number().over(again) - 1)
     if sources:
         out = out.withColumn("_source", diagnostic_source())
-        known = W.first_seen(out.filter(F.col("_source").isNotNull()), ("_source",), ("bus", "can_id"))
-        seen = known.withColumn("_sources", F.sum("_first").over(w.rowsBetween(Window.unboundedPreceding, 0))).select("bus", F.col("seq"), "_sources")
-        out = out.join(seen, ["bus", "seq"], "left")
+        earlier = F.row_number().over(Window.partitionBy("bus", "can_id", "_source").orderBy(*W.ORDER))
+        out = out.withColumn("_first", (F.col("_source").isNotNull() & (earlier == 1)).cast("int"))
+        out = out.withColumn("_sources", F.sum("_first").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_first")
     return out
 
 
@@ -185,24 +186,25 @@ def replay_exact(frames: DataFrame, threshold_s: float = 1.0) -> DataFrame:
 
     A scan in order, times and payload hashes only; a payload's frames of one id on one bus go to one task.
     """
-    rows = frames.withColumn("_payload", P.bytes_to_hex("data", ""))
     limit = threshold_s * 1e6
 
     def scan(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["ts_us", "seq"], kind="stable")
         flags, memory = np.zeros(len(part), bool), {}
-        for i, (p, t) in enumerate(zip(part["_payload"].tolist(), part["ts_us"].tolist())):
+        for i, (p, t) in enumerate(zip(part["_hash"].tolist(), part["ts_us"].tolist())):
             kept, count = memory.get(p, (None, -1))
             count += 1
             if kept is not None:
                 gap = t - kept
                 flags[i] = gap < limit and (count >= 3 or gap < 100_000)
             memory[p] = (kept if flags[i] else t, count)
-        return pd.DataFrame({"bus": part["bus"], "seq": part["seq"], "replay": flags})
+        return part[keys].assign(replay=flags)
 
-    keys = rows.select("bus", "can_id", F.xxhash64("_payload").alias("_payload"), "ts_us", "seq").withColumn("_part", F.pmod("_payload", F.lit(16)))
-    marked = keys.groupBy("bus", "can_id", "_part").applyInPandas(scan, "bus string, seq long, replay boolean")
-    return frames.join(marked, ["bus", "seq"])
+    keys = ["bus", "can_id", "_hash", "ts_us", "seq", "_copy"]
+    rows = W.copies(frames.withColumn("_hash", F.xxhash64(P.bytes_to_hex("data", ""))), keys[:-1])
+    slim = rows.select(*keys, F.pmod("_hash", F.lit(16)).alias("_part"))
+    marked = slim.groupBy("bus", "can_id", "_part").applyInPandas(scan, "bus string, can_id int, _hash long, ts_us long, seq long, _copy int, replay boolean")
+    return W.null_safe(rows, marked, keys).drop("_hash", "_copy")
 
 
 def check_repetition(threshold: Any = 10) -> Column:
@@ -225,18 +227,31 @@ def check_source(allowed: Any = None) -> Column:
 # --- rules as a table ---------------------------------------------------------
 
 
+def typed(value: Any, kind: T.DataType) -> Any:
+    """A value of a rule file as its field's type: numbers are cut to integers where these are asked for. Raises where it can't be."""
+    if value is None:
+        return None
+    if isinstance(kind, T.ArrayType):
+        return [typed(v, kind.elementType) for v in value]
+    if isinstance(kind, T.MapType):
+        return {typed(k, kind.keyType): typed(v, kind.valueType) for k, v in value.items()}
+    if isinstance(kind, T.IntegerType):
+        return int(value)
+    return float(value) if isinstance(kind, T.DoubleType) else bool(value) if isinstance(kind, T.BooleanType) else str(value)
+
+
+def rule_row(rule: dict[str, Any]) -> tuple:
+    """The fields of a rule in order; unset ones are null, priority is 5. ``pattern_types`` may be a list or a map. Raises for a field that is not known or not of its type."""
+    unknown = set(rule) - set(RULE_FIELDS)
+    if unknown:
+        raise ValueError(f"unknown fields: {sorted(unknown)}")
+    full = {k: typed(rule.get(k), kind) for k, kind in RULE_FIELDS.items()}
+    return tuple((full | {"priority": 5 if full["priority"] is None else full["priority"]}).values())
+
+
 def rules_frame(spark: SparkSession, rules: list[dict[str, Any]]) -> DataFrame:
-    """A rule table from dicts with the fields of RULE_SCHEMA; unset fields are null, priority is 5. ``pattern_types`` may be a list or a map."""
-    rows = []
-    for i, r in enumerate(rules):
-        full = {k: r.get(k) for k in RULE_FIELDS}
-        full["priority"] = 5 if full["priority"] is None else full["priority"]
-        kinds = full["pattern_types"]
-        full["pattern_types"] = list(kinds) if kinds is not None else None
-        for k in ("time_window", "expected_interval", "interval_variance", "entropy_threshold", "replay_time_threshold", "steering_min", "steering_max", "sigma_extreme", "sigma_moderate", "payload_repetition_threshold", "min_entropy"):
-            full[k] = float(full[k]) if full[k] is not None else None
-        rows.append((i, *full.values()))
-    return spark.createDataFrame(rows, RULE_SCHEMA)
+    """A rule table from dicts with the fields of RULE_SCHEMA (see ``rule_row``)."""
+    return spark.createDataFrame([(i, *rule_row(r)) for i, r in enumerate(rules)], RULE_SCHEMA)
 
 
 def match_scope(frames: DataFrame, rules: DataFrame) -> DataFrame:
@@ -316,12 +331,21 @@ def confidence(p: Callable[[str], Column]) -> Column:
     return F.least(F.lit(1.0), 0.5 + F.when(p("data_pattern").isNotNull(), 0.3).otherwise(0.0) + F.when(p("max_frequency").isNotNull(), 0.2).otherwise(0.0) + F.when(p("severity") == "CRITICAL", 0.2).otherwise(0.0))
 
 
+def _scope(rule: Row) -> Column | None:
+    """The frames that a rule is for; None: all."""
+    if rule.can_id is not None:
+        return F.col("can_id") == rule.can_id
+    if rule.can_id_range:
+        return F.col("can_id").between(*rule.can_id_range)
+    return ~F.col("can_id").isin(*rule.allowed_can_ids) if rule.whitelist_mode and rule.allowed_can_ids else None
+
+
 def evaluate(frames: DataFrame, rules: DataFrame) -> DataFrame:
     """One row for each frame and rule that alerts: bus, seq, ts_us, can_id, dlc, data, rule_no, rule_name, severity, priority, description, action, confidence, is_global.
 
-    State is computed once. Rules for one id are joined by a broadcast on it;
-    others become expressions over each frame, of which only hits are exploded, so
-    no rule multiplies the frames.
+    State is computed once and read once. Rules for one id are joined by a broadcast
+    on it (a frame without any stays); others become expressions over each frame (the
+    first of its joined rows), and only hits are exploded, so no rule multiplies the frames.
     """
     known = rules.orderBy("rule_no").collect()
     state = add_state(frames, sources=any(r.check_source for r in known))
@@ -336,12 +360,7 @@ def evaluate(frames: DataFrame, rules: DataFrame) -> DataFrame:
         if r.global_message_rate:
             width = int((r.time_window or 1.0) * 1_000_000)
             rate_of[r.rule_no] = f"_rate_{r.rule_no}"
-            if r.can_id is None and r.can_id_range is None and not r.whitelist_mode:
-                state = W.trailing_count(state, width, rate_of[r.rule_no])
-            else:
-                scoped = frames.filter(F.col("can_id") == r.can_id) if r.can_id is not None else frames.filter(F.col("can_id").between(*r.can_id_range)) if r.can_id_range else frames.filter(~F.col("can_id").isin(*(r.allowed_can_ids or [])))
-                counts = W.trailing_count(scoped, width, rate_of[r.rule_no]).select("bus", "seq", rate_of[r.rule_no])
-                state = state.join(counts, ["bus", "seq"], "left")
+            state = W.trailing_count(state, width, rate_of[r.rule_no], where=_scope(r))
 
     def row(p: Callable[[str], Column], number: Column, is_global: bool) -> Column:
         return F.struct(number.alias("rule_no"), p("name").alias("rule_name"), p("severity").alias("severity"), p("priority").alias("priority"), p("description").alias("description"), p("action").alias("action"), confidence(p).alias("confidence"), F.lit(is_global).alias("is_global"))
@@ -351,18 +370,17 @@ def evaluate(frames: DataFrame, rules: DataFrame) -> DataFrame:
         if r.can_id is not None:
             continue
         p = literal(r)
-        scope = F.col("can_id").between(*r.can_id_range) if r.can_id_range else ~F.col("can_id").isin(*r.allowed_can_ids) if r.whitelist_mode and r.allowed_can_ids else F.lit(True)
+        scope = F.lit(True) if _scope(r) is None else _scope(r)
         rate = _true(F.col(rate_of[r.rule_no]) > r.global_message_rate) if r.rule_no in rate_of else F.lit(False)
         frequency = _true(F.col("ts_us") - F.col(f"_back_{r.max_frequency}") <= (r.time_window or 1.0) * 1_000_000) if r.max_frequency else F.lit(False)
-        hits.append(F.when(scope & fired(p, rate, frequency, sets(r)), row(p, F.lit(r.rule_no), True)))
+        hits.append((scope & fired(p, rate, frequency, sets(r)), row(p, F.lit(r.rule_no), True)))
     frame = ["bus", "seq", "ts_us", "can_id", "dlc", "data"]
-    out = None
-    if hits:
-        out = state.withColumn("_hits", F.filter(F.array(*hits), lambda h: h.isNotNull())).filter(F.size("_hits") > 0).select(*frame, F.explode("_hits").alias("h")).select(*frame, "h.*")
     if any(r.can_id is not None for r in known):
-        own = rules.filter("can_id is not null").select(F.col("can_id").alias("_rule_id"), F.struct(*rules.columns).alias("r"))
+        first = F.row_number().over(Window.partitionBy("can_id").orderBy("rule_no")) == 1
+        own = rules.filter("can_id is not null").select(F.col("can_id").alias("_rule_id"), first.alias("_first"), F.struct(*rules.columns).alias("r"))
         p = lambda name: F.col(f"r.{name}")
-        joined = state.join(F.broadcast(own), F.col("can_id") == F.col("_rule_id"))
+        state = state.join(F.broadcast(own), F.col("can_id") == F.col("_rule_id"), "left")
+        hits = [(F.coalesce("_first", F.lit(True)) & hit, alert) for hit, alert in hits]
         rate = F.lit(False)
         for r in known:
             if r.can_id is not None and r.rule_no in rate_of:
@@ -370,11 +388,11 @@ def evaluate(frames: DataFrame, rules: DataFrame) -> DataFrame:
         frequency = F.lit(False)
         for n in sorted({r.max_frequency for r in known if r.can_id is not None and r.max_frequency}):
             frequency = frequency | ((p("max_frequency") == n) & _true(F.col("ts_us") - F.col(f"_back_{n}") <= F.coalesce(p("time_window"), F.lit(1.0)) * 1_000_000))
-        exact = joined.filter(fired(p, rate, frequency, sets(*(r for r in known if r.can_id is not None)))).select(*frame, row(p, p("rule_no"), False).alias("h")).select(*frame, "h.*")
-        out = exact if out is None else out.unionByName(exact)
-    if out is None:
+        hits.append((F.col("_rule_id").isNotNull() & fired(p, rate, frequency, sets(*(r for r in known if r.can_id is not None))), row(p, p("rule_no"), False)))
+    if not hits:
         raise ValueError("no rules")
-    return out
+    found = F.filter(F.array(*(F.when(hit, alert) for hit, alert in hits)), lambda h: h.isNotNull())
+    return state.withColumn("_hits", found).filter(F.size("_hits") > 0).select(*frame, F.explode("_hits").alias("h")).select(*frame, "h.*")
 
 
 def early_exit(hits: DataFrame, critical: int = 2) -> DataFrame:

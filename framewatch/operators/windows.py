@@ -7,6 +7,8 @@ ever holds a bus: sums within a slab, then the sums of the slabs before it.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -15,6 +17,18 @@ ORDER = ("ts_us", "seq")
 SLAB_US = 60_000_000
 
 
+def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Joins on ``keys``, null to null; the columns of ``left``, then the others of ``right``."""
+    named = right.select(*(F.col(c).alias(f"_right_{c}") if c in keys else F.col(c) for c in right.columns))
+    on = functools.reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys))
+    return left.join(named, on, how).drop(*(f"_right_{k}" for k in keys))
+
+
+def copies(df: DataFrame, keys: list[str], out: str = "_copy") -> DataFrame:
+    """Adds which of the rows with equal ``keys`` a row is, from 1."""
+    return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1))))
+
+
 def by_id() -> WindowSpec:
     return Window.partitionBy("bus", "can_id").orderBy(*ORDER)
 
@@ -35,30 +49,30 @@ def running_sum(df: DataFrame, value: Column, out: str, keys: tuple[str, ...] =
     sums = rows.groupBy(*keys, "_slab").agg(F.sum("_v").alias("_s"))
     before = Window.partitionBy(*keys).orderBy("_slab").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*keys, "_slab", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
-    return rows.join(offsets, [*keys, "_slab"]).withColumn(out, F.col(out) + F.col("_before")).drop("_slab", "_v", "_before")
+    return null_safe(rows, offsets, [*keys, "_slab"]).withColumn(out, F.col(out) + F.col("_before")).drop("_slab", "_v", "_before")
 
 
 def first_seen(df: DataFrame, keys: tuple[str, ...], within: tuple[str, ...] = ("bus",)) -> DataFrame:
     """Adds ``_first``: 1 on the first frame of each value of ``keys`` within ``within``. A join with one row a value, no window over the bus."""
     place = F.struct(*ORDER)
     first = df.filter(F.col(keys[0]).isNotNull()).groupBy(*within, *keys).agg(F.min(place).alias("_at"))
-    joined = df.join(first, [*within, *keys], "left")
+    joined = null_safe(df, first, [*within, *keys], "left")
     return joined.withColumn("_first", F.coalesce((F.col("_at") == place).cast("int"), F.lit(0))).drop("_at")
 
 
-def trailing_count(df: DataFrame, width_us: int, out: str, keys: tuple[str, ...] = ("bus",)) -> DataFrame:
-    """Adds how many frames of the same ``keys`` lie in [t - width, t], up to this one in order.
+def trailing_count(df: DataFrame, width_us: int, out: str, keys: tuple[str, ...] = ("bus",), where: Column | None = None) -> DataFrame:
+    """Adds how many frames of the same ``keys`` (for which ``where`` holds) lie in [t - width, t], up to this one in order.
 
     Exact in buckets of the width: each frame goes to its own bucket and, as a
     helper, to the next; a window of that width spans two buckets at most.
     """
-    native = df.withColumn("_bucket", F.expr(f"ts_us div {width_us}")).withColumn("_native", F.lit(1))
-    helpers = native.select(*keys, "ts_us", "seq", (F.col("_bucket") + 1).alias("_bucket"), F.lit(0).alias("_native"))
+    native = df.withColumn("_bucket", F.expr(f"ts_us div {width_us}")).withColumn("_native", F.lit(1)).withColumn("_counted", F.lit(1) if where is None else F.when(where, 1))
+    helpers = native.filter("_counted = 1").select(*keys, "ts_us", "seq", (F.col("_bucket") + 1).alias("_bucket"), F.lit(0).alias("_native"), "_counted")
     both = native.unionByName(helpers, allowMissingColumns=True)
     part = [*keys, "_bucket"]
     upto = Window.partitionBy(*part).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
     older = Window.partitionBy(*part).orderBy("ts_us").rangeBetween(Window.unboundedPreceding, -(width_us + 1))
-    return both.withColumn(out, F.count(F.lit(1)).over(upto) - F.count(F.lit(1)).over(older)).filter("_native = 1").drop("_bucket", "_native")
+    return both.withColumn(out, F.count("_counted").over(upto) - F.count("_counted").over(older)).filter("_native = 1").drop("_bucket", "_native", "_counted")
 
 
 def run_length(same: Column, w: WindowSpec, part: list[str], df: DataFrame, out: str) -> DataFrame:

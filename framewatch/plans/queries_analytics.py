@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from framewatch.functions import payload as P
 from framewatch.operators import alerts as A
+from framewatch.operators import baseline as B
 from framewatch.operators import calibrate as C
 from framewatch.operators import detect as D
 from framewatch.operators import ensemble as EN
@@ -18,8 +20,9 @@ from framewatch.operators import features as FT
 from framewatch.operators import ml as M
 from framewatch.operators import rules as R
 from framewatch.plans.demo import FRAMES_SQL, frames
+from framewatch.plans.queries_rules import BASE_SQL as BASE_SQL_RULES
 from framewatch.plans.queries_rules import DEMO_RULES, ENTROPY, HITS_SQL, PAD, WIN, demo_hits, joined, r6
-from framewatch.plans.registry import query
+from framewatch.plans.registry import ORACLE, query
 from framewatch.sources import io
 from framewatch.storage import fresh, kept
 from framewatch.streaming import stream as S
@@ -62,7 +65,14 @@ MODE = "(SELECT dlc FROM (SELECT m.dlc, count(*) AS c FROM n m WHERE m.bus = g.b
 profile("B7_payload_profile", f"SELECT *, {MODE} AS common_dlc FROM (SELECT bus, can_id, avg({ENTROPY.format(d='data')}) AS entropy_mean, coalesce(stddev_samp({ENTROPY.format(d='data')}), 0) AS entropy_std, coalesce(var_samp(dlc), 0) AS dlc_variance {GROUP}) g", ["entropy_mean", "entropy_std", "dlc_variance"], C.payload_profile, exact=["common_dlc"])
 
 
-@query("B8_timing_profile")
+#: The amplitude spectrum of each id's intervals, term by term (ids with more than ten); the share of its greatest value, and the coefficient of variation.
+PERIOD_SQL = """, pi AS (SELECT bus, can_id, x, x - avg(x) OVER g AS d, row_number() OVER (PARTITION BY bus, can_id ORDER BY ts_us, seq) - 1 AS j, count(*) OVER g AS m FROM (SELECT *, (ts_us - lag(ts_us) OVER (PARTITION BY bus, can_id ORDER BY ts_us, seq)) / 1000000 AS x FROM frames WHERE attack = 0) WHERE x IS NOT NULL WINDOW g AS (PARTITION BY bus, can_id)),
+pf AS (SELECT bus, can_id, h, sqrt(pow(sum(d * cos(2 * pi() * j * h / m)), 2) + pow(sum(d * sin(2 * pi() * j * h / m)), 2)) AS a FROM (SELECT *, unnest(range(1, m // 2 + 1)) AS h FROM pi WHERE m > 10) GROUP BY ALL),
+pc AS (SELECT bus, can_id, CASE WHEN avg(x) > 0 THEN coalesce(stddev_samp(x), 0) / avg(x) ELSE 0 END AS regularity_cv FROM pi GROUP BY ALL),
+per AS (SELECT pc.*, coalesce(s, 0) AS periodicity_score FROM pc LEFT JOIN (SELECT bus, can_id, CASE WHEN sum(a) > 1e-12 THEN max(a) / sum(a) ELSE 0 END AS s FROM pf GROUP BY ALL) f ON f.bus = pc.bus AND f.can_id = pc.can_id)"""
+
+
+@query("B8_timing_profile", f"{FRAMES_SQL}{PERIOD_SQL} SELECT bus, can_id, {rsql('regularity_cv', 'periodicity_score')} FROM per")
 def _b8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(C.timing_profile(normal(spark, sf_dir)), ["bus", "can_id"], ["regularity_cv", "periodicity_score"])
 
@@ -99,10 +109,20 @@ MEDIAN_SQL = "SELECT bus, can_id, iat AS expected FROM (SELECT *, row_number() O
 profile("B16_prefilter_intervals", MEDIAN_SQL, ["expected"], C.prefilter_intervals)
 
 
-@query("B17_vehicle", f"{FRAMES_SQL}, n AS (SELECT *, (ts_us - lag(ts_us) OVER (PARTITION BY vehicle, can_id ORDER BY ts_us, seq)) / 1000000 AS iat FROM frames WHERE attack = 0), m AS (SELECT vehicle, count(*) AS samples, count(DISTINCT can_id) AS ids FROM n GROUP BY vehicle) SELECT vehicle, can_id, round(avg(iat), 6) AS iat_mean, samples, ids FROM n JOIN m USING (vehicle) GROUP BY ALL HAVING count(iat) > 0")
+VEHICLE = ["iat_mean", "iat_std", "iat_p5", "iat_p95", "frequency", "std_iat", "max_iat", "entropy_mean", "entropy_std", "dlc_variance", "mean", "std", "q05", "q50", "fuzz_mean", "cv", "q01", "q99", "iqr", "p99", "expected"]
+
+
+@query(
+    "B17_vehicle",
+    f"{DELTA_SQL}, md AS ({MEDIAN_SQL}), vm AS (SELECT bus AS vehicle, count(*) AS samples, count(DISTINCT can_id) AS ids FROM i GROUP BY bus), p AS (SELECT bus, can_id, avg(iat) AS iat_mean, stddev_pop(iat) AS iat_std, quantile_cont(iat, 0.05) AS iat_p5, quantile_cont(iat, 0.95) AS iat_p95, CASE WHEN max(ts_us) > min(ts_us) THEN count(*) / ((max(ts_us) - min(ts_us)) / 1000000) ELSE 0 END AS frequency, stddev_samp(iat) AS std_iat, max(iat) AS max_iat, avg({ENTROPY.format(d='data')}) AS entropy_mean, coalesce(stddev_samp({ENTROPY.format(d='data')}), 0) AS entropy_std, coalesce(var_samp(dlc), 0) AS dlc_variance, avg(time_delta) AS mean, coalesce(stddev_samp(time_delta), 0) AS std, quantile_cont(time_delta, 0.05) AS q05, quantile_cont(time_delta, 0.5) AS q50, avg(time_delta) AS fuzz_mean, CASE WHEN avg(time_delta) > 0 THEN coalesce(stddev_samp(time_delta), 0) / avg(time_delta) ELSE 0 END AS cv, quantile_cont(time_delta, 0.01) AS q01, quantile_cont(time_delta, 0.99) AS q99, quantile_cont(time_delta, 0.75) - quantile_cont(time_delta, 0.25) AS iqr, quantile_cont(CAST({HAMMING} AS DOUBLE), 0.99) AS p99, {MODE} AS common_dlc FROM i g GROUP BY bus, can_id HAVING count(iat) > 0) SELECT vehicle, p.can_id, {rsql(*VEHICLE)}, common_dlc, samples, ids FROM p JOIN vm ON vm.vehicle = p.bus JOIN md ON md.bus = p.bus AND md.can_id = p.can_id",
+)
 def _b17(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All eight profiles of each vehicle side by side."""
     p = C.vehicle(frames(spark, sf_dir))
-    return p["iat"].join(p["meta"], "vehicle").select("vehicle", "can_id", r6(F.col("iat_mean"), "iat_mean"), "samples", "ids")
+    keys = ["vehicle", "can_id"]
+    out = p["iat"].drop("n").join(p["frequency"].drop("n"), keys).join(p["payload"], keys).join(p["time"].drop("q95"), keys)
+    fuzzing = p["fuzzing"].select(*keys, F.col("mean").alias("fuzz_mean"), "cv", "q01", "q99", "iqr")
+    return rounded(out.join(fuzzing, keys).join(p["hamming"], keys).join(p["prefilter"], keys).join(p["meta"], "vehicle"), keys + ["common_dlc", "samples", "ids"], VEHICLE)
 
 
 # --- features -------------------------------------------------------------------
@@ -116,7 +136,11 @@ def trailing_sql(us: int) -> str:
     return f"(k - count(*) OVER (PARTITION BY bus, can_id ORDER BY ts_us RANGE BETWEEN UNBOUNDED PRECEDING AND {us + 1} PRECEDING))"
 
 
+FEATURE_SQL: dict[str, str] = {}
+
+
 def feature(name: str, sql: str, values: list[str], make: Callable[[SparkSession, str], DataFrame], exact: list[str] | None = None) -> None:
+    FEATURE_SQL[name] = sql
     body = f"{ALL_SQL} SELECT bus, seq, {rsql(*values) if values else ''}{', ' if values and exact else ''}{', '.join(exact or [])} FROM ({sql})"
 
     @query(name, body)
@@ -142,7 +166,22 @@ feature(
 )
 
 
-@query("F6_base47")
+_step_sql = "list_transform(range(1, len(data)), lambda i: data[i + 1] - data[i])"
+BASE_COLUMNS = {
+    "can_id": "can_id", "dlc": "dlc", "is_extended": "CAST(is_extended AS INT)", "is_remote": "CAST(is_remote AS INT)", "is_error": "CAST(is_error AS INT)",
+    **{f"data_byte_{b}": f"coalesce(data[{b + 1}], 0)" for b in range(8)},
+    "data_mean": "list_avg(data)", "data_median": "list_median(data)", "data_std": "coalesce(list_stddev_samp(data), 0)", "data_min": "list_min(data)", "data_max": "list_max(data)", "data_range": "list_max(data) - list_min(data)", "data_sum": "list_sum(data)",
+    "data_entropy": ENTROPY.format(d="data"), "zero_bytes": "len(list_filter(data, lambda x: x = 0))", "max_bytes": "len(list_filter(data, lambda x: x = 255))",
+    "pattern_repetition": f"len(list_filter({_step_sql}, lambda s: s = 0)) / (len(data) - 1)", "sequential_pattern": f"CAST(len(list_filter({_step_sql}, lambda s: s < 0)) = 0 OR len(list_filter({_step_sql}, lambda s: s > 0)) = 0 AS INT)",
+    "alternating_pattern": "len(list_filter(range(1, len(data) - 2), lambda i: data[i] = data[i + 2] AND data[i + 1] = data[i + 3])) / (len(data) - 3)", "ascending_bytes": f"len(list_filter({_step_sql}, lambda s: s = 1)) / (len(data) - 1)", "descending_bytes": f"len(list_filter({_step_sql}, lambda s: s = -1)) / (len(data) - 1)",
+    "can_id_normalized": "can_id / 2047", "estimated_priority": "1 - can_id / 2047",
+}
+
+
+@query(
+    "F6_base47",
+    f"{ALL_SQL} SELECT i.bus, i.seq, " + ", ".join(f"round(CAST(coalesce({BASE_COLUMNS.get(c, c)}, 0) AS DOUBLE) + 1e-9, 6) AS {c}" for c in FT.BASE_FEATURES) + " FROM i " + " ".join(f"JOIN ({FEATURE_SQL[f]}) x{k} USING (bus, seq)" for k, f in enumerate(("F2_rates", "F3_interval_stats", "F4_behavior", "F5_communication"))),
+)
 def _f6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(FT.base47(frames(spark, sf_dir)), ["bus", "seq"], list(FT.BASE_FEATURES))
 
@@ -152,20 +191,20 @@ KNOWN_SQL = f", nn AS (SELECT * FROM frames WHERE attack = 0 AND seq % 2 = 0), g
 
 @query(
     "F7_enhanced8",
-    f"{ALL_SQL}{KNOWN_SQL}, j AS (SELECT *, lag(can_id) OVER {BUSW.format(rows='')} AS p1, lag(can_id, 2) OVER {BUSW.format(rows='')} AS p2 FROM i) SELECT j.bus, seq, round({ENTROPY.format(d='data')}, 6) AS payload_entropy, CAST({HAMMING} AS INT) AS hamming_distance, round(CASE WHEN iat_std > 0 AND time_delta > 0 THEN (time_delta - iat_mean) / iat_std ELSE 0 END, 6) AS iat_zscore, CASE WHEN p1 IS NULL OR g2.known = 1 THEN 0 ELSE 1 END AS unknown_bigram, CASE WHEN p2 IS NULL OR g3.known = 1 THEN 0 ELSE 1 END AS unknown_trigram, round(time_delta / 108, 9) AS bit_time_mean FROM j LEFT JOIN g2 ON g2.b = p1 AND g2.c = can_id LEFT JOIN g3 ON g3.a = p2 AND g3.b = p1 AND g3.c = can_id LEFT JOIN st ON st.bus = j.bus AND st.can_id = j.can_id",
+    f"{ALL_SQL}{KNOWN_SQL}, j AS (SELECT *, lag(can_id) OVER {BUSW.format(rows='')} AS p1, lag(can_id, 2) OVER {BUSW.format(rows='')} AS p2 FROM i) SELECT j.bus, seq, round({ENTROPY.format(d='data')}, 6) AS payload_entropy, CAST({HAMMING} AS INT) AS hamming_distance, round(CASE WHEN iat_std > 0 AND time_delta > 0 THEN (time_delta - iat_mean) / iat_std ELSE 0 END, 6) AS iat_zscore, CASE WHEN p1 IS NULL OR g2.known = 1 THEN 0 ELSE 1 END AS unknown_bigram, CASE WHEN p2 IS NULL OR g3.known = 1 THEN 0 ELSE 1 END AS unknown_trigram, round(time_delta / 108, 9) AS bit_time_mean, round(time_delta / 108, 9) AS bit_time_rms, round(time_delta / 108 * time_delta / 108, 9) AS bit_time_energy FROM j LEFT JOIN g2 ON g2.b = p1 AND g2.c = can_id LEFT JOIN g3 ON g3.a = p2 AND g3.b = p1 AND g3.c = can_id LEFT JOIN st ON st.bus = j.bus AND st.can_id = j.can_id",
 )
 def _f7(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = frames(spark, sf_dir)
     n = f.filter("attack = 0 and seq % 2 = 0")
     out = FT.enhanced8(f, C.iat_stats(n), C.ngrams(n, 2), C.ngrams(n, 3))
-    return out.select("bus", "seq", r6(F.col("payload_entropy"), "payload_entropy"), "hamming_distance", r6(F.col("iat_zscore"), "iat_zscore"), "unknown_bigram", "unknown_trigram", F.round("bit_time_mean", 9).alias("bit_time_mean"))
+    return out.select("bus", "seq", r6(F.col("payload_entropy"), "payload_entropy"), "hamming_distance", r6(F.col("iat_zscore"), "iat_zscore"), "unknown_bigram", "unknown_trigram", *(F.round(f"bit_time_{k}", 9).alias(f"bit_time_{k}") for k in ("mean", "rms", "energy")))
 
 
 L50 = IDW.format(rows=" ROWS BETWEEN 49 PRECEDING AND CURRENT ROW")
 feature(
     "F8_ml23",
-    f"SELECT bus, seq, k AS n, list_avg(data) AS data_mean, list_stddev_pop(data) AS data_std, {ENTROPY.format(d='data')} AS data_entropy, {trailing_sql(10000000)} / 10 AS rate_10s, coalesce(iat * 1000, 0) AS interval_ms, coalesce(avg(iat * 1000) OVER {L50}, 0) AS interval_mean, coalesce(stddev_pop(iat * 1000) OVER {L50}, 0) AS interval_std, coalesce(stddev_pop(dlc) OVER {L10}, 0) AS dlc_std, {ENTROPY.format(d='recent')} AS recent_entropy FROM (SELECT *, flatten(list(data) OVER {L5}) AS recent FROM i)",
-    ["data_mean", "data_std", "data_entropy", "rate_10s", "interval_ms", "interval_mean", "interval_std", "dlc_std", "recent_entropy"], lambda s, d: FT.ml23(frames(s, d)), exact=["n"],
+    f"SELECT bus, seq, k AS n, can_id, dlc, {', '.join(f'coalesce(data[{b + 1}], 0) AS data_byte_{b}' for b in range(8))}, list_min(data) AS data_min, list_max(data) AS data_max, coalesce(min(iat * 1000) OVER {L50}, 0) AS interval_min, coalesce(max(iat * 1000) OVER {L50}, 0) AS interval_max, list_avg(data) AS data_mean, list_stddev_pop(data) AS data_std, {ENTROPY.format(d='data')} AS data_entropy, {trailing_sql(10000000)} / 10 AS rate_10s, coalesce(iat * 1000, 0) AS interval_ms, coalesce(avg(iat * 1000) OVER {L50}, 0) AS interval_mean, coalesce(stddev_pop(iat * 1000) OVER {L50}, 0) AS interval_std, coalesce(stddev_pop(dlc) OVER {L10}, 0) AS dlc_std, {ENTROPY.format(d='recent')} AS recent_entropy FROM (SELECT *, flatten(list(data) OVER {L5}) AS recent FROM i)",
+    ["can_id", "dlc", *(f"data_byte_{b}" for b in range(8)), "data_min", "data_max", "interval_min", "interval_max", "data_mean", "data_std", "data_entropy", "rate_10s", "interval_ms", "interval_mean", "interval_std", "dlc_std", "recent_entropy"], lambda s, d: FT.ml23(frames(s, d)), exact=["n"],
 )
 RATE_ID = "CASE WHEN ts_us > oldest THEN m60 / ((ts_us - oldest) / 1000000) ELSE 0 END"
 RATED = f"(SELECT *, {trailing_sql(60000000)} AS m60, min(ts_us) OVER (PARTITION BY bus, can_id ORDER BY ts_us RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW) AS oldest FROM i)"
@@ -175,29 +214,39 @@ feature("F10_tree12", f"SELECT bus, seq, dlc, coalesce(iat * 1000, 0) AS interva
 DEV_SQL = f", fp AS (SELECT bus, can_id, CASE WHEN max(ts_us) > min(ts_us) THEN count(*) / ((max(ts_us) - min(ts_us)) / 1000000) ELSE 0 END AS frequency, avg(x) AS mean_iat, avg({ENTROPY.format(d='data')}) AS em, coalesce(stddev_samp({ENTROPY.format(d='data')}), 0) AS es, coalesce(stddev_samp(x) / avg(x), 0) AS cv, count(x) AS nx FROM (SELECT *, (ts_us - lag(ts_us) OVER w) / 1000000 AS x FROM frames WHERE attack = 0{WIN}) GROUP BY ALL)"
 
 
-@query("F11_deviation", f"{ALL_SQL}{DEV_SQL}, r AS (SELECT *, {RATE_ID} AS id_frequency FROM {RATED}) SELECT r.bus, seq, round(coalesce(abs(id_frequency - frequency) / (frequency + 1e-6), 0), 5) AS freq_deviation, round(coalesce(abs(time_delta - mean_iat) / (mean_iat + 1e-6), 0), 5) AS iat_deviation, round(CASE WHEN es > 0 THEN abs({ENTROPY.format(d='data')} - em) / es ELSE 0 END, 5) AS entropy_anomaly, round(CASE WHEN nx > 0 THEN coalesce(cv, 0) ELSE 0 END, 5) AS timing_irregularity FROM r LEFT JOIN fp ON fp.bus = r.bus AND fp.can_id = r.can_id")
+DEVIATION_SQL = f"{ALL_SQL}{DEV_SQL}{PERIOD_SQL}, dm AS (SELECT bus, can_id, first(dlc ORDER BY c DESC, dlc) AS common_dlc FROM (SELECT bus, can_id, dlc, count(*) AS c FROM frames WHERE attack = 0 GROUP BY ALL) GROUP BY ALL), r AS (SELECT *, {RATE_ID} AS id_frequency FROM {RATED}), dv AS (SELECT r.bus, seq, coalesce(abs(id_frequency - frequency) / (frequency + 1e-6), 0) AS freq_deviation, coalesce(abs(time_delta - mean_iat) / (mean_iat + 1e-6), 0) AS iat_deviation, CASE WHEN es > 0 THEN abs({ENTROPY.format(d='data')} - em) / es ELSE 0 END AS entropy_anomaly, coalesce(abs(dlc - common_dlc), 0) AS dlc_anomaly, coalesce(periodicity_score, 0) AS periodicity_score, CASE WHEN nx > 0 THEN coalesce(cv, 0) ELSE 0 END AS timing_irregularity FROM r LEFT JOIN fp ON fp.bus = r.bus AND fp.can_id = r.can_id LEFT JOIN per ON per.bus = r.bus AND per.can_id = r.can_id LEFT JOIN dm ON dm.bus = r.bus AND dm.can_id = r.can_id)"
+DEVIATION = ("freq_deviation", "iat_deviation", "entropy_anomaly", "dlc_anomaly", "periodicity_score", "timing_irregularity")
+
+
+@query("F11_deviation", DEVIATION_SQL + " SELECT bus, seq, " + ", ".join(f"round(CAST({c} AS DOUBLE) + 1e-9, 5) AS {c}" for c in DEVIATION) + " FROM dv")
 def _f11(spark: SparkSession, sf_dir: str) -> DataFrame:
     f, n = frames(spark, sf_dir), normal(spark, sf_dir)
     out = FT.deviation(FT.id_frequency(C.with_delta(f)), C.frequency_profile(n), C.payload_profile(n), C.timing_profile(n))
-    return out.select("bus", "seq", *(F.round(c, 5).alias(c) for c in ("freq_deviation", "iat_deviation", "entropy_anomaly", "timing_irregularity")))
+    return out.select("bus", "seq", *(F.round(F.col(c) + 1e-9, 5).alias(c) for c in DEVIATION))
 
 
 feature("F12_burst", f"SELECT bus, seq, CASE WHEN run = 0 THEN 1 ELSE 0 END + row_number() OVER (PARTITION BY bus, run ORDER BY ts_us, seq) AS burst_size, CAST(CASE WHEN run = 0 THEN 1 ELSE 0 END + row_number() OVER (PARTITION BY bus, run ORDER BY ts_us, seq) > 3 AS INT) AS is_burst FROM (SELECT *, sum(CASE WHEN time_delta < 0.3 THEN 0 ELSE 1 END) OVER {BUSW.format(rows='')} AS run FROM i)", [], lambda s, d: FT.burst(C.with_delta(frames(s, d)), 0.3), exact=["burst_size", "is_burst"])
 
 
-@query("F13_sequence_novelty", f"{ALL_SQL}, g AS (SELECT bus, seq, lag(can_id, 2) OVER {BUSW.format(rows='')} AS a, lag(can_id) OVER {BUSW.format(rows='')} AS b, can_id AS c, attack FROM i), n3 AS (SELECT lag(can_id, 2) OVER {BUSW.format(rows='')} AS a, lag(can_id) OVER {BUSW.format(rows='')} AS b, can_id AS c FROM frames WHERE attack = 0), top AS (SELECT a, b, c, count(*) AS n FROM n3 WHERE a IS NOT NULL GROUP BY ALL ORDER BY n DESC, a, b, c LIMIT 100) SELECT bus, seq, round(CASE WHEN g.a IS NULL THEN 0 ELSE 1.0 / (1.0 + coalesce(n, 0)) END, 6) AS sequence_novelty FROM g LEFT JOIN top USING (a, b, c)")
+NOVELTY_SQL = f", g AS (SELECT bus, seq, lag(can_id, 2) OVER {BUSW.format(rows='')} AS a, lag(can_id) OVER {BUSW.format(rows='')} AS b, can_id AS c, attack FROM i), n3 AS (SELECT lag(can_id, 2) OVER {BUSW.format(rows='')} AS a, lag(can_id) OVER {BUSW.format(rows='')} AS b, can_id AS c FROM frames WHERE attack = 0), top AS (SELECT a, b, c, count(*) AS n FROM n3 WHERE a IS NOT NULL GROUP BY ALL ORDER BY n DESC, a, b, c LIMIT 100), nv AS (SELECT bus, seq, CASE WHEN g.a IS NULL THEN 0 ELSE 1.0 / (1.0 + coalesce(n, 0)) END AS sequence_novelty FROM g LEFT JOIN top USING (a, b, c))"
+
+
+@query("F13_sequence_novelty", f"{ALL_SQL}{NOVELTY_SQL} SELECT bus, seq, {rsql('sequence_novelty')} FROM nv")
 def _f13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(FT.sequence_novelty(frames(spark, sf_dir), C.ngrams(normal(spark, sf_dir), 3, 100)), ["bus", "seq"], ["sequence_novelty"])
 
 
 R100 = BUSW.format(rows=" ROWS BETWEEN 99 PRECEDING AND CURRENT ROW")
-feature("F14_rolling", f"SELECT bus, seq, CASE WHEN n >= 100 THEN avg(time_delta) OVER {R100} ELSE avg(time_delta) OVER (PARTITION BY bus) END AS time_delta_rolling_mean, CASE WHEN n >= 100 THEN coalesce(stddev_samp(time_delta) OVER {R100}, 0) ELSE coalesce(stddev_samp(time_delta) OVER (PARTITION BY bus), 0) END AS time_delta_rolling_std, CASE WHEN n >= 100 THEN avg(f) OVER {R100} ELSE f END AS freq_rolling_mean FROM (SELECT *, {RATE_ID} AS f, count(*) OVER (PARTITION BY bus) AS n FROM {RATED})", ["time_delta_rolling_mean", "time_delta_rolling_std", "freq_rolling_mean"], lambda s, d: FT.rolling(FT.id_frequency(C.with_delta(frames(s, d)))))
+feature("F14_rolling", f"SELECT bus, seq, CASE WHEN n >= 100 THEN avg(time_delta) OVER {R100} ELSE avg(time_delta) OVER (PARTITION BY bus) END AS time_delta_rolling_mean, CASE WHEN n >= 100 THEN coalesce(stddev_samp(time_delta) OVER {R100}, 0) ELSE coalesce(stddev_samp(time_delta) OVER (PARTITION BY bus), 0) END AS time_delta_rolling_std, CASE WHEN n >= 100 THEN avg(f) OVER {R100} ELSE f END AS freq_rolling_mean, CASE WHEN n >= 100 THEN coalesce(stddev_samp(f) OVER {R100}, 0) ELSE 0 END AS freq_rolling_std FROM (SELECT *, {RATE_ID} AS f, count(*) OVER (PARTITION BY bus) AS n FROM {RATED})", ["time_delta_rolling_mean", "time_delta_rolling_std", "freq_rolling_mean", "freq_rolling_std"], lambda s, d: FT.rolling(FT.id_frequency(C.with_delta(frames(s, d)))))
+
 
+ENHANCED = (*DEVIATION, "burst_size", "is_burst", "sequence_novelty", "time_delta_rolling_mean", "time_delta_rolling_std", "freq_rolling_mean", "freq_rolling_std")
 
-@query("F15_enhanced13")
+
+@query("F15_enhanced13", f"{DEVIATION_SQL}{NOVELTY_SQL} SELECT bus, seq, " + ", ".join(f"round(CAST({c} AS DOUBLE) + 1e-9, 5) AS {c}" for c in ENHANCED) + f" FROM dv JOIN nv USING (bus, seq) JOIN ({FEATURE_SQL['F12_burst'].replace('< 0.3', '< 0.001')}) USING (bus, seq) JOIN ({FEATURE_SQL['F14_rolling']}) USING (bus, seq)")
 def _f15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ["freq_deviation", "iat_deviation", "entropy_anomaly", "dlc_anomaly", "periodicity_score", "timing_irregularity", "burst_size", "is_burst", "sequence_novelty", "time_delta_rolling_mean", "time_delta_rolling_std", "freq_rolling_mean", "freq_rolling_std"]
-    return rounded(FT.enhanced13(frames(spark, sf_dir), normal(spark, sf_dir)), ["bus", "seq"], names)
+    out = FT.enhanced13(frames(spark, sf_dir), normal(spark, sf_dir))
+    return out.select("bus", "seq", *(F.round(F.col(c).cast("double") + 1e-9, 5).alias(c) for c in ENHANCED))
 
 
 feature("F16_lags", "SELECT bus, seq, " + ", ".join(f"coalesce(lag(time_delta, {n}) OVER {IDW.format(rows='')}, 0) AS time_delta_lag{n}" for n in (1, 2, 3)) + " FROM i", [f"time_delta_lag{n}" for n in (1, 2, 3)], lambda s, d: FT.lags(C.with_delta(frames(s, d)), ["time_delta"]))
@@ -240,7 +289,7 @@ def _d2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("processed", "passed", "flagged", r6(F.col("pass_rate"), "pass_rate"))
 
 
-detector("D3_simple_rules", f"SELECT bus, seq, CAST(time_delta < 0.001 OR time_delta > 1 AS INT) AS timing_flag, CAST({RATE_ID} > 100 AS INT) AS frequency_flag, 0 AS dlc_flag, CAST(time_delta < 0.001 OR time_delta > 1 OR {RATE_ID} > 100 AS INT) AS simple FROM {RATED}", ["timing_flag", "frequency_flag", "dlc_flag", "simple"], lambda f, n: D.simple_rules(FT.id_frequency(C.with_delta(f))))
+detector("D3_simple_rules", f"SELECT bus, seq, CAST(time_delta < 0.001 OR time_delta > 1 AS INT) AS timing_flag, CAST({RATE_ID} > 100 AS INT) AS frequency_flag, CAST(dlc NOT BETWEEN 0 AND 8 AS INT) AS dlc_flag, CAST(time_delta < 0.001 OR time_delta > 1 OR {RATE_ID} > 100 OR dlc NOT BETWEEN 0 AND 8 AS INT) AS simple FROM {RATED}", ["timing_flag", "frequency_flag", "dlc_flag", "simple"], lambda f, n: D.simple_rules(FT.id_frequency(C.with_delta(f))))
 detector("D4_time_based", "SELECT bus, seq, CAST(NOT known OR abs(time_delta - mean) > 0.1 * mean OR (mean = 0 AND time_delta > 0.1) AS INT) AS time_based FROM j", ["time_based"], lambda f, n: D.time_based(C.with_delta(f), C.time_profile(n)))
 detector("D5_cumulative_timing", f"SELECT bus, seq, CAST(round(avg(CASE WHEN NOT known THEN 1 WHEN mean > 0 THEN least(abs(time_delta - mean) / mean, 1) ELSE 0 END) OVER {R100}, 9) > 0.7 AS INT) AS cumulative_timing FROM j", ["cumulative_timing"], lambda f, n: D.cumulative_timing(C.with_delta(f), C.time_profile(n), 100, 0.7))
 detector("D6_signature", "SELECT bus, seq, CAST(CASE WHEN known THEN c < 0.001 * n OR c > 10 * n OR abs(dlc - ml) > 2 ELSE true END AS INT) AS signature FROM (SELECT j.*, count(*) OVER (PARTITION BY j.bus, j.can_id) AS c, m.ml FROM j LEFT JOIN (SELECT bus, can_id, first(dlc ORDER BY k DESC, dlc) AS ml FROM (SELECT bus, can_id, dlc, count(*) AS k FROM q GROUP BY ALL) GROUP BY ALL) m ON m.bus = j.bus AND m.can_id = j.can_id)", ["signature"], lambda f, n: D.signature(FT.id_frequency(f, "count"), C.signature_profile(FT.id_frequency(n, "count"))))
@@ -286,13 +335,14 @@ def _d15s(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 detector("D16_vote", f"{CHECK_SQL} SELECT bus, seq, CAST(pred + dos_check + spoof_check + fuzz_check >= 2 AS INT) AS vote FROM cc", ["vote"], lambda f, n: EN.vote(checked(f, n), ["pred", "dos_check", "spoof_check", "fuzz_check"]))
 detector("D17_weighted_vote", f"{CHECK_SQL} SELECT bus, seq, CAST((pred * 0.5 + dos_check * 1.5 + fuzz_check * 1.0) / 3.0 > 0.5 AS INT) AS weighted FROM cc", ["weighted"], lambda f, n: EN.weighted_vote(checked(f, n), {"pred": 0.5, "dos_check": 1.5, "fuzz_check": 1.0}))
-CLASS_SQL = f", d AS (SELECT *, time_delta / 0.5 AS freq_deviation, {ENTROPY.format(d='data')} AS payload_entropy, hamming / 8 AS entropy_anomaly, abs(dlc - 8) AS dlc_anomaly FROM cc), k AS (SELECT *, CASE WHEN freq_deviation > 3 THEN 'dos' WHEN payload_entropy > 2.9999999 AND entropy_anomaly > 2 AND false THEN 'fuzzing' WHEN dlc_anomaly > 0.5 THEN CASE WHEN freq_deviation > 1 THEN 'rpm' ELSE 'gear' END ELSE 'unknown' END AS feature_class FROM d), a AS (SELECT *, round(CASE feature_class WHEN 'dos' THEN 0.3 * pred + 0.6 * dos_check + 0.05 * spoof_check + 0.05 * fuzz_check WHEN 'rpm' THEN 0.5 * pred + 0.2 * dos_check + 0.2 * spoof_check + 0.1 * fuzz_check WHEN 'gear' THEN 0.7 * pred + 0.1 * dos_check + 0.1 * spoof_check + 0.1 * fuzz_check ELSE 0.4 * pred + 0.2 * dos_check + 0.2 * spoof_check + 0.2 * fuzz_check END, 9) AS conf FROM k)"
+CLASS_SQL = f", d AS (SELECT *, time_delta / 0.5 AS freq_deviation, 1.21 * {ENTROPY.format(d='data')} AS payload_entropy, hamming / 8 AS entropy_anomaly, abs(dlc - 8) AS dlc_anomaly FROM cc), k AS (SELECT *, CASE WHEN freq_deviation > 3 THEN 'dos' WHEN payload_entropy > 3 AND entropy_anomaly > 2 THEN 'fuzzing' WHEN dlc_anomaly > 0.5 THEN CASE WHEN freq_deviation > 1 THEN 'rpm' ELSE 'gear' END ELSE 'unknown' END AS feature_class FROM d), a AS (SELECT *, round(CASE feature_class WHEN 'fuzzing' THEN 0.15 * pred + 0.05 * dos_check + 0.05 * spoof_check + 0.75 * fuzz_check WHEN 'dos' THEN 0.3 * pred + 0.6 * dos_check + 0.05 * spoof_check + 0.05 * fuzz_check WHEN 'rpm' THEN 0.5 * pred + 0.2 * dos_check + 0.2 * spoof_check + 0.1 * fuzz_check WHEN 'gear' THEN 0.7 * pred + 0.1 * dos_check + 0.1 * spoof_check + 0.1 * fuzz_check ELSE 0.4 * pred + 0.2 * dos_check + 0.2 * spoof_check + 0.2 * fuzz_check END, 9) AS conf FROM k)"
 VOTE4 = ("pred", "dos_check", "spoof_check", "fuzz_check")
 
 
 def classified(f: DataFrame, n: DataFrame) -> DataFrame:
+    """Entropy is stretched a little: of eight bytes it is never over the limit of 3, and no frame would be of class fuzzing."""
     rows = C.with_hamming(checked(f, n))
-    return EN.classify_features(rows.withColumns({"freq_deviation": F.col("time_delta") / 0.5, "payload_entropy": P.entropy("data"), "entropy_anomaly": F.col("hamming") / 8, "dlc_anomaly": F.abs(F.col("dlc") - 8)}))
+    return EN.classify_features(rows.withColumns({"freq_deviation": F.col("time_delta") / 0.5, "payload_entropy": 1.21 * P.entropy("data"), "entropy_anomaly": F.col("hamming") / 8, "dlc_anomaly": F.abs(F.col("dlc") - 8)}))
 
 
 detector("D18_classify_features", f"{CHECK_SQL}{CLASS_SQL} SELECT bus, seq, feature_class FROM k", ["feature_class"], classified)
@@ -428,6 +478,12 @@ def _m8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.balanced_sample(frames(spark, sf_dir), {0: 300, 1: 100}, by="bus").select("bus", "seq", "attack", "split")
 
 
+@query("M8_balanced_counts", f"{FRAMES_SQL} SELECT bus, attack, least(count(*), CASE attack WHEN 0 THEN 300 ELSE 100 END) AS n FROM frames GROUP BY bus, attack")
+def _m8c(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows of each class and file the sample has."""
+    return M.balanced_sample(frames(spark, sf_dir), {0: 300, 1: 100}, by="bus").groupBy("bus", "attack").agg(F.count("*").alias("n"))
+
+
 @query("M9_dual_models")
 def _m9(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = FT.tree12(frames(spark, sf_dir)).join(frames(spark, sf_dir).select("bus", "seq", "attack"), ["bus", "seq"])
@@ -461,7 +517,11 @@ def _a3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.rate_limit(demo_alerts(spark, sf_dir), 3).select("bus", "seq", "rule_name")
 
 
-@query("A3_rate_limit_sliding")
+#: A kept alert is compared with the third kept before it; scanned in order, its three last kept times carried along.
+SLIDING_SQL = ALERT_SQL.replace("WITH frames", "WITH RECURSIVE frames", 1) + ", o AS (SELECT *, row_number() OVER (PARTITION BY bus ORDER BY ts_us, seq, rule_name) AS r FROM al), s AS (SELECT bus, seq, rule_name, r, [ts_us] AS kept, true AS keep FROM o WHERE r = 1 UNION ALL SELECT o.bus, o.seq, o.rule_name, o.r, CASE WHEN len(kept) < 3 OR o.ts_us - kept[-3] >= 1000000 THEN list_append(kept, o.ts_us)[-3:] ELSE kept END, len(kept) < 3 OR o.ts_us - kept[-3] >= 1000000 FROM s JOIN o ON o.bus = s.bus AND o.r = s.r + 1)"
+
+
+@query("A3_rate_limit_sliding", SLIDING_SQL + " SELECT bus, seq, rule_name FROM s WHERE keep")
 def _a3s(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.rate_limit(kept(demo_alerts(spark, sf_dir), "alerts"), 3, sliding=True).select("bus", "seq", "rule_name")
 
@@ -474,7 +534,10 @@ def _a4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.dedup(kept(demo_alerts(spark, sf_dir), "alerts")).select("bus", "seq", "rule_name")
 
 
-@query("A5_process")
+PROCESS_SQL = ALERT_SQL.replace("WITH frames", "WITH RECURSIVE frames", 1).replace(", al AS (", ", al0 AS (", 1) + ", al1 AS (SELECT *, concat('alert-', bus, '-', ts_us // 1000000, '-', lpad(CAST(row_number() OVER (PARTITION BY bus, ts_us // 1000000 ORDER BY ts_us, seq, rule_name) AS VARCHAR), 6, '0')) AS alert_id FROM al0), al AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bus, ts_us // 1000000 ORDER BY ts_us, seq, rule_name) AS nth FROM al1 WHERE level >= 2) WHERE nth <= 10)" + DEDUP_SQL
+
+
+@query("A5_process", PROCESS_SQL + " SELECT dd.bus, dd.seq, dd.rule_name, dd.severity, alert_id FROM dd JOIN al USING (bus, seq, rule_name) WHERE keep")
 def _a5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.process(kept(R.early_exit(demo_hits(spark, sf_dir)), "hits"), "rules", "MEDIUM").select("bus", "seq", "rule_name", "severity", "alert_id")
 
@@ -564,11 +627,11 @@ def _e9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded_plain(X.traffic_summary(frames(spark, sf_dir)), ["bus", "messages", "ids", "last_us"], ["seconds", "rate"])
 
 
-@query("E10_dataset_stats", f"{FRAMES_SQL}, t AS (SELECT vehicle, attack_type, count(*) AS n FROM frames GROUP BY ALL) SELECT vehicle, count(*) AS frames, CAST(sum(attack) AS BIGINT) AS attacks, count(DISTINCT can_id) AS ids, (SELECT string_agg(concat(attack_type, '=', n), ',' ORDER BY attack_type) FROM t WHERE t.vehicle = f.vehicle) AS by_type FROM frames f GROUP BY vehicle")
+@query("E10_dataset_stats", f"{FRAMES_SQL}, t AS (SELECT vehicle, attack_type, count(*) AS n FROM frames GROUP BY ALL) SELECT vehicle, count(*) AS frames, CAST(sum(attack) AS BIGINT) AS attacks, count(DISTINCT can_id) AS ids, round((max(ts_us) - min(ts_us)) / 1000000, 6) AS seconds, (SELECT string_agg(concat(attack_type, '=', n), ',' ORDER BY attack_type) FROM t WHERE t.vehicle = f.vehicle) AS by_type FROM frames f GROUP BY vehicle")
 def _e10(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = X.dataset_stats(frames(spark, sf_dir))
     text = F.array_join(F.transform(F.map_entries("by_type"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
-    return s.select("vehicle", "frames", "attacks", "ids", text.alias("by_type"))
+    return s.select("vehicle", "frames", "attacks", "ids", r6(F.col("seconds"), "seconds"), text.alias("by_type"))
 
 
 @query("E11_data_summary", f"{FRAMES_SQL} SELECT unnest(['seq', 'bus', 'source_id', 'attack_type']) AS \"column\", count(*) AS rows, unnest([count(*) - count(seq), count(*) - count(bus), count(*) - count(source_id), count(*) - count(attack_type)]) AS nulls FROM frames")
@@ -583,9 +646,9 @@ def _e12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.filter(F.array_position(order, F.col("a")) < F.array_position(order, F.col("b"))).select("a", "b", F.round("r", 5).alias("r"))
 
 
-@query("E13_histogram", f"{ML_SQL}, m AS (SELECT min(hamming) AS a, max(hamming) AS b FROM h) SELECT 'hamming' AS signal, CAST(least(floor((hamming - a) / (b - a) * 50), 49) AS INT) AS bin, count(*) AS n FROM h, m GROUP BY ALL")
+@query("E13_histogram", f"{ML_SQL}, m AS (SELECT min(hamming) AS a, max(hamming) AS b FROM h) SELECT signal, bin, round(a + (b - a) / 50 * bin, 6) AS low, n FROM (SELECT 'hamming' AS signal, CAST(least(floor((hamming - a) / (b - a) * 50), 49) AS INT) AS bin, count(*) AS n FROM h, m GROUP BY ALL), m")
 def _e13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.histogram(table(spark, sf_dir), ["hamming"]).select("signal", "bin", "n")
+    return X.histogram(table(spark, sf_dir), ["hamming"]).select("signal", "bin", r6(F.col("low"), "low"), "n")
 
 
 # --- sources and sinks: written to the shared folder, read back ------------------
@@ -619,6 +682,92 @@ def _s6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.read_frames_json(spark, path, lines=True).select("ts_us", "can_id", "dlc", "attack")
 
 
+@query("S4_read_candump_all", f"{FRAMES_SQL} SELECT CASE WHEN seq % 5 = 4 AND lag(seq) OVER (ORDER BY seq) IS NOT NULL THEN lag(ts_us) OVER (ORDER BY seq) + 1000 ELSE ts_us END AS ts_us, can_id, array_to_string(data, ',') AS bytes FROM frames WHERE seq > 0")
+def _s4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all three kinds in turn; a bare one has no time."""
+    path = fresh(spark, "candump")
+    t, i = F.col("ts_us") / 1_000_000, F.col("can_id")
+    standard = F.format_string("(%.6f) %s %03X#%s", t, F.col("bus"), i, P.bytes_to_hex("data", ""))
+    detailed = F.format_string("%.6f %s %03X [%d] %s", t, F.col("bus"), i, F.size("data"), P.bytes_to_hex("data"))
+    line = F.when(F.expr("seq % 5 = 4"), F.format_string("%03X#%s", i, P.bytes_to_hex("data", ""))).when(F.expr("seq % 2 = 0"), standard).otherwise(detailed)
+    frames(spark, sf_dir).filter("seq > 0").coalesce(1).sortWithinPartitions("seq").select(line).write.text(path)
+    return io.read_candump(spark, path, "all").select("ts_us", "can_id", joined(F.col("data")).alias("bytes"))
+
+
+@query("S6_read_frames_json_array", f"{FRAMES_SQL} SELECT ts_us, can_id, dlc, attack FROM frames")
+def _s6a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One array over several lines for each bus and id."""
+    path = fresh(spark, "json")
+    frame = F.struct((F.col("ts_us") / 1_000_000).alias("timestamp"), "can_id", "dlc", "data", (F.col("attack") == 1).alias("is_attack"))
+    arrays = frames(spark, sf_dir).groupBy("bus", "can_id").agg(F.replace(F.to_json(F.collect_list(frame)), F.lit("},{"), F.lit("},\n{")).alias("value"))
+    arrays.repartition("bus", "can_id").select("bus", F.col("can_id").alias("id"), "value").write.partitionBy("bus", "id").text(path)
+    return io.read_frames_json(spark, path).select("ts_us", "can_id", "dlc", "attack")
+
+
+NAMED = ("attack-free", "DoS", "fuzzing", "rpm", "other")
+
+
+@query("S7_dataset_labels", f"{FRAMES_SQL} SELECT attack_type, vehicle, count(*) AS frames FROM (SELECT CASE seq % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'dos' WHEN 2 THEN 'fuzzing' WHEN 3 THEN 'rpm' ELSE 'unknown' END AS attack_type, CASE WHEN seq % 7 = 0 THEN 'unknown' ELSE concat('set_0', seq % 4, CASE seq % 3 WHEN 0 THEN '_train' WHEN 1 THEN '_known' ELSE '_unknown' END) END AS vehicle FROM frames) GROUP BY ALL")
+def _s7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attack and vehicle from the paths of captures."""
+    kind = F.when(F.expr("seq % 3 = 0"), "train_01").when(F.expr("seq % 3 = 1"), "test_01_known_vehicle_known_attack").otherwise("test_02_unknown_vehicle_known_attack")
+    folder = F.when(F.expr("seq % 7 = 0"), "plain").otherwise(F.concat(F.lit("set_0"), F.expr("cast(seq % 4 as string)"), F.lit("/"), kind))
+    path = F.concat(F.lit("s3://captures/"), folder, F.lit("/"), F.get(F.array(*map(F.lit, NAMED)), F.expr("cast(seq % 5 as int)")), F.lit("-1.csv"))
+    labelled = io.labelled(frames(spark, sf_dir).drop("attack_type", "vehicle").withColumn("source_file", path))
+    return labelled.groupBy("attack_type", "vehicle").agg(F.count("*").alias("frames"))
+
+
+@query("S8_S11_rule_file", f"{BASE_SQL_RULES} SELECT concat(kind, ' 0x', lpad(hex(can_id), 3, '0')) AS name, can_id, expected_interval, consecutive_required, max_frequency FROM rules WHERE bus = 'v0'")
+def _s8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules generated from one bus, saved as a file (its limits with a fraction, and two bad rules among them), and loaded again."""
+    rules = B.rules_from_profile(B.generate_rules(B.analyze(B.attack_free(frames(spark, sf_dir).filter("bus = 'v0'")))))
+    path = fresh(spark, "rules") + ".yaml"
+    written = [r | ({"max_frequency": r["max_frequency"] + 0.6} if "max_frequency" in r else {}) for r in rules]
+    io.save_rules(spark, [{"name": "no severity"}, *written, {"name": "bad", "severity": "LOW", "max_frequency": "many"}], path, frames="v0")
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", UserWarning)
+        loaded = io.load_rules(spark, path)
+    return loaded.select("name", "can_id", "expected_interval", "consecutive_required", "max_frequency")
+
+
+@query("S9_write_csv", f"{ALERT_SQL} SELECT bus, seq, rule_name FROM al")
+def _s9c(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh(spark, "alerts")
+    io.write_alerts(demo_alerts(spark, sf_dir).withColumn("nested", F.array("seq")), path, "csv")
+    return spark.read.option("header", True).csv(path).select("bus", F.from_json("nested", "array<long>")[0].alias("seq"), "rule_name")
+
+
+@query("S10_save_table", f"{FRAMES_SQL} SELECT vehicle, seq, can_id FROM frames")
+def _s10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh(spark, "table")
+    io.save_table(frames(spark, sf_dir), path, by="vehicle")
+    return spark.read.parquet(path).select("vehicle", "seq", "can_id")
+
+
+@query("S12_profile", ORACLE["B5_iat_stats"])
+def _s12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A calibration saved and used again."""
+    path = fresh(spark, "profile")
+    io.save_profile(C.iat_stats(normal(spark, sf_dir)), path)
+    return rounded(io.load_profile(spark, path), ["bus", "can_id", "n"], ["iat_mean", "iat_std", "iat_p5", "iat_p95"])
+
+
+WA_SQL = PROCESS_SQL + f", e AS (SELECT frames.*, EXISTS (SELECT 1 FROM dd WHERE keep AND dd.bus = frames.bus AND dd.seq = frames.seq) AS pred FROM frames), m AS (SELECT attack_type, {CONF} FROM e GROUP BY GROUPING SETS ((attack_type), ()))"
+
+
+@query("W_A_detect_and_measure", f"{WA_SQL} SELECT coalesce(attack_type, 'all') AS attack_type, tp, fp, tn, fn, {RATES} FROM m")
+def _wa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main work in one: captures from files, a rule file, alerts with limits, and how well they tell attacks, in all and by type."""
+    captures, file = fresh(spark, "captures"), fresh(spark, "rules") + ".yaml"
+    io.save_table(frames(spark, sf_dir), captures)
+    io.save_rules(spark, DEMO_RULES, file)
+    f = spark.read.parquet(captures)
+    found = A.process(kept(R.early_exit(R.evaluate(f, io.load_rules(spark, file))), "hits"), "rules", "MEDIUM")
+    rows = f.join(found.select("bus", "seq").distinct().withColumn("pred", F.lit(1)), ["bus", "seq"], "left")
+    both = rows.select("attack", "pred", F.explode(F.array(F.lit("all"), "attack_type")).alias("attack_type"))
+    return rounded_plain(E.confusion(both, by=["attack_type"]).drop("n"), ["attack_type", "tp", "fp", "tn", "fn"], ["accuracy", "precision", "recall", "f1", "specificity", "fpr", "fnr", "npv"])
+
+
 @query("S9_S12_write_read", f"{ALERT_SQL} SELECT bus, seq, rule_name FROM al")
 def _s9(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh(spark, "alerts")
@@ -640,13 +789,12 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("T2_T3_detect_rules", f"{HITS_SQL} SELECT bus, seq, rule_name FROM flat WHERE rule_name <> 'flood'")
 def _t23(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = R.rules_frame(spark, [r for r in DEMO_RULES if r["name"] != "flood"])
-    return S.drain(S.detect_rules(S.enrich(stream(spark, sf_dir)), rules), "hits").select("bus", "seq", "rule_name")
+    return S.drain(S.detect_rules(S.enrich(stream(spark, sf_dir), rules), rules), "hits").select("bus", "seq", "rule_name")
 
 
 @query("T4_prefilter", f"{DET_SQL}, {PRE_SQL} SELECT bus, seq, suspicious FROM pre")
 def _t4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = {(r.bus, r.can_id): r.expected for r in C.prefilter_intervals(trained(spark, sf_dir)).collect()}
-    return S.drain(S.prefilter(stream(spark, sf_dir), known), "prefilter")
+    return S.drain(S.prefilter(stream(spark, sf_dir), kept(C.prefilter_intervals(trained(spark, sf_dir)), "expected")), "prefilter")
 
 
 @query("T5_global_rate", f"{FRAMES_SQL}, w AS (SELECT bus, unnest(range(ts_us // 100000 - 9, ts_us // 100000 + 1)) * 100000 AS start_us FROM frames) SELECT bus, start_us, count(*) AS frames FROM w GROUP BY ALL HAVING count(*) > 25")
@@ -663,7 +811,7 @@ def _t6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest(S.drain(S.dos_window(stream(spark, sf_dir), 5, "2 seconds"), "dos", "update"), ["bus", "can_id", "start_us"], ["frames"])
 
 
-@query("T7_bursts")
+@query("T7_bursts", f"{FRAMES_SQL}, g AS (SELECT *, CASE WHEN ts_us - lag(ts_us) OVER {BUSW.format(rows='')} <= 20000 THEN 0 ELSE 1 END AS new FROM frames), r AS (SELECT *, sum(new) OVER {BUSW.format(rows='')} AS run FROM g) SELECT bus, min(ts_us) AS start_us, count(*) AS frames FROM r GROUP BY bus, run HAVING count(*) >= 3 AND max(ts_us) + 20000 <= ((SELECT max(ts_us) FROM frames) // 1000 - 5000) * 1000")
 def _t7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.drain(S.bursts(stream(spark, sf_dir), "20 milliseconds", 3), "bursts")
 
@@ -682,6 +830,13 @@ def _t9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("bus", "start_us", "messages", r6(F.col("rate"), "rate"))
 
 
+@query("T1_candump_stream", f"{FRAMES_SQL} SELECT ts_us, bus, can_id, array_to_string(data, ',') AS bytes FROM frames")
+def _t1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh(spark, "candump")
+    frames(spark, sf_dir).select(F.format_string("(%.6f) %s %03X#%s", F.col("ts_us") / 1_000_000, F.col("bus"), F.col("can_id"), P.bytes_to_hex("data", ""))).write.text(path)
+    return S.drain(S.read_frames(spark, path, "candump"), "frames").select("ts_us", "bus", "can_id", joined(F.col("data")).alias("bytes"))
+
+
 @query("T1_T10_write_alerts", f"{FRAMES_SQL} SELECT bus, seq FROM frames WHERE dlc < 6")
 def _t10(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh(spark, "sink")

@@ -145,7 +145,17 @@ def _r16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.check_global_rate(frames(spark, sf_dir), 25, 1.0, "violated").select("seq", "violated")
 
 
-@query("R18_replay_exact")
+@query(
+    "R18_replay_exact",
+    FRAMES_SQL.replace("WITH frames", "WITH RECURSIVE frames", 1)
+    + """, o AS (SELECT *, row_number() OVER (PARTITION BY bus, can_id, data ORDER BY ts_us, seq) AS r FROM frames),
+    x AS (SELECT bus, can_id, data, seq, r, ts_us AS kept_us, 0 AS again, false AS replay FROM o WHERE r = 1
+      UNION ALL SELECT o.bus, o.can_id, o.data, o.seq, o.r,
+        CASE WHEN o.ts_us - kept_us < 1000000 AND (again + 1 >= 3 OR o.ts_us - kept_us < 100000) THEN kept_us ELSE o.ts_us END, again + 1,
+        o.ts_us - kept_us < 1000000 AND (again + 1 >= 3 OR o.ts_us - kept_us < 100000)
+      FROM x JOIN o ON o.bus = x.bus AND o.can_id = x.can_id AND o.data = x.data AND o.r = x.r + 1)
+    SELECT seq, replay FROM x""",
+)
 def _r18x(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.replay_exact(frames(spark, sf_dir), 1.0).select("seq", "replay")
 
@@ -234,8 +244,9 @@ b AS (SELECT bus, can_id, avg(d) FILTER (d > 0) AS mean_ms, stddev_samp(d) FILTE
 base AS (SELECT * FROM b WHERE intervals >= 10),
 rules AS (SELECT bus, can_id, 'timing' AS kind, round(mean_ms, 2) AS expected_interval, round(greatest(std_ms, 2.0), 2) AS interval_variance,
   CASE WHEN rate > 50 THEN 2.5 WHEN rate > 10 THEN 2.8 ELSE 3.0 END + CASE WHEN std_ms / mean_ms > 0.5 THEN 0.3 ELSE 0 END AS sigma_extreme,
-  CASE WHEN rate > 10 AND rate <= 50 THEN 5 ELSE 4 END + CASE WHEN std_ms / mean_ms > 0.5 THEN 1 ELSE 0 END AS consecutive_required, NULL AS max_frequency FROM base WHERE std_ms / mean_ms <= 2
-  UNION ALL SELECT bus, can_id, 'frequency', NULL, NULL, NULL, NULL, CAST(floor(rate * 4) AS INT) FROM base WHERE std_ms / mean_ms <= 2 AND rate >= 10)"""
+  CASE WHEN rate > 10 AND rate <= 50 THEN 5 ELSE 4 END + CASE WHEN std_ms / mean_ms > 0.5 THEN 1 ELSE 0 END AS consecutive_required, NULL AS max_frequency,
+  CASE WHEN rate > 50 THEN 1.3 WHEN rate > 10 THEN 1.5 ELSE 1.7 END + CASE WHEN std_ms / mean_ms > 0.5 THEN 0.1 ELSE 0 END AS sigma_moderate FROM base WHERE std_ms / mean_ms <= 2
+  UNION ALL SELECT bus, can_id, 'frequency', NULL, NULL, NULL, NULL, CAST(floor(rate * 4) AS INT), NULL FROM base WHERE std_ms / mean_ms <= 2 AND rate >= 10)"""
 
 
 def demo_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,11 +277,21 @@ def _b4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.merge_rules(old, new).select("can_id", "kind", "origin", joined(F.col("allowed_can_ids")).alias("ids"))
 
 
-@query("W_B_redetect")
+WB_SQL = f"""{BASE_SQL}, rr AS (SELECT can_id AS rid, expected_interval AS e, interval_variance AS v, sigma_extreme AS se, sigma_moderate AS sm, consecutive_required AS c, max_frequency AS mf, kind FROM rules WHERE bus = 'v0'),
+st AS (SELECT *, {HEX.format(s="")} AS payload, row_number() OVER w AS n, (ts_us - lag(ts_us) OVER w) / 1000 AS interval_ms FROM frames{WIN}),
+hh AS (SELECT *, list(interval_ms) OVER h AS intervals, list(payload) OVER h AS payloads, list(ts_us) OVER w AS times FROM st WINDOW w AS (PARTITION BY bus, can_id ORDER BY ts_us, seq), h AS (PARTITION BY bus, can_id ORDER BY ts_us, seq ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)),
+j AS (SELECT hh.*, rr.*, intervals[greatest(len(intervals) - c - 1, 1):] AS li, payloads[greatest(len(payloads) - c - 1, 1):] AS lp FROM hh JOIN rr ON rid = can_id),
+f AS (SELECT bus, kind, can_id, CASE WHEN kind = 'frequency' THEN coalesce(len(times) >= mf AND ts_us - times[len(times) - mf + 1] <= 1000000, false)
+  ELSE e <> 0 AND v <> 0 AND n >= 3 AND (interval_ms < greatest(0, e - se * v) OR interval_ms > e + se * v
+    OR (n - 1 >= c + 2 AND len(list_filter(li, lambda x: x < greatest(0, e - sm * v) OR x > e + sm * v)) >= c
+      AND list_max(list_transform(lp, lambda p: len(list_filter(lp, lambda q: q = p)))) / len(lp) >= {B.REPEATED})) END AS hit FROM j)
+SELECT bus, concat(kind, ' 0x', lpad(hex(can_id), 3, '0')) AS rule_name, count(*) AS alerts FROM f WHERE hit GROUP BY ALL"""
+
+
+@query("W_B_redetect", WB_SQL)
 def _wb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Learn a baseline from one bus, generate rules, and run them on all."""
+    """Learn a baseline from one bus, generate rules, and run them on all; no rules learned, no alerts."""
     f = frames(spark, sf_dir)
     rules = B.rules_from_profile(B.generate_rules(B.analyze(B.attack_free(f.filter("bus = 'v0'")))))
-    if not rules:
-        rules = DEMO_RULES
-    return R.evaluate(f, R.rules_frame(spark, rules)).groupBy("bus", "rule_name").agg(F.count("*").alias("alerts"))
+    hits = R.evaluate(f, R.rules_frame(spark, rules)) if rules else f.limit(0).withColumn("rule_name", F.lit(None).cast("string"))
+    return hits.groupBy("bus", "rule_name").agg(F.count("*").alias("alerts"))

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import struct
+import warnings
 from collections.abc import Iterator
-from pathlib import Path
 from typing import Any
 
 import pandas as pd
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framewatch.functions.payload import hex_to_bytes
-from framewatch.operators.rules import rules_frame
+from framewatch.operators.rules import rule_row, rules_frame
 from framewatch.schema import FRAME_SCHEMA
 
 #: Attack type by a word in the file's name, in order.
@@ -160,7 +160,7 @@ def vehicle_of(file: Column) -> Column:
 
 def read_dataset(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
     """All captures below a folder, with attack_type from the file's name and vehicle from its path; bus is the file."""
-    return _labelled(read_can_csv(spark, _glob(spark, folder, pattern)))
+    return labelled(read_can_csv(spark, _glob(spark, folder, pattern)))
 
 
 def _glob(spark: SparkSession, folder: str, pattern: str) -> list[str]:
@@ -169,19 +169,32 @@ def _glob(spark: SparkSession, folder: str, pattern: str) -> list[str]:
     return [r.path for r in files.collect()]
 
 
-def _labelled(frames: DataFrame) -> DataFrame:
+def labelled(frames: DataFrame) -> DataFrame:
     return frames.withColumn("attack_type", attack_type_of(F.col("source_file"))).withColumn("vehicle", vehicle_of(F.col("source_file")))
 
 
 def load_rules(spark: SparkSession, path: str) -> DataFrame:
-    """A rule table from YAML (``rules:`` a list); a rule without a name or severity is skipped, order is by priority, ids before global."""
+    """A rule table from YAML (``rules:`` a list), ids before global, then by priority, then as in the file.
+
+    A fractional limit of frames is cut to an integer. A rule without a name or a severity,
+    with an unknown field, or with a value that is not of its field's type is left out with a warning; the others stay.
+    """
     loaded = yaml.safe_load(_text(spark, path)) or {}
-    rules = [r for r in loaded.get("rules") or [] if isinstance(r, dict) and r.get("name") and r.get("severity")]
-    return rules_frame(spark, sorted(rules, key=lambda r: (r.get("can_id") is None, r.get("priority", 5))))
+    rules = []
+    for i, r in enumerate(loaded.get("rules") or []):
+        try:
+            if not (isinstance(r, dict) and r.get("name") and r.get("severity")):
+                raise ValueError("no name or no severity")
+            rule_row(r)
+            rules.append(r)
+        except (TypeError, ValueError, AttributeError) as e:
+            warnings.warn(f"{path}: rule {i} ({r.get('name') if isinstance(r, dict) else r}) left out: {e}", stacklevel=2)
+    return rules_frame(spark, sorted(rules, key=lambda r: (r.get("can_id") is None, 5 if r.get("priority") is None else int(r["priority"]))))
 
 
 def _text(spark: SparkSession, path: str) -> str:
-    return spark.read.text(path, wholetext=True).first()[0]
+    found = spark.read.text(path, wholetext=True).first()
+    return found[0] if found else ""
 
 
 def write_alerts(alerts: DataFrame, path: str, format: str = "json") -> None:
@@ -198,9 +211,15 @@ def save_table(df: DataFrame, path: str, format: str = "parquet", by: str | None
     (writer.partitionBy(by) if by else writer).save(path)
 
 
-def save_rules(rules: list[dict[str, Any]], path: str, **metadata: Any) -> None:
-    """Generated rules (hundreds) as YAML with ``_metadata``, on the driver."""
-    Path(path).write_text(yaml.safe_dump({"rules": rules, "_metadata": {"rules": len(rules), **metadata}}, sort_keys=False))
+def save_rules(spark: SparkSession, rules: list[dict[str, Any]], path: str, **metadata: Any) -> None:
+    """Generated rules (hundreds) as one YAML file with ``_metadata``, in any store that Spark reaches."""
+    text = yaml.safe_dump({"rules": rules, "_metadata": {"rules": len(rules), **metadata}}, sort_keys=False)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
 
 
 def save_profile(profile: DataFrame, path: str) -> None:

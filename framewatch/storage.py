@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; one of our own where it is unset (tests, local mode)."""
+    """``spark.checkpoint.dir`` of the session; in local mode one of our own where it is unset. On a cluster it has to be set: a folder of one machine would lose rows."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="framewatch-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -7,6 +7,7 @@ drop them by Spark's own rule; state operators see frames of a batch in order.
 from __future__ import annotations
 
 import pickle
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from framewatch.functions import payload as P
 from framewatch.functions.frames import diagnostic_source
@@ -22,8 +24,8 @@ from framewatch.schema import FRAME_SCHEMA
 from framewatch.storage import fresh
 
 LATENESS = "5 seconds"
-#: What the state of an id keeps: intervals and payloads, times, and for how long a payload or a source.
-INTERVALS, TIMES, MEMORY_US = 50, 100, 60_000_000
+#: What the state of an id keeps at least: intervals and payloads, and for how long a payload or a source.
+INTERVALS, MEMORY_US = 50, 60_000_000
 
 
 def read_frames(spark: SparkSession, path: str, format: str = "parquet", lateness: str = LATENESS, per_batch: int | None = None) -> DataFrame:
@@ -49,19 +51,28 @@ def with_watermark(frames: DataFrame, lateness: str = LATENESS) -> DataFrame:
     return (frames if "ts" in frames.columns else frames.withColumn("ts", F.timestamp_micros("ts_us"))).withWatermark("ts", lateness)
 
 
-_STATE_OUT = "bus string, seq long, ts_us long, can_id int, dlc int, data array<int>, is_extended boolean, is_remote boolean, is_error boolean, _n long, interval_ms double, _payload string, _nibble int, _counter_before int, _run_length long, _gap_us long, _repeats long, _source int, _sources long, _intervals array<double>, _payloads array<string>, _times array<long>"
+_STATE_OUT = "bus string, seq long, ts_us long, can_id int, dlc int, data array<int>, is_extended boolean, is_remote boolean, is_error boolean, _n long, interval_ms double, _payload string, _nibble int, _counter_before int, _run_length long, _gap_us long, _repeats long, _source int, _sources long, _intervals array<double>, _payloads array<string>, _backs array<long>"
 
 
-def enrich(frames: DataFrame) -> DataFrame:
-    """The columns that the stateful checks read (as ``rules.add_state`` has them in batch), from bounded state per bus and id.
+def limits(rules: DataFrame) -> tuple[list[int], int]:
+    """The distinct frame limits of frequency rules, and the most intervals that a timing rule looks at."""
+    known = rules.select("max_frequency", "consecutive_required").collect()
+    return sorted({r.max_frequency for r in known if r.max_frequency}), max([INTERVALS, *((r.consecutive_required or 5) + 2 for r in known)])
 
-    State: the last time, payload and counter, INTERVALS intervals and payloads,
-    TIMES frame times, the run length, and payloads and sources of the last minute.
+
+def enrich(frames: DataFrame, rules: DataFrame) -> DataFrame:
+    """The columns that the stateful checks of ``rules`` read (as ``rules.add_state`` has them in batch), from bounded state per bus and id.
+
+    State: the last time, payload and counter, as many intervals, payloads and frame
+    times as the rules look back, the run length, and payloads and sources of the
+    last minute. ``_backs``: for each distinct frame limit, the time of the frame so many back (this one counted).
     """
+    counts, intervals = limits(rules)
+    most = max(counts, default=1)
     rows = frames.select("bus", "seq", "ts_us", "can_id", "dlc", "data", "is_extended", "is_remote", "is_error", P.bytes_to_hex("data", "").alias("_payload"), F.try_element_at("data", F.lit(1)).bitwiseAND(F.lit(15)).alias("_nibble"), diagnostic_source().alias("_source"))
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = pickle.loads(state.get[0]) if state.exists else {"n": 0, "t": None, "p": None, "run": 0, "counter": 0, "i": [], "ps": [], "ts": [], "seen": {}, "sources": {}}
+        s = pickle.loads(state.get[0]) if state.exists else {"n": 0, "t": None, "p": None, "run": 0, "counter": 0, "i": [], "ps": [], "ts": deque(maxlen=most), "seen": {}, "sources": {}}
         batch = pd.concat(list(parts), ignore_index=True).sort_values(["ts_us", "seq"], kind="stable")
         out = []
         for r in batch.to_dict("records"):
@@ -72,13 +83,14 @@ def enrich(frames: DataFrame) -> DataFrame:
             last, times = s["seen"].get(p, (None, -1))
             s["seen"][p] = (t, times + 1)
             if interval is not None:
-                s["i"] = (s["i"] + [interval])[-INTERVALS:]
-            s["ps"], s["ts"] = (s["ps"] + [p])[-INTERVALS:], (s["ts"] + [t])[-TIMES:]
+                s["i"] = (s["i"] + [interval])[-intervals:]
+            s["ps"] = (s["ps"] + [p])[-intervals:]
+            s["ts"].append(t)
             source = None if pd.isna(r["_source"]) else int(r["_source"])
             if source is not None:
                 s["sources"][source] = t
             nibble = None if pd.isna(r["_nibble"]) else int(r["_nibble"])
-            out.append({**r, "_nibble": nibble, "_source": source, "_n": s["n"], "interval_ms": interval, "_counter_before": s["counter"], "_run_length": s["run"], "_gap_us": None if last is None else t - last, "_repeats": times + 1, "_sources": len(s["sources"]), "_intervals": list(s["i"]), "_payloads": list(s["ps"]), "_times": list(s["ts"])})
+            out.append({**r, "_nibble": nibble, "_source": source, "_n": s["n"], "interval_ms": interval, "_counter_before": s["counter"], "_run_length": s["run"], "_gap_us": None if last is None else t - last, "_repeats": times + 1, "_sources": len(s["sources"]), "_intervals": list(s["i"]), "_payloads": list(s["ps"]), "_backs": [s["ts"][-n] if len(s["ts"]) >= n else None for n in counts]})
             s["t"], s["p"] = t, p
             if nibble is not None:
                 s["counter"] = nibble
@@ -98,24 +110,26 @@ def enrich(frames: DataFrame) -> DataFrame:
 def detect_rules(enriched: DataFrame, rules: DataFrame) -> DataFrame:
     """Rule hits on enriched frames (as ``rules.evaluate`` finds them, global rate rules aside: see ``global_rate``)."""
     known = rules.orderBy("rule_no").collect()
+    counts, _ = limits(rules)
     hits: list[Column] = []
     for r in known:
         p = R.literal(r)
         scope = F.col("can_id") == r.can_id if r.can_id is not None else F.col("can_id").between(*r.can_id_range) if r.can_id_range else ~F.col("can_id").isin(*r.allowed_can_ids) if r.whitelist_mode and r.allowed_can_ids else F.lit(True)
         n = r.max_frequency
-        frequency = F.coalesce((F.size("_times") >= n) & (F.col("ts_us") - F.try_element_at("_times", F.lit(-n)) <= (r.time_window or 1.0) * 1_000_000), F.lit(False)) if n else F.lit(False)
+        frequency = F.coalesce(F.col("ts_us") - F.get("_backs", F.lit(counts.index(n))) <= (r.time_window or 1.0) * 1_000_000, F.lit(False)) if n else F.lit(False)
         hits.append(F.when(scope & R.fired(p, F.lit(False), frequency, R.sets(r)), F.struct(F.lit(r.rule_no).alias("rule_no"), p("name").alias("rule_name"), p("severity").alias("severity"), p("priority").alias("priority"), p("description").alias("description"), p("action").alias("action"), R.confidence(p).alias("confidence"), F.lit(r.can_id is None).alias("is_global"))))
     return enriched.withColumn("h", F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull()))).select("bus", "seq", "ts_us", "can_id", "dlc", "data", "h.*")
 
 
-def prefilter(frames: DataFrame, expected: dict[tuple[str, int], float], tolerance: float = 0.3) -> DataFrame:
-    """bus, seq, suspicious: as ``detect.prefilter``, with the id's last time and expected interval as state. ``expected`` (s) by bus and id goes to the tasks."""
+def prefilter(frames: DataFrame, expected: DataFrame, tolerance: float = 0.3) -> DataFrame:
+    """bus, seq, suspicious: as ``detect.prefilter``, with the id's last time and expected interval as state. ``expected`` (bus, can_id, expected in s) is joined to the stream."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, want = state.get if state.exists else (None, None)
-        known = (key[0], int(key[1])) in expected
-        want = expected.get((key[0], int(key[1])), want)
         batch = pd.concat(list(parts), ignore_index=True).sort_values(["ts_us", "seq"], kind="stable")
+        learned = batch["expected"].iloc[0]
+        known = not pd.isna(learned)
+        want = float(learned) if known else want
         flags = []
         for t in batch["ts_us"].tolist():
             gap = None if last is None else (t - last) / 1_000_000
@@ -126,7 +140,8 @@ def prefilter(frames: DataFrame, expected: dict[tuple[str, int], float], toleran
         state.update((last, want))
         yield pd.DataFrame({"bus": batch["bus"], "seq": batch["seq"], "suspicious": flags})
 
-    return frames.select("bus", "can_id", "ts_us", "seq").groupBy("bus", "can_id").applyInPandasWithState(run, "bus string, seq long, suspicious int", "last long, want double", "append", GroupStateTimeout.NoTimeout)
+    joined = frames.select("bus", "can_id", "ts_us", "seq").join(expected.select("bus", "can_id", "expected"), ["bus", "can_id"], "left")
+    return joined.groupBy("bus", "can_id").applyInPandasWithState(run, "bus string, seq long, suspicious int", "last long, want double", "append", GroupStateTimeout.NoTimeout)
 
 
 def global_rate(frames: DataFrame, limit: int, window: str = "1 second", slide: str = "100 milliseconds") -> DataFrame:
@@ -191,17 +206,13 @@ def count_late(query: StreamingQuery) -> int:
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what its source has, into a table in the shared folder, and returns the table.
 
-    In ``update`` mode each batch's changed rows are written with ``_batch``, the last of which hold.
+    Each batch has a folder of its own, overwritten if the batch is run again. In
+    ``update`` mode rows come with ``_batch``, the number of their batch, the last of which hold.
     """
     spark = stream.sparkSession
     path, checkpoint = fresh(spark, name), fresh(spark, f"{name}-checkpoint")
-    empty = spark.createDataFrame([], stream.schema)
-    (empty.withColumn("_batch", F.lit(0).cast("long")) if mode == "update" else empty).write.parquet(path)
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True)
-    if mode == "update":
-        query = writer.foreachBatch(lambda df, number: df.withColumn("_batch", F.lit(number).cast("long")).write.mode("append").parquet(path)).start()
-        query.awaitTermination()
-        return spark.read.parquet(path)
-    query = writer.foreachBatch(lambda df, number: df.write.mode("append").parquet(path)).start()
-    query.awaitTermination()
-    return spark.read.parquet(path)
+    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/batch=-1")
+    put = lambda df, number: df.write.mode("overwrite").parquet(f"{path}/batch={number}")
+    stream.writeStream.option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    rows = spark.read.schema(StructType(list(stream.schema.fields)).add("batch", "long")).parquet(path)
+    return rows.withColumnRenamed("batch", "_batch") if mode == "update" else rows.drop("batch")

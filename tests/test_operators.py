@@ -110,8 +110,7 @@ def test_prefilter_stream_is_batch(spark, make, tmp_path):
     expected = C.prefilter_intervals(f.filter("can_id < 4"))
     batch = {(r.bus, r.seq): r.suspicious for r in D.prefilter(f, expected).collect()}
     f.withColumn("ts", F.timestamp_micros("ts_us")).withColumn("source_file", F.lit(None).cast("string")).write.parquet(str(tmp_path / "in"))
-    known = {(r.bus, r.can_id): r.expected for r in expected.collect()}
-    out = S.drain(S.prefilter(S.read_frames(spark, str(tmp_path / "in")), known), "p")
+    out = S.drain(S.prefilter(S.read_frames(spark, str(tmp_path / "in")), expected), "p")
     assert {(r.bus, r.seq): r.suspicious for r in out.collect()} == batch
 
 
@@ -160,7 +159,7 @@ def test_pcap(spark, tmp_path, order, magic, unit):
 
 
 def test_rules_yaml(spark, tmp_path):
-    io.save_rules([{"name": "a", "severity": "LOW", "can_id": 5, "priority": 7}, {"severity": "LOW"}, {"name": "b", "severity": "HIGH", "expected_dlc_by_id": {5: 8}}], str(tmp_path / "r.yaml"))
+    io.save_rules(spark, [{"name": "a", "severity": "LOW", "can_id": 5, "priority": 7}, {"severity": "LOW"}, {"name": "b", "severity": "HIGH", "expected_dlc_by_id": {5: 8}}], str(tmp_path / "r.yaml"))
     assert [(r.name, r.priority, r.expected_dlc_by_id) for r in io.load_rules(spark, str(tmp_path / "r.yaml")).orderBy("rule_no").collect()] == [("a", 7, None), ("b", 5, {5: 8})]
 
 

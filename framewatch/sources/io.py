@@ -174,14 +174,14 @@ def labelled(frames: DataFrame) -> DataFrame:
 
 
 def load_rules(spark: SparkSession, path: str) -> DataFrame:
-    """A rule table from YAML (``rules:`` a list), ids before global, then by priority, then as in the file.
+    """A rule table from YAML (``rules:`` a list, or nothing but the list), ids before global, then by priority, then as in the file.
 
     A fractional limit of frames is cut to an integer. A rule without a name or a severity,
     with an unknown field, or with a value that is not of its field's type is left out with a warning; the others stay.
     """
     loaded = yaml.safe_load(_text(spark, path)) or {}
     rules = []
-    for i, r in enumerate(loaded.get("rules") or []):
+    for i, r in enumerate((loaded if isinstance(loaded, list) else loaded.get("rules")) or []):
         try:
             if not (isinstance(r, dict) and r.get("name") and r.get("severity")):
                 raise ValueError("no name or no severity")

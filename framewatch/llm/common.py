@@ -28,24 +28,18 @@ def bucket_of(doc_id: Column | str, buckets: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; in local mode one of our own where it is unset. On a cluster it has to be set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         sc = spark.sparkContext
-        kept = sc._jsc.sc().getCheckpointDir()
-        found = kept.get() if kept.isDefined() else tempfile.mkdtemp(prefix="framewatch-")
+        given = sc._jsc.sc().getCheckpointDir()
+        if not given.isDefined() and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = given.get() if given.isDefined() else tempfile.mkdtemp(prefix="framewatch-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def kept(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read again."""
     spark = df.sparkSession

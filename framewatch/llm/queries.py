@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewatch.llm import chat, decontaminate, html, langid, lm, media, mixing, neardup, substring_dedup, toxicity
+from framewatch.llm import chat, decontaminate, html, langid, lm, media, merkle, mixing, neardup, substring_dedup, toxicity
 from framewatch.llm.common import bucket_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -161,3 +161,49 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = mixing.fit(mixing.labelled_domains(docs, table(spark, sf_dir, "labels")))
     return mixing.mix_to_targets(docs, model, mixing.even_languages(model.domains), ["doc_id"])
+
+
+MERKLE_SQL = r"""
+WITH RECURSIVE bits AS (SELECT doc_id, source, lang, n_chars, text, coalesce(CAST(doc_id AS VARCHAR), '') AS id FROM documents),
+crc AS (SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(id) + 1), lambda i: CAST(ascii(substr(id, i, 1)) AS BIGINT))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [CAST(0 AS BIGINT) FOR k IN range(8)]), lambda x, z: xor(x >> 1, (x & 1) * CAST(3988292384 AS BIGINT)))), CAST(4294967295 AS BIGINT)) AS c FROM bits),
+leaves AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, sha256(head || t) AS leaf, sha256(head || CASE WHEN c % 3 = 0 THEN translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE t END) AS other
+  FROM (SELECT *, coalesce(strlen(id) || ':' || CAST(doc_id AS VARCHAR), '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+      || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-') AS head, coalesce(strlen(text) || ':' || text, '-') AS t FROM crc)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM leaves),
+low(level, tree, place, h) AS (SELECT 0, tree, place, leaf FROM placed
+  UNION ALL (SELECT level + 1, tree, place // 8, sha256(string_agg(h, '' ORDER BY place)) FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM low) WHERE n > 1 GROUP BY level, tree, place // 8)),
+tops AS (SELECT tree, max(level) AS top FROM low GROUP BY tree),
+subs AS (SELECT low.tree, h, row_number() OVER (ORDER BY encode(low.tree)) - 1 AS place FROM low JOIN tops ON low.tree = tops.tree AND low.level = top),
+high(level, place, h) AS (SELECT 0, place, h FROM subs
+  UNION ALL (SELECT level + 1, place // 8, sha256(string_agg(h, '' ORDER BY place)) FROM (SELECT *, count(*) OVER () AS n FROM high) WHERE n > 1 GROUP BY level, place // 8)),
+root AS (SELECT h FROM high WHERE level = (SELECT max(level) FROM high)),
+runs AS (SELECT tree, level, place // 8 AS run, list(h ORDER BY place) AS hs FROM low GROUP BY ALL),
+crown AS (SELECT level, place // 8 AS run, list(h ORDER BY place) AS hs FROM high GROUP BY ALL),
+walk(doc_id, n, level, place, held, proof) AS (
+  SELECT doc_id, (tree, place), 0, place, other, '' FROM placed
+  UNION ALL SELECT w.doc_id, w.n, w.level + 1, w.place // 8, sha256(array_to_string(hs[:w.place % 8], '') || held || array_to_string(hs[w.place % 8 + 2:], '')),
+    proof || array_to_string(hs[:w.place % 8], '') || array_to_string(hs[w.place % 8 + 2:], '')
+  FROM walk w JOIN runs r ON r.tree = w.n[1] AND r.level = w.level AND r.run = w.place // 8 JOIN tops t ON t.tree = r.tree WHERE w.level < top),
+ended AS (SELECT w.doc_id, w.n, subs.place, subs.h AS subroot, held, proof FROM walk w JOIN tops ON tops.tree = w.n[1] AND w.level = top JOIN subs ON subs.tree = tops.tree),
+climb(doc_id, n, subroot, level, place, held, proof) AS (
+  SELECT doc_id, n, subroot, 0, place, held, proof FROM ended
+  UNION ALL SELECT c.doc_id, c.n, subroot, c.level + 1, c.place // 8, sha256(array_to_string(hs[:c.place % 8], '') || held || array_to_string(hs[c.place % 8 + 2:], '')),
+    proof || array_to_string(hs[:c.place % 8], '') || array_to_string(hs[c.place % 8 + 2:], '')
+  FROM climb c JOIN crown r ON r.level = c.level AND r.run = c.place // 8 WHERE c.level < (SELECT max(level) FROM high))
+SELECT p.doc_id, p.leaf, c.subroot, root.h AS root, sha256(c.proof) AS proof_sha256, c.held AS folded_root, c.held = root.h AS verified
+FROM climb c JOIN placed p ON c.n = (p.tree, p.place) CROSS JOIN root WHERE c.level = (SELECT max(level) FROM high)
+"""
+
+
+@query("op13_merkle_manifest", MERKLE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaf, the roots and the proof of every document, and the root that a leaf of a changed text leads to."""
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    other = F.when(bucket_of("doc_id", 3) == 0, merkle.leaf(*fields, merkle.lowered(F.col("text")))).otherwise(merkle.leaf(*fields, F.col("text")))
+    leaves = docs.select("doc_id", "lang", merkle.leaf(*fields, F.col("text")).alias("leaf"), other.alias("other"))
+    out = merkle.manifest(leaves, "lang", [F.col("doc_id")], "leaf")
+    folded = merkle.fold(F.col("other"), F.col("path"))
+    out = out.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))

@@ -48,6 +48,30 @@ def kept(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def added_up(parts: DataFrame, width: int = 32) -> np.ndarray | None:
+    """The sum of the float64 arrays in the binary column ``part``, one a row; None without rows.
+
+    Each round writes one row for every ``width`` of the last, until there is one: no
+    task adds more than ``width`` or holds more than two, and one reaches the driver.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for row in batch.column("part"):
+                a = np.frombuffer(row.as_buffer(), np.float64)
+                total = a.copy() if total is None else total + a
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"part": [total.tobytes()]})
+
+    held = kept(parts.select("part"), "parts")
+    rows = held.count()
+    while rows > 1:
+        held = kept(held.repartition(-(-rows // width)).mapInArrow(add, "part binary"), "parts")
+        rows = held.count()
+    return np.frombuffer(held.first().part, np.float64) if rows else None
+
+
 def widened(df: DataFrame, **columns: str) -> StructType:
     """The schema of ``df`` with more columns, name=type."""
     schema = StructType(list(df.schema.fields))

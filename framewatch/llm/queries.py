@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewatch.llm import chat, decontaminate, html, langid, lm, media, merkle, mixing, neardup, substring_dedup, toxicity
+from framewatch.llm import chat, decontaminate, html, langid, lm, media, merkle, mixing, neardup, substring_dedup, toxicity, whitening
 from framewatch.llm.common import bucket_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -207,3 +207,10 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     folded = merkle.fold(F.col("other"), F.col("path"))
     out = out.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), folded.alias("folded_root"))
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op11_embedding_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable embedding on the first four whitened components of the distinct ones."""
+    rows = table(spark, sf_dir, "embeddings").filter(whitening.usable("embedding")).select("vec_id", whitening.scaled("embedding").alias("x"))
+    return whitening.whiten(rows, whitening.fit(rows))

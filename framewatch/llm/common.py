@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType
 
 #: Bytes of text that a task turns into numpy arrays at a time.
 SLICE_BYTES = 2 << 20
@@ -76,7 +76,7 @@ def widened(df: DataFrame, **columns: str) -> StructType:
     """The schema of ``df`` with more columns, name=type."""
     schema = StructType(list(df.schema.fields))
     for name, kind in columns.items():
-        schema = schema.add(name, kind)
+        schema = schema.add(name, DataType.fromDDL(kind))
     return schema
 
 

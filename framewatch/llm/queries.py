@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewatch.llm import chat, decontaminate, html, langid, lm, media, merkle, mixing, neardup, substring_dedup, toxicity, whitening
+from framewatch.llm import chat, decontaminate, html, langid, lm, media, merkle, mixing, neardup, substring_dedup, suffix_dedup, toxicity, whitening
 from framewatch.llm.common import bucket_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -214,3 +214,25 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every usable embedding on the first four whitened components of the distinct ones."""
     rows = table(spark, sf_dir, "embeddings").filter(whitening.usable("embedding")).select("vec_id", whitening.scaled("embedding").alias("x"))
     return whitening.whiten(rows, whitening.fit(rows))
+
+
+SUFFIX_SQL = r"""
+WITH b AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+c AS (SELECT r, g, substr(x, 2 * g + 1, 2 * 1399) AS y FROM (SELECT r, x, unnest(range(0, greatest(length(x) // 2 - 399, 0), 1000)) AS g FROM b)),
+w AS (SELECT r, g + o AS i, md5(substr(y, 2 * o + 1, 800)) AS k FROM (SELECT r, g, y, unnest(range(0, least(1000, length(y) // 2 - 399))) AS o FROM c)),
+bad AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+runs AS (SELECT r, i, sum(CASE WHEN p IS NULL OR i > p + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS run FROM bad),
+spans AS (SELECT r, run, min(i) AS s, max(i) + 400 AS e FROM runs GROUP BY r, run),
+edges AS (SELECT r, s, e, lag(e, 1, 0) OVER (PARTITION BY r ORDER BY s) AS q, run = max(run) OVER (PARTITION BY r) AS last FROM spans),
+cut AS (SELECT r, count(*) AS n, sum(e - s) AS gone, string_agg(substr(x, 2 * q + 1, 2 * (s - q)) || CASE WHEN last THEN substr(x, 2 * e + 1) ELSE '' END, '' ORDER BY s) AS kept FROM edges JOIN b USING (r) GROUP BY r)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM b LEFT JOIN cut USING (r)
+"""
+
+
+@query("op12_suffix_dedup", SUFFIX_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every whole text, less those in 400-byte strings that start anywhere else too."""
+    out = suffix_dedup.cut(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -111,11 +111,12 @@ def check_frame_type(kind: Any) -> Column:
 # --- state --------------------------------------------------------------------
 
 
-def add_state(frames: DataFrame, sources: bool = True) -> DataFrame:
+def add_state(frames: DataFrame, sources: bool = True, memory_us: int | None = None) -> DataFrame:
     """Adds what the stateful checks read: times, run lengths, counters and repeats of the frame's id, and distinct sources so far.
 
     One shuffle by (bus, can_id) serves all windows; repeats of a payload are
-    clustered by it already and need another sort only.
+    clustered by it already and need another sort only. A payload that the id has not
+    sent for longer than ``memory_us`` is new again (None: it never is).
     """
     w = W.by_id()
     hexed = frames.withColumn("_payload", P.bytes_to_hex("data", ""))
@@ -131,6 +132,10 @@ def add_state(frames: DataFrame, sources: bool = True) -> DataFrame:
     out = W.run_length(F.col("_same"), w, ["bus", "can_id"], out, "_run_length").drop("_same")
     again = Window.partitionBy("bus", "can_id", "_payload").orderBy(*W.ORDER)
     out = out.withColumn("_gap_us", F.col("ts_us") - F.lag("ts_us").over(again)).withColumn("_repeats", F.row_number().over(again) - 1)
+    if memory_us is not None:
+        anew = F.col("_gap_us").isNull() | (F.col("_gap_us") > memory_us)
+        since = F.max(F.when(anew, F.col("_repeats"))).over(again.rowsBetween(Window.unboundedPreceding, 0))
+        out = out.withColumns({"_repeats": F.col("_repeats") - since, "_gap_us": F.when(~anew, F.col("_gap_us"))})
     if sources:
         out = out.withColumn("_source", diagnostic_source())
         earlier = F.row_number().over(Window.partitionBy("bus", "can_id", "_source").orderBy(*W.ORDER))
@@ -340,7 +345,7 @@ def _scope(rule: Row) -> Column | None:
     return ~F.col("can_id").isin(*rule.allowed_can_ids) if rule.whitelist_mode and rule.allowed_can_ids else None
 
 
-def evaluate(frames: DataFrame, rules: DataFrame) -> DataFrame:
+def evaluate(frames: DataFrame, rules: DataFrame, memory_us: int | None = None) -> DataFrame:
     """One row for each frame and rule that alerts: bus, seq, ts_us, can_id, dlc, data, rule_no, rule_name, severity, priority, description, action, confidence, is_global.
 
     State is computed once and read once. Rules for one id are joined by a broadcast
@@ -348,7 +353,7 @@ def evaluate(frames: DataFrame, rules: DataFrame) -> DataFrame:
     first of its joined rows), and only hits are exploded, so no rule multiplies the frames.
     """
     known = rules.orderBy("rule_no").collect()
-    state = add_state(frames, sources=any(r.check_source for r in known))
+    state = add_state(frames, any(r.check_source for r in known), memory_us)
     if any(r.check_timing for r in known):
         state = timing_history(state, max((r.consecutive_required or 5) + 2 for r in known if r.check_timing))
     else:

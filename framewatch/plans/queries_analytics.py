@@ -779,11 +779,36 @@ def _s9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The frames as a stream: written once as files in the frame schema, then read as they arrive."""
-    path = fresh(spark, "frames")
+    """The frames as a stream of three batches: written as files in the frame schema, a third of the time each, then read one by one."""
     f = frames(spark, sf_dir)
-    f.withColumn("ts", F.timestamp_micros("ts_us")).withColumn("source_file", F.lit(None).cast("string")).write.parquet(path)
-    return S.read_frames(spark, path)
+    first, last = f.agg(F.min("ts_us"), F.max("ts_us")).first()
+    third = F.least(F.lit(2), F.expr(f"(ts_us - {first or 0}) * 3 div {(last or 0) - (first or 0) + 1}"))
+    return S.read_frames(spark, in_batches(f, third, 3), per_batch=1)
+
+
+def in_batches(f: DataFrame, number: Column, count: int) -> str:
+    """The folder of ``f`` as stream frames, in ``count`` files written one after the other by batch number."""
+    path = fresh(f.sparkSession, "frames")
+    rows = kept(f.withColumn("ts", F.timestamp_micros("ts_us")).withColumn("source_file", F.lit(None).cast("string")).withColumn("_batch_no", number), "frames")
+    for k in range(count):
+        rows.filter(F.col("_batch_no") == k).drop("_batch_no").coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+LATE_BATCHES, LATE_SLAB = 8, "(ts_us - (SELECT min(ts_us) FROM frames)) * 8 // ((SELECT max(ts_us) - min(ts_us) FROM frames) + 1)"
+
+
+@query("T11_late_frames", f"""{FRAMES_SQL}, b AS (SELECT *, least(7, {LATE_SLAB} + CASE WHEN seq % 23 = 0 THEN 3 ELSE 0 END) AS k FROM frames),
+    m AS (SELECT k, max(max(ts_us) // 1000 - 5000) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) AS mark FROM b GROUP BY k)
+    SELECT bus, seq, (SELECT count(*) FROM b JOIN m USING (k) WHERE ts_us <= mark * 1000) AS late FROM b JOIN m USING (k) WHERE mark IS NULL OR ts_us > mark * 1000""")
+def _t11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames in eight batches, some of them three batches late: those that rules see, and how many were too late. Spark judges a batch by the watermark that held in the one before."""
+    f = frames(spark, sf_dir)
+    first, last = f.agg(F.min("ts_us"), F.max("ts_us")).first()
+    number = F.least(F.lit(LATE_BATCHES - 1), F.expr(f"(ts_us - {first or 0}) * {LATE_BATCHES} div {(last or 0) - (first or 0) + 1}") + F.when(F.col("seq") % 23 == 0, 3).otherwise(0))
+    rules = R.rules_frame(spark, [{"name": "again", "severity": "LOW", "check_replay": True}])
+    rows, late = S.count_late(S.enrich(S.read_frames(spark, in_batches(f, number, LATE_BATCHES), per_batch=1), rules))
+    return rows.select("bus", "seq", F.lit(late).cast("long").alias("late"))
 
 
 @query("T2_T3_detect_rules", f"{HITS_SQL} SELECT bus, seq, rule_name FROM flat WHERE rule_name <> 'flood'")
@@ -819,8 +844,11 @@ def _t7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("T8_dedup_alerts", ALERT_SQL.replace("WITH frames", "WITH RECURSIVE frames", 1) + DEDUP_SQL + " SELECT bus, seq, rule_name FROM dd WHERE keep")
 def _t8(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh(spark, "alerts")
-    demo_alerts(spark, sf_dir).withColumn("ts", F.timestamp_micros("ts_us")).write.parquet(path)
-    alerts = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).withWatermark("ts", S.LATENESS)
+    found = kept(demo_alerts(spark, sf_dir).withColumn("ts", F.timestamp_micros("ts_us")), "alerts")
+    middle = (found.agg(F.max("ts_us")).first()[0] or 0) // 2
+    for part in (F.col("ts_us") < middle, F.col("ts_us") >= middle):
+        found.filter(part).coalesce(1).write.mode("append").parquet(path)
+    alerts = spark.readStream.schema(found.schema).option("maxFilesPerTrigger", 1).parquet(path).withWatermark("ts", S.LATENESS)
     return S.drain(S.dedup_alerts(alerts), "dedup").select("bus", "seq", "rule_name")
 
 

@@ -1,19 +1,18 @@
 """The monitor as Structured Streaming: frames in, state per id, rules, windows, alerts out.
 
-Event time is ``ts``; frames older than the watermark are late. Windowed operators
-drop them by Spark's own rule; state operators see frames of a batch in order.
+Event time is ``ts``; frames older than the watermark are late: Spark drops them
+before windows and state, and ``LateFrames`` counts them. Of the others, those of an
+id that are in one batch are taken in order of time, those of later batches after them.
 """
 
 from __future__ import annotations
 
-import pickle
-from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
@@ -22,10 +21,9 @@ from framewatch.functions.frames import diagnostic_source
 from framewatch.operators import rules as R
 from framewatch.schema import FRAME_SCHEMA
 from framewatch.storage import fresh
+from framewatch.streaming.state import ENRICHED, IdState, use_state_store
 
 LATENESS = "5 seconds"
-#: What the state of an id keeps at least: intervals and payloads, and for how long a payload or a source.
-INTERVALS, MEMORY_US = 50, 60_000_000
 
 
 def read_frames(spark: SparkSession, path: str, format: str = "parquet", lateness: str = LATENESS, per_batch: int | None = None) -> DataFrame:
@@ -51,60 +49,26 @@ def with_watermark(frames: DataFrame, lateness: str = LATENESS) -> DataFrame:
     return (frames if "ts" in frames.columns else frames.withColumn("ts", F.timestamp_micros("ts_us"))).withWatermark("ts", lateness)
 
 
-_STATE_OUT = "bus string, seq long, ts_us long, can_id int, dlc int, data array<int>, is_extended boolean, is_remote boolean, is_error boolean, _n long, interval_ms double, _payload string, _nibble int, _counter_before int, _run_length long, _gap_us long, _repeats long, _source int, _sources long, _intervals array<double>, _payloads array<string>, _backs array<long>"
-
-
 def limits(rules: DataFrame) -> tuple[list[int], int]:
-    """The distinct frame limits of frequency rules, and the most intervals that a timing rule looks at."""
-    known = rules.select("max_frequency", "consecutive_required").collect()
-    return sorted({r.max_frequency for r in known if r.max_frequency}), max([INTERVALS, *((r.consecutive_required or 5) + 2 for r in known)])
+    """The distinct frame limits of frequency rules, and the most intervals that a timing rule looks at (0: there is none)."""
+    known = rules.select("max_frequency", "consecutive_required", "check_timing").collect()
+    return sorted({r.max_frequency for r in known if r.max_frequency}), max([0, *((r.consecutive_required or 5) + 2 for r in known if r.check_timing)])
 
 
-def enrich(frames: DataFrame, rules: DataFrame) -> DataFrame:
-    """The columns that the stateful checks of ``rules`` read (as ``rules.add_state`` has them in batch), from bounded state per bus and id.
+def enrich(frames: DataFrame, rules: DataFrame, memory_us: int | None = None) -> DataFrame:
+    """The columns that the stateful checks of ``rules`` read, as ``rules.add_state`` (with the same ``memory_us``) has them in batch.
 
-    State: the last time, payload and counter, as many intervals, payloads and frame
-    times as the rules look back, the run length, and payloads and sources of the
-    last minute. ``_backs``: for each distinct frame limit, the time of the frame so many back (this one counted).
+    State is kept for each bus and id by ``state.IdState``: it doesn't depend on how
+    frames fall into batches, nor on a restart from the checkpoint. Without
+    ``memory_us`` it grows with the distinct payloads of an id, as nothing is
+    forgotten; with it, payloads not seen for longer are new again, here and in batch.
+    ``_backs``: for each distinct frame limit, the time of the frame so many back (this one counted).
     """
-    counts, intervals = limits(rules)
-    most = max(counts, default=1)
-    rows = frames.select("bus", "seq", "ts_us", "can_id", "dlc", "data", "is_extended", "is_remote", "is_error", P.bytes_to_hex("data", "").alias("_payload"), F.try_element_at("data", F.lit(1)).bitwiseAND(F.lit(15)).alias("_nibble"), diagnostic_source().alias("_source"))
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = pickle.loads(state.get[0]) if state.exists else {"n": 0, "t": None, "p": None, "run": 0, "counter": 0, "i": [], "ps": [], "ts": deque(maxlen=most), "seen": {}, "sources": {}}
-        batch = pd.concat(list(parts), ignore_index=True).sort_values(["ts_us", "seq"], kind="stable")
-        out = []
-        for r in batch.to_dict("records"):
-            t, p = int(r["ts_us"]), r["_payload"]
-            s["n"] += 1
-            interval = None if s["t"] is None else (t - s["t"]) / 1000
-            s["run"] = s["run"] + 1 if p == s["p"] else 1
-            last, times = s["seen"].get(p, (None, -1))
-            s["seen"][p] = (t, times + 1)
-            if interval is not None:
-                s["i"] = (s["i"] + [interval])[-intervals:]
-            s["ps"] = (s["ps"] + [p])[-intervals:]
-            s["ts"].append(t)
-            source = None if pd.isna(r["_source"]) else int(r["_source"])
-            if source is not None:
-                s["sources"][source] = t
-            nibble = None if pd.isna(r["_nibble"]) else int(r["_nibble"])
-            out.append({**r, "_nibble": nibble, "_source": source, "_n": s["n"], "interval_ms": interval, "_counter_before": s["counter"], "_run_length": s["run"], "_gap_us": None if last is None else t - last, "_repeats": times + 1, "_sources": len(s["sources"]), "_intervals": list(s["i"]), "_payloads": list(s["ps"]), "_backs": [s["ts"][-n] if len(s["ts"]) >= n else None for n in counts]})
-            s["t"], s["p"] = t, p
-            if nibble is not None:
-                s["counter"] = nibble
-        now = s["t"] or 0
-        s["seen"] = {k: v for k, v in s["seen"].items() if v[0] >= now - MEMORY_US}
-        s["sources"] = {k: v for k, v in s["sources"].items() if v >= now - MEMORY_US}
-        state.update((pickle.dumps(s),))
-        names = [c.split()[0] for c in _STATE_OUT.split(", ")]
-        frame = pd.DataFrame(out, columns=names)
-        for c in ("_nibble", "_source", "_gap_us"):
-            frame[c] = frame[c].astype("Int64")
-        yield frame
-
-    return rows.groupBy("bus", "can_id").applyInPandasWithState(run, _STATE_OUT, "blob binary", "append", GroupStateTimeout.NoTimeout)
+    counts, history = limits(rules)
+    replay = not rules.filter("check_replay").isEmpty()
+    use_state_store(frames.sparkSession)
+    rows = frames.select("ts", "bus", "seq", "ts_us", "can_id", "dlc", "data", "is_extended", "is_remote", "is_error", P.bytes_to_hex("data", "").alias("payload"), F.try_element_at("data", F.lit(1)).bitwiseAND(F.lit(15)).alias("nibble"), diagnostic_source().alias("source"))
+    return rows.groupBy("bus", "can_id").transformWithStateInPandas(IdState(counts, history, replay, memory_us), ENRICHED, "append", "eventTime")
 
 
 def detect_rules(enriched: DataFrame, rules: DataFrame) -> DataFrame:
@@ -198,9 +162,40 @@ def write_alerts(alerts: DataFrame, path: str, checkpoint: str, once: bool = Fal
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def count_late(query: StreamingQuery) -> int:
-    """Rows that the stream's operators dropped for being later than the watermark."""
-    return sum(int(o.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for o in p["stateOperators"])
+class LateFrames(StreamingQueryListener):
+    """Counts the rows that each query's operators dropped for being later than the watermark, over all batches.
+
+    Rows are frames where nothing is aggregated before state (``enrich``, ``prefilter``,
+    ``dedup_alerts``); before windows Spark has summed the frames of a task, and counts these sums.
+    """
+
+    def __init__(self):
+        self.dropped: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.dropped[str(event.id)] = 0
+
+    def onQueryProgress(self, event) -> None:
+        name = str(event.progress.id)
+        self.dropped[name] = self.dropped.get(name, 0) + sum(o.numRowsDroppedByWatermark for o in event.progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def count_late(stream: DataFrame, name: str = "late") -> tuple[DataFrame, int]:
+    """Runs a stream as ``drain`` does; its rows, and how many input rows were late."""
+    spark, listener = stream.sparkSession, LateFrames()
+    spark.streams.addListener(listener)
+    try:
+        rows = drain(stream, name)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return rows, sum(listener.dropped.values())
+    finally:
+        spark.streams.removeListener(listener)
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:

@@ -114,22 +114,6 @@ def test_prefilter_stream_is_batch(spark, make, tmp_path):
     assert {(r.bus, r.seq): r.suspicious for r in out.collect()} == batch
 
 
-def test_late_frames_are_dropped_and_counted(spark, make, tmp_path):
-    def put(rows, name):
-        make(rows).withColumn("ts", F.timestamp_micros("ts_us")).withColumn("source_file", F.lit(None).cast("string")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-
-    put([{"t": 100.0}, {"t": 101.0}], "a")
-    stream = S.traffic_monitor(S.read_frames(spark, str(tmp_path / "in"), per_batch=1))
-    out = stream.writeStream.format("memory").queryName("late").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).start()
-    out.processAllAvailable()
-    put([{"t": 200.0}], "b")
-    out.processAllAvailable()
-    put([{"t": 1.0}], "c")
-    out.processAllAvailable()
-    assert S.count_late(out) == 1
-    out.stop()
-
-
 def test_csv(spark, tmp_path):
     (tmp_path / "DoS-1.csv").write_text("timestamp,arbitration_id,data_field,attack\n1672531200.000001,0C1,3000000430000004,0\nx,0C1,00,0\n1.5,zz,00,0\n2.5,1F4,0g,1\n3.5,18FF1234,ABC,1\n")
     rows = io.read_can_csv(spark, str(tmp_path)).orderBy("ts_us").collect()

@@ -28,8 +28,6 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 LONG = 32
 #: Sums are multiplied by this for each byte, and taken apart into a factor every so many bytes, to stay within a float.
 BOOST, RESCALE = 8.0, 128
-#: Parts of words of more bytes are left out when probabilities are fitted (not when texts are scored).
-FIT_BYTES = 512
 #: Sums (for one language) that a task holds at a time.
 CELLS = 1 << 19
 #: Rows of each language in the sample that the piece probabilities are fitted to (in expectation).
@@ -140,24 +138,27 @@ class Lattice:
             yield slice(low, low + count)
             low += count
 
-    def forward(self, group: slice, p: np.ndarray, rescale: int = RESCALE) -> tuple[np.ndarray, np.ndarray]:
-        """Sums over segmentations up to each place: part x place x language, and the logarithm of what was taken out of those of each part. ``p``: boosted, piece x language."""
+    def forward(self, group: slice, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums over segmentations up to each place: part x place x language; and, after each number of rescalings, the logarithm of what was taken out of those of each part. ``p``: boosted, piece x language.
+
+        The rescaling at place e takes the same factor out of all places from e - reach on, reach being the longest piece; earlier ones are not used again.
+        """
         at, length = self.at[group], self.length[group]
         longest = int(length[0])
         active = np.searchsorted(-length, -np.arange(longest + 1), side="right")
         reach = max(self.ids)
-        out, taken = np.zeros((len(at), longest + 1, p.shape[1])), np.zeros((len(at), p.shape[1]))
+        out, taken = np.zeros((len(at), longest + 1, p.shape[1])), np.zeros((longest // RESCALE + 1, len(at), p.shape[1]))
         out[:, 0] = 1
         for e in range(1, longest + 1):
             k = active[e]
             for n, ids in self.ids.items():
                 if n <= e:
                     out[:k, e] += out[:k, e - n] * p[ids[at[:k] + e - n]]
-            if e % rescale == 0:
+            if e % RESCALE == 0:
                 low = max(0, e - reach)
                 top = out[:k, low : e + 1].max(axis=1)
                 out[:k, low : e + 1] /= top[:, None]
-                taken[:k] += np.log(top)
+                taken[e // RESCALE :, :k] += np.log(top)
         return out, taken
 
     def totals(self, p: np.ndarray) -> np.ndarray:
@@ -167,28 +168,30 @@ class Lattice:
         for group in self.groups():
             sums, taken = self.forward(group, p)
             length = self.length[group]
-            np.add.at(out, self.word[group], np.log(np.maximum(sums[np.arange(len(length)), length], 1e-300)) + taken - length[:, None] * np.log(BOOST))
+            np.add.at(out, self.word[group], np.log(np.maximum(sums[np.arange(len(length)), length], 1e-300)) + taken[-1] - length[:, None] * np.log(BOOST))
         return out
 
     def expected(self, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Expected count of every piece under one language (``p``: piece x 1), words weighted."""
+        """Expected count of every piece under one language (``p``: piece x 1), words weighted. Sums from the end are kept in the scale of those from the start, so that parts may be of any length."""
         p = self.vocabulary.boosted(p)
         out = np.zeros(len(p))
+        reach = max(self.ids, default=0)
         for group in self.groups():
             at, length = self.at[group], self.length[group]
-            if length[0] > FIT_BYTES:
-                continue
-            a = self.forward(group, p, FIT_BYTES + 1)[0][:, :, 0]
+            a, taken = (x[:, :, 0] for x in self.forward(group, p))
             k = np.arange(len(length))
             b = np.zeros_like(a)
             b[k, length] = weight[self.word[group]] / np.maximum(a[k, length], 1e-300)
             active = np.searchsorted(-length, -np.arange(length[0] + 1), side="right")
+            scale = lambda e: min((e + reach) // RESCALE, len(taken) - 1)
             for e in range(int(length[0]), 0, -1):
                 live = active[e]
                 for n, piece in self.ids.items():
                     if n <= e:
                         ids = piece[at[:live] + e - n]
                         step = p[ids, 0] * b[:live, e]
+                        if scale(e) != scale(e - n):
+                            step = step * np.exp(taken[scale(e - n), :live] - taken[scale(e), :live])
                         b[:live, e - n] += step
                         out += np.bincount(ids, a[:live, e - n] * step, len(p))
         return out

@@ -19,7 +19,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,15 +37,15 @@ GRAM = 3
 BITS, RECALL = 2, 0.999
 #: Places are sampled below this share of an item's words; a walk takes a word in two places on average.
 REACH = 1.6
-#: Windows whose embeddings a task holds at a time.
-CHUNK = 512
+#: Walks (repetitions of windows) that a task holds at a time, some 50 bytes each.
+WALKS = 1 << 17
 #: Characters of benchmark text that are sent to the tasks at a time; a task holds some 40 bytes for each.
 BROADCAST_CHARS = 4 << 20
 _BITMAP = 1 << 22
 
 
 def agreement(edits: int) -> float:
-    """The chance that one repetition agrees for texts ``edits`` edits apart: a line under what nine in ten such pairs showed (tests/llm holds it against random edits)."""
+    """The chance that one repetition agrees for texts ``edits`` edits apart, a power law fitted to random edits; tests/llm holds that pairs agree as often, to four fifths of it."""
     return 1.0 if edits == 0 else 0.34 * edits**-0.46
 
 
@@ -60,31 +59,22 @@ def sampled(size: int, repetition: int, bits: int = BITS) -> np.ndarray:
     return np.sort(np.random.default_rng([size, repetition]).choice(reach, min(bits, reach), replace=False))
 
 
-@lru_cache(1 << 14)
-def _multipliers(place: int) -> np.ndarray:
-    """For each repetition, the odd number that decides at this place whether the walk goes on."""
-    return np.random.default_rng([77, place]).integers(1 << 63, size=1 << 11, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def walked_keys(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """repetition x start: a hash of the repetition and of the symbols that the CGK walk of symbols[start:end] (0 past the end) has at its sampled ``places`` (repetition x place, ascending).
 
-
-def embedded(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, repetitions: int, places: int) -> np.ndarray:
-    """CGK embeddings, repetition x start x place, of symbols[start:end] (0 past the end)."""
-    out = np.zeros((repetitions, len(starts), places), np.uint64)
-    at = np.tile(starts, (repetitions, 1))
-    for place in range(places):
-        key = _multipliers(place)[:repetitions, None]
+    The walk of a repetition goes on at a place if an odd number of its own, times the
+    symbol there, has its top bit set. Only the walks' positions and hashes are held.
+    """
+    r = np.arange(len(places), dtype=np.uint64)
+    at = np.tile(starts, (len(places), 1))
+    key = np.tile(r[:, None], (1, len(starts)))
+    for place in range(int(places.max(initial=-1)) + 1):
         inside = at < ends
         s = np.where(inside, symbols[np.minimum(at, len(symbols) - 1)], np.uint64(0))
-        out[:, :, place] = s
-        at += ((s * key) >> np.uint64(63)).astype(np.int64)
-    return out
-
-
-def sampled_keys(walks: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """repetition x start: a hash of the repetition and the symbols at its sampled places."""
-    r = np.arange(len(places))
-    key = np.broadcast_to(r[:, None].astype(np.uint64), (len(places), walks.shape[1]))
-    for column in places.T:
-        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + walks[r, :, column])
+        asked = (places == place).any(axis=1)
+        key[asked] = mix(key[asked] * np.uint64(0x9E3779B97F4A7C15) + s[asked])
+        odd = mix(r + np.uint64(place << 32)) | np.uint64(1)
+        at += ((s * odd[:, None]) >> np.uint64(63)).astype(np.int64)
     return key
 
 
@@ -131,7 +121,7 @@ class Items:
             values.setdefault(gram, []).append((own, np.full(len(own), len(lengths))))
             reps = repetitions(k, recall)
             places = np.stack([sampled(n, r, bits) for r in range(reps)])
-            keys = sampled_keys(embedded(w.hashes, offsets[which], offsets[which + 1], reps, int(places.max()) + 1), places)
+            keys = walked_keys(w.hashes, offsets[which], offsets[which + 1], places)
             order = np.argsort(keys.ravel(), kind="stable")
             keys = keys.ravel()[order]
             lengths.append(Length(n, k, gram, max(1, n - gram + 1 - k * gram), places, keys, np.tile(which, reps)[order], _bitmap(keys)))
@@ -197,10 +187,10 @@ def candidates(items: Items, symbols: np.ndarray, row: np.ndarray, offsets: np.n
             able[i] = windows(items.lengths[i], place[order[edges[i] : edges[i + 1]]], row, offsets[:-1])
     found = [np.zeros((2, 0), np.int64)]
     for length, starts in zip(items.lengths, able):
-        for low in range(0, len(starts), CHUNK):
-            chunk = starts[low : low + CHUNK]
-            walks = embedded(symbols, chunk, offsets[1:][row[chunk]], len(length.places), int(length.places.max()) + 1)
-            keys = sampled_keys(walks, length.places).ravel()
+        step = max(1, WALKS // len(length.places))
+        for low in range(0, len(starts), step):
+            chunk = starts[low : low + step]
+            keys = walked_keys(symbols, chunk, offsets[1:][row[chunk]], length.places).ravel()
             at = _known(keys, length.keys, length.bitmap)
             first, last = (np.searchsorted(length.keys, keys[at], side) for side in ("left", "right"))
             count = last - first

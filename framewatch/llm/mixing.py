@@ -30,8 +30,8 @@ SAMPLE = 3000
 #: Hashed features: words and word endings share these buckets.
 BUCKETS = 1 << 14
 EPOCHS, RATE, RIDGE = 60, 0.3, 1e-3
-#: Gradient steps at most, the distance from a target (as a share of it) that is near enough, and steps after which the rates are written.
-STEPS, TOLERANCE, WRITTEN = 200, 1e-3, 8
+#: Gradient steps at most, the distance from a target (as a share of it) that is near enough.
+STEPS, TOLERANCE = 200, 1e-3
 
 
 @dataclass
@@ -180,6 +180,8 @@ def solve(table: DataFrame, targets: np.ndarray, steps: int = STEPS, tolerance:
     Least squares of (total - target) / sqrt(mass of the domain) in the metric of
     tokens; posteriors sum to 1, so a step of 1 never overshoots. Targets that no
     nonnegative rates meet are met as nearly as ``steps`` steps come, with a warning.
+    Each pass takes all steps anew from the posteriors, reads no other column and
+    writes nothing; rows are gone through once more in the end.
     """
     d = len(targets)
 
@@ -203,8 +205,6 @@ def solve(table: DataFrame, targets: np.ndarray, steps: int = STEPS, tolerance:
         if near():
             break
         taken.append((now - targets) / np.maximum(mass, 1e-9))
-        if len(taken) == WRITTEN:
-            table, taken = kept(table.mapInArrow(_moved(taken, d), table.schema), "rates"), []
         now = totals(table, taken)
     if not near():
         warnings.warn(f"expected tokens {now.tolist()} stay off the targets {targets.tolist()} after {steps} steps", stacklevel=2)

@@ -309,6 +309,46 @@ def test_expected_counts_are_those_of_all_segmentations():
     assert {i: got[i] for i in np.flatnonzero(got > 1e-9)} == pytest.approx({i: n for i, n in want.items() if n > 1e-9})
 
 
+def test_expected_counts_with_words_of_any_length():
+    """Against sums in logarithms, for words of 3 to 900 bytes in one group; a long word takes nothing from others."""
+    v = langid.Vocabulary(langid.VOCABULARY)
+    ids = {p: i for i, p in enumerate(langid.pieces(langid.VOCABULARY))}
+    column = texts(pa.array(["=" * 700 + " the zebra " + "ab" * 450 + " " + "z" * 129]))
+    w = words(column, lower=True)
+    p = np.append(np.random.default_rng(4).random(v.size), 0.0)[:, None] * 1e-3
+    weight = np.array([1.0, 2.0, 3.0, 1.0, 2.0])
+    got = langid.Lattice(v, w.data, w.starts, w.ends).expected(p, weight)
+    longest, want = max(map(len, ids)), Counter()
+    add = lambda xs: max(xs) + math.log(sum(math.exp(x - max(xs)) for x in xs)) if xs else -math.inf
+    for s, e, times in zip(w.starts, w.ends, weight):
+        raw = b" " + bytes(w.data[s:e])
+        size = len(raw)
+        edges = [(i, i + n, ids[raw[i : i + n]]) for i in range(size) for n in range(1, min(longest, size - i) + 1) if raw[i : i + n] in ids]
+        into, out = {}, {}
+        for i, j, k in edges:
+            into.setdefault(j, []).append((i, k))
+            out.setdefault(i, []).append((j, k))
+        a, b = [0.0] + [0.0] * size, [0.0] * size + [0.0]
+        for j in range(1, size + 1):
+            a[j] = add([a[i] + math.log(p[k, 0]) for i, k in into.get(j, [])])
+        for i in range(size - 1, -1, -1):
+            b[i] = add([b[j] + math.log(p[k, 0]) for j, k in out.get(i, [])])
+        for i, j, k in edges:
+            want[k] += times * math.exp(a[i] + math.log(p[k, 0]) + b[j] - a[size])
+    some = {k: n for k, n in want.items() if n > 1e-6}
+    assert {k: got[k] for k in some} == pytest.approx(some, rel=1e-6)
+    assert got.sum() == pytest.approx(sum(want.values()), rel=1e-6)
+
+
+def test_a_ruled_line_does_not_hide_a_language():
+    """Piece probabilities of texts with one long ruled line stay near those without."""
+    v = langid.Vocabulary(langid.VOCABULARY)
+    plain = ["the river and the harbour were quiet that morning"] * 40
+    p, q = langid.fit_pieces(texts(pa.array(plain)), v), langid.fit_pieces(texts(pa.array([*plain, "=" * 700])), v)
+    common = np.argsort(-p)[:9]
+    assert p[common].min() > 100 / v.size and np.abs(q[common] / p[common] - 1).max() < 0.2
+
+
 def test_language_id_held_out(spark):
     got = queries.QUERIES["op1_language_id"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     assert sum(r.lang_pred == r.lang for r in got) >= 0.95 * len(got)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewatch.functions import payload as P
+from framewatch.operators import select
 from framewatch.operators import windows as W
 
 KEYS = ("bus", "can_id")
@@ -134,10 +135,9 @@ def hamming_p99(frames: DataFrame, keys: tuple[str, ...] = KEYS, approx: bool =
 
 def prefilter_intervals(frames: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Upper median of the id's intervals (s)."""
-    later = _later(frames, keys)
-    w = Window.partitionBy(*keys)
-    ranked = later.withColumn("_r", F.row_number().over(w.orderBy("iat", "ts_us", "seq"))).withColumn("_n", F.count("*").over(w))
-    return ranked.filter(F.expr("_r = _n div 2 + 1")).select(*keys, F.col("iat").alias("expected"))
+    later = _later(frames, keys).select(*keys, F.round(F.col("iat") * 1_000_000).cast("long").alias("_us"))
+    need = later.groupBy(*keys).agg(F.expr("count(*) div 2 + 1").alias("n"))
+    return select.nth(later, list(keys), need, [F.col("_us")]).select(*keys, (F.col("_us") / 1_000_000).alias("expected"))
 
 
 def vehicle(frames: DataFrame) -> dict[str, DataFrame]:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewatch.operators import select
+from framewatch.storage import kept
+
 
 #: Weights of model, DoS, spoofing and fuzzing votes by class of attack, and the weights without a class.
 BASE_WEIGHTS = (0.4, 0.2, 0.2, 0.2)
@@ -125,7 +128,7 @@ def multistage(df: DataFrame, stage1: str = "stage1", score: str = "stage1_score
     under 0.8, go on. In stage 2 any rule decides, with the mean of 0.9 and 0.1 for
     the rules' votes; hits and what is under 0.95 go on, but at most ``load`` of
     stage 2's rows, the most confident (then the first). Stage 3's probability
-    overrides. The cut is found by a top-k, not by a window over all rows.
+    overrides. The cut is found by counts (``select``); no task holds what passes it.
     """
     rules = rules or ["rule_a", "rule_b"]
     c1 = 1 / (1 + F.exp(5 * F.col(score)))
@@ -134,12 +137,14 @@ def multistage(df: DataFrame, stage1: str = "stage1", score: str = "stage1_score
     any_rule = F.greatest(*rules, F.lit(0))
     rows = rows.withColumn("_l2", F.when(F.col("_to2"), any_rule)).withColumn("_c2", F.when(F.col("_to2"), F.round(F.greatest("_c1", mean), 9)))
     rows = rows.withColumn("_to3", F.col("_to2") & ((F.col("_l2") == 1) | (F.col("_c2") < 0.95)))
+    rows = kept(rows, "stages")  # read once for the sizes, for each pass of counts, and for the result
     sizes = rows.agg(F.sum(F.col("_to2").cast("long")).alias("two"), F.sum(F.col("_to3").cast("long")).alias("three")).first()
     two, three = sizes.two or 0, sizes.three or 0
     if three > load * two:
-        n = int(load * two)
-        top = rows.filter("_to3").select("bus", "seq", "_c2").orderBy(F.desc("_c2"), "seq", "bus").limit(n)
-        rows = rows.join(top.select("bus", "seq", F.lit(True).alias("_kept")), ["bus", "seq"], "left").withColumn("_to3", F.coalesce("_kept", F.lit(False))).drop("_kept")
+        rows = rows.withColumns({"_all": F.lit(0), "_less": -F.round(F.col("_c2") * 1_000_000_000).cast("long"), "_bus": F.xxhash64("bus")})
+        need = rows.sparkSession.createDataFrame([(0, int(load * two))], "_all int, n long")
+        asked = select.mark_first(rows.filter("_to3"), ["_all"], need, [F.col("_less"), F.coalesce("seq", F.lit(-1)), F.col("_bus")], "_to3_")
+        rows = asked.withColumn("_to3", F.col("_to3_")).drop("_to3_").unionByName(rows.filter(~F.coalesce("_to3", F.lit(False)))).drop("_all", "_less", "_bus")
     p = F.col(probability)
     return rows.select(
         *df.columns, F.when(F.col("_to3"), 3).when(F.col("_to2"), 2).otherwise(1).alias("stage"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewatch.operators import select
 from framewatch.operators import windows as W
 from framewatch.storage import kept
 
@@ -61,9 +62,12 @@ def roc(df: DataFrame, label: str = "attack", score: str = "score") -> DataFrame
 
 def detection_gaps(df: DataFrame, pred: str = "pred") -> DataFrame:
     """Per bus: mean, median, min, max and population sd (s) of the gaps between detections."""
-    w = Window.partitionBy("bus").orderBy("ts_us", "seq")
-    gaps = df.filter(F.col(pred) == 1).withColumn("gap", (F.col("ts_us") - F.lag("ts_us").over(w)) / 1_000_000).filter("gap is not null")
-    return gaps.groupBy("bus").agg(F.avg("gap").alias("mean"), F.percentile("gap", F.lit(0.5)).alias("median"), F.min("gap").alias("min"), F.max("gap").alias("max"), F.stddev_pop("gap").alias("std"), F.count("*").alias("gaps"))
+    found, w = W.bus_blocks(df.filter(F.col(pred) == 1).select("bus", "ts_us", "seq"), 1)
+    gaps = kept(found.withColumn("_us", F.col("ts_us") - F.lag("ts_us").over(w)).filter("_native = 1 and _us is not null").select("bus", "_us"), "gaps")
+    s = F.col("_us") / 1_000_000
+    rest = gaps.groupBy("bus").agg(F.avg(s).alias("mean"), F.min(s).alias("min"), F.max(s).alias("max"), F.stddev_pop(s).alias("std"), F.count("*").alias("gaps"))
+    middle = select.median(gaps, ["bus"], "_us").withColumn("median", F.col("median") / 1_000_000)
+    return W.null_safe(rest, middle, ["bus"]).select("bus", "mean", "median", "min", "max", "std", "gaps")
 
 
 def rate_over_time(df: DataFrame, width_s: float = 60.0, pred: str = "pred") -> DataFrame:

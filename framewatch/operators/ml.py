@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from framewatch.operators import select
+from framewatch.storage import kept
+
 
 @dataclass
 class Scaler:
@@ -239,15 +242,27 @@ def importances(model: DecisionTreeClassificationModel, columns: list[str], leas
     return sorted(((c, float(v)) for c, v in zip(columns, model.featureImportances.toArray()) if v > least), key=lambda x: -x[1])
 
 
+def seeded_hash(*columns: str, seed: int) -> Column:
+    """Sixty bits of the MD5 of some columns and a seed, as SQL has it too."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns), F.lit(str(seed))).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def balanced_sample(df: DataFrame, caps: dict[int, int], label: str = "attack", by: str = "source_file", seed: int = 42, train: float = 0.8) -> DataFrame:
-    """At most ``caps[label]`` rows per class and file, in the order of a seeded hash, with ``split``: train for the first share of each class, else test."""
-    h = F.xxhash64("bus", "seq", F.lit(seed))
+    """At most ``caps[label]`` rows per class and file, those of the least seeded hash, with ``split``: test for 1 - ``train`` of each class (rounded up, of the rows left), else train.
+
+    Both cuts are found by counts (``select``), so that neither a class nor a file is
+    sorted or windowed. Rows of one bus and seq that are repeated stand in any order.
+    """
+    rows = df.withColumns({"_h": seeded_hash("bus", "seq", seed=seed), "_s": F.coalesce("seq", F.lit(-1))})
     cap = F.lit(0)
     for value, n in caps.items():
         cap = F.when(F.col(label) == value, n).otherwise(cap)
-    rows = df.withColumn("_h", h).withColumn("_r", F.row_number().over(Window.partitionBy(label, by).orderBy("_h", "seq"))).filter(F.col("_r") <= cap)
-    # Stratified split of what is left: by the share of the hash's range, no second window over a class.
-    return rows.withColumn("split", F.when(F.pmod(F.xxhash64("_h", F.lit(seed)), F.lit(1000)) < int(train * 1000), "train").otherwise("test")).drop("_h", "_r")
+    need = rows.select(label, by).distinct().withColumn("n", cap)
+    chosen = select.mark_first(rows, [label, by], need, [F.col("_h"), F.col("_s")], "_kept").filter("_kept").drop("_kept")
+    chosen = kept(chosen.withColumn("_h", seeded_hash("bus", "seq", seed=seed + 1)), "sample")
+    tests = chosen.groupBy(label).agg(F.count("*").alias("n")).withColumn("n", F.expr(f"(n * {1000 - round(train * 1000)} + 999) div 1000"))
+    split = select.mark_first(chosen, [label], tests, [F.col("_h"), F.col("_s")], "_test")
+    return split.withColumn("split", F.when(F.col("_test"), "test").otherwise("train")).drop("_h", "_s", "_test")
 
 
 def dual_models(df: DataFrame, timing: list[str], payload: list[str], label: str = "attack") -> tuple[DecisionTreeClassificationModel, DecisionTreeClassificationModel]:

@@ -18,8 +18,10 @@ from pyspark.sql import types as T
 
 from framewatch.functions import payload as P
 from framewatch.functions.frames import diagnostic_source, is_diagnostic
+from framewatch.operators import hot
 from framewatch.operators import windows as W
 from framewatch.schema import RULE_FIELDS, RULE_SCHEMA
+from framewatch.storage import kept
 
 
 def _v(x: Any) -> Column:
@@ -144,6 +146,28 @@ def add_state(frames: DataFrame, sources: bool = True, memory_us: int | None = N
     return out
 
 
+def state_by_id(frames: DataFrame, sources: bool = True, memory_us: int | None = None, history: int = 0, backs: list[int] | None = None, hot_rows: int = hot.HOT_ROWS) -> DataFrame:
+    """``add_state``, ``timing_history`` of ``history`` rows (if any) and ``_back_n``, the time n - 1 frames before, for each n of ``backs``.
+
+    Ids are counted first; those with more than ``hot_rows`` frames are taken in segments
+    (``hot.segmented_state``), the others by plain windows, with the same results.
+    """
+    backs = backs or []
+
+    def plain(rows: DataFrame) -> DataFrame:
+        out = add_state(rows, sources, memory_us)
+        if history:
+            out = timing_history(out, history)
+        return out.withColumns({f"_back_{n}": F.lag("ts_us", n - 1).over(W.by_id()) for n in backs}) if backs else out
+
+    found = kept(hot.hot_ids(frames, hot_rows), "hot")
+    if found.isEmpty():
+        return plain(frames)
+    marked = W.null_safe(frames, found.withColumn("_hot", F.lit(1)), ["bus", "can_id"], "left")
+    busy, rest = (marked.filter(c).drop("_hot") for c in ("_hot = 1", "_hot is null"))
+    return plain(rest).unionByName(hot.segmented_state(busy, sources, memory_us, history, backs))
+
+
 def check_frequency(max_frequency: int, window_s: float) -> Column:
     """``max_frequency`` frames of the id within ``window_s``; over frames, not on joined rules."""
     return _true(F.col("ts_us") - F.lag("ts_us", max_frequency - 1).over(W.by_id()) <= window_s * 1_000_000)
@@ -353,13 +377,10 @@ def evaluate(frames: DataFrame, rules: DataFrame, memory_us: int | None = None)
     first of its joined rows), and only hits are exploded, so no rule multiplies the frames.
     """
     known = rules.orderBy("rule_no").collect()
-    state = add_state(frames, any(r.check_source for r in known), memory_us)
-    if any(r.check_timing for r in known):
-        state = timing_history(state, max((r.consecutive_required or 5) + 2 for r in known if r.check_timing))
-    else:
+    history = max((0, *((r.consecutive_required or 5) + 2 for r in known if r.check_timing)))
+    state = state_by_id(frames, any(r.check_source for r in known), memory_us, history, sorted({r.max_frequency for r in known if r.max_frequency}))
+    if not history:
         state = state.withColumn("_intervals", F.array().cast("array<double>")).withColumn("_payloads", F.array().cast("array<string>"))
-    for n in sorted({r.max_frequency for r in known if r.max_frequency}):
-        state = state.withColumn(f"_back_{n}", F.lag("ts_us", n - 1).over(W.by_id()))
     rate_of: dict[int, str] = {}
     for r in known:
         if r.global_message_rate:

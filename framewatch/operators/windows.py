@@ -52,6 +52,18 @@ def running_sum(df: DataFrame, value: Column, out: str, keys: tuple[str, ...] =
     return null_safe(rows, offsets, [*keys, "_slab"]).withColumn(out, F.col(out) + F.col("_before")).drop("_slab", "_v", "_before")
 
 
+def running_max(df: DataFrame, values: dict[str, Column], keys: tuple[str, ...], upto: int = 0, slab_us: int = SLAB_US) -> DataFrame:
+    """Adds for each of ``values`` its greatest so far (``upto`` -1: before the row) over ``keys`` in order, by slabs as ``running_sum`` has them. Nulls don't count; of structs that begin with a row number the greatest is the last."""
+    rows = df.withColumn("_slab", slab(slab_us)).withColumns({f"_v_{out}": v for out, v in values.items()})
+    inner = Window.partitionBy(*keys, "_slab").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, upto)
+    rows = rows.withColumns({out: F.max(f"_v_{out}").over(inner) for out in values})
+    tops = rows.groupBy(*keys, "_slab").agg(*(F.max(f"_v_{out}").alias(f"_t_{out}") for out in values))
+    before = Window.partitionBy(*keys).orderBy("_slab").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = tops.select(*keys, "_slab", *(F.max(f"_t_{out}").over(before).alias(f"_e_{out}") for out in values))
+    rows = null_safe(rows, earlier, [*keys, "_slab"])
+    return rows.withColumns({out: F.greatest(out, f"_e_{out}") for out in values}).drop("_slab", *(f"{x}{out}" for out in values for x in ("_v_", "_e_")))
+
+
 def first_seen(df: DataFrame, keys: tuple[str, ...], within: tuple[str, ...] = ("bus",)) -> DataFrame:
     """Adds ``_first``: 1 on the first frame of each value of ``keys`` within ``within``. A join with one row a value, no window over the bus."""
     place = F.struct(*ORDER)

@@ -473,7 +473,12 @@ def _m7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.decision_tree_score(t, model, columns).select("bus", "seq", "attack", r6(F.col("probability"), "probability"), "label")
 
 
-@query("M8_balanced_sample")
+HASH = "('0x' || substr(md5(concat_ws('|', coalesce(bus, ''), seq, {seed})), 1, 15))::BIGINT"
+
+
+@query("M8_balanced_sample", f"""{FRAMES_SQL}, h AS (SELECT bus, seq, attack, row_number() OVER (PARTITION BY attack, bus ORDER BY {HASH.format(seed=42)}, seq) AS r, {HASH.format(seed=43)} AS h2 FROM frames),
+    s AS (SELECT bus, seq, attack, row_number() OVER (PARTITION BY attack ORDER BY h2, seq) AS r, count(*) OVER (PARTITION BY attack) AS n FROM h WHERE r <= CASE attack WHEN 0 THEN 300 ELSE 100 END)
+    SELECT bus, seq, attack, CASE WHEN r <= (n * 200 + 999) // 1000 THEN 'test' ELSE 'train' END AS split FROM s""")
 def _m8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.balanced_sample(frames(spark, sf_dir), {0: 300, 1: 100}, by="bus").select("bus", "seq", "attack", "split")
 

@@ -23,7 +23,7 @@ from framewatch.plans.demo import FRAMES_SQL, frames
 from framewatch.plans.queries_rules import BASE_SQL as BASE_SQL_RULES
 from framewatch.plans.queries_rules import DEMO_RULES, ENTROPY, HITS_SQL, PAD, WIN, demo_hits, joined, r6
 from framewatch.plans.registry import ORACLE, query
-from framewatch.sources import io
+from framewatch.sources import io, pcap
 from framewatch.storage import fresh, kept
 from framewatch.streaming import stream as S
 
@@ -875,3 +875,12 @@ def _t10(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh(spark, "sink")
     S.write_alerts(stream(spark, sf_dir).filter(R.validate_dlc(6)).select("bus", "seq"), path, fresh(spark, "sink-checkpoint"), once=True).awaitTermination()
     return spark.read.schema("bus string, seq long").json(path)
+
+
+@query("S5_pcap_ranges", f"{FRAMES_SQL} SELECT ts_us, can_id, is_remote, is_error, array_to_string(data, ',') AS bytes FROM frames")
+def _s5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames written as captures, and read in ranges of a few thousand bytes each."""
+    path = fresh(spark, "pcap")
+    pcap.write_pcap(frames(spark, sf_dir).repartition(3, "bus"), path)
+    f = pcap.read_pcap_ranges(spark, path, 50_000)
+    return f.select("ts_us", "can_id", "is_remote", "is_error", joined(F.col("data")).alias("bytes"))

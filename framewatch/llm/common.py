@@ -48,6 +48,16 @@ def kept(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(df: DataFrame) -> None:
+    """Removes the tables that ``kept`` wrote and ``df`` reads, once all that is made of them is written itself."""
+    spark = df.sparkSession
+    mine = f"{shared_dir(spark).rstrip('/')}/".removeprefix("file:").lstrip("/")
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if f"/{mine}" in folder.replace("///", "/"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def added_up(parts: DataFrame, width: int = 32) -> np.ndarray | None:
     """The sum of the float64 arrays in the binary column ``part``, one a row; None without rows.
 

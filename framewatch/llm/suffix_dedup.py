@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewatch.llm.common import SLICE_BYTES, kept, slices, texts, widened
+from framewatch.llm.common import SLICE_BYTES, kept, released, slices, texts, widened
 from framewatch.llm.words import buffer, mix, powers
 
 LENGTH, GRAM, CELLS = 400, 32, 8
@@ -170,6 +170,7 @@ def ranked(suffixes: DataFrame) -> DataFrame:
     base = kept(suffixes, "suffixes")  # written, as the splitters are sampled from it first
     dealt = base.repartitionByRange(*_TOKENS, "key", "lo", "cell")
     out = kept(dealt.mapInArrow(_sorted_bucket, widened(base, bucket="integer", left="integer", right="integer")), "buckets")
+    released(base)
     ends = sorted(out.filter("left < 0 or right < 0").select("bucket", F.col("left") < 0, F.col("right") < 0, *_TOKENS).collect(), key=lambda r: r[0])  # two rows a bucket
     beside: dict[int, list[int]] = {r[0]: [0, 0] for r in ends}
     for a, b in zip([r for r in ends if r[2]], [r for r in ends if r[1]][1:]):
@@ -184,7 +185,9 @@ def _verdicts(suffixes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(key, first, last) of the windows found repeated, and the suffixes that have to be split."""
     found = ranked(suffixes)
     repeated = found.filter((F.col("left") == len(_TOKENS)) | (F.col("right") == len(_TOKENS))).select("key", "first", "last").distinct()
-    undecided = found.filter(F.col("left").between(1, len(_TOKENS) - 1) | F.col("right").between(1, len(_TOKENS) - 1))
+    undecided = found.filter(F.col("left").between(1, len(_TOKENS) - 1) | F.col("right").between(1, len(_TOKENS) - 1)).select("key", "lo", "pos", "cell", "last")
+    repeated, undecided = kept(repeated, "repeated"), kept(undecided, "undecided")
+    released(found)
     return repeated, undecided
 
 

@@ -346,7 +346,7 @@ def test_a_ruled_line_does_not_hide_a_language():
     plain = ["the river and the harbour were quiet that morning"] * 40
     p, q = langid.fit_pieces(texts(pa.array(plain)), v), langid.fit_pieces(texts(pa.array([*plain, "=" * 700])), v)
     common = np.argsort(-p)[:9]
-    assert p[common].min() > 100 / v.size and np.abs(q[common] / p[common] - 1).max() < 0.2
+    assert p[common].min() > 100 / v.size and np.abs(q[common] / p[common] - 1).max() < 0.25  # the line's own pieces are a fifth of all
 
 
 def test_language_id_held_out(spark):

@@ -92,3 +92,14 @@ def test_least():
     for n, w in ((1, 1), (10, 3), (50, 7), (64, 64)):
         v = rng.integers(0, 100, n).astype(np.uint64)
         assert sd.least(v, w).tolist() == [v[i : i + w].min() for i in range(n - w + 1)]
+
+
+def test_tables_are_removed_when_read(spark):
+    from framewatch.llm.common import kept, released
+
+    a, b = kept(spark.range(5), "one"), kept(spark.range(3), "two")
+    files = a.inputFiles()
+    released(a)
+    assert spark.read.parquet(b.inputFiles()[0]).count() >= 0 and b.count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FileNotFound"):
+        spark.read.parquet(*files).count()

@@ -14,6 +14,10 @@ SIGMAS = ((0.997, 3.0), (0.954, 2.0), (0.683, 1.0))
 LEAST_SD_MS, REPEATED = 2.0, 0.55
 
 
+#: Rules that may be turned into expressions.
+MOST_RULES = 10_000
+
+
 def attack_free(*frames: DataFrame) -> DataFrame:
     """The union of captures, less frames marked as attacks."""
     out = frames[0]
@@ -71,18 +75,21 @@ def generate_rules(profile: DataFrame, confidence: float = 0.997) -> DataFrame:
 def merge_rules(old: DataFrame, new: DataFrame) -> DataFrame:
     """Old rules that are not timing rules, old timing rules of ids without a new one, and the new ones; all with the refreshed list of ids.
 
-    Both have (can_id, name, kind) at least; the list is of distinct ids in ``new`` (hundreds).
+    Both have (can_id, name, kind) at least; the list is of the distinct ids in ``new``, one row that is joined to each rule.
     """
     fresh = new.filter("kind = 'timing'").select("can_id").distinct()
-    kept = old.filter("kind != 'timing'").unionByName(old.filter("kind = 'timing'").join(F.broadcast(fresh), "can_id", "left_anti").select(*old.columns))
+    kept = old.filter("kind != 'timing'").unionByName(old.filter("kind = 'timing'").join(fresh, "can_id", "left_anti").select(*old.columns))
     ids = new.agg(F.sort_array(F.collect_set("can_id")).alias("allowed_can_ids"))
     return kept.unionByName(new, allowMissingColumns=True).join(F.broadcast(ids))
 
 
 def rules_from_profile(rules: DataFrame) -> list[dict]:
-    """Generated rules as dicts for ``rules_frame``; hundreds of rows reach the driver."""
+    """Generated rules as dicts for ``rules_frame``: of one bus or vehicle, MOST_RULES at most (more raise, as they all become expressions of one plan)."""
+    known = rules.orderBy("can_id", "name").limit(MOST_RULES + 1).collect()
+    if len(known) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules; take them for one bus at a time")
     out = []
-    for r in rules.orderBy("can_id", "name").collect():
+    for r in known:
         rule = {"name": r.name, "severity": "HIGH", "description": f"{r.kind} baseline of 0x{r.can_id:X}", "action": "alert", "can_id": r.can_id, "priority": 4}
         if r.kind == "timing":
             rule |= {"check_timing": True, "payload_repetition_threshold": REPEATED} | {k: r[k] for k in ("expected_interval", "interval_variance", "sigma_extreme", "sigma_moderate", "consecutive_required")}

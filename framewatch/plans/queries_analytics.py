@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import warnings
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -714,12 +718,34 @@ NAMED = ("attack-free", "DoS", "fuzzing", "rpm", "other")
 
 @query("S7_dataset_labels", f"{FRAMES_SQL} SELECT attack_type, vehicle, count(*) AS frames FROM (SELECT CASE seq % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'dos' WHEN 2 THEN 'fuzzing' WHEN 3 THEN 'rpm' ELSE 'unknown' END AS attack_type, CASE WHEN seq % 7 = 0 THEN 'unknown' ELSE concat('set_0', seq % 4, CASE seq % 3 WHEN 0 THEN '_train' WHEN 1 THEN '_known' ELSE '_unknown' END) END AS vehicle FROM frames) GROUP BY ALL")
 def _s7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Attack and vehicle from the paths of captures."""
+    """Attack and vehicle from the paths of captures: the frames written as CSV files in folders, and all of them read."""
     kind = F.when(F.expr("seq % 3 = 0"), "train_01").when(F.expr("seq % 3 = 1"), "test_01_known_vehicle_known_attack").otherwise("test_02_unknown_vehicle_known_attack")
     folder = F.when(F.expr("seq % 7 = 0"), "plain").otherwise(F.concat(F.lit("set_0"), F.expr("cast(seq % 4 as string)"), F.lit("/"), kind))
-    path = F.concat(F.lit("s3://captures/"), folder, F.lit("/"), F.get(F.array(*map(F.lit, NAMED)), F.expr("cast(seq % 5 as int)")), F.lit("-1.csv"))
-    labelled = io.labelled(frames(spark, sf_dir).drop("attack_type", "vehicle").withColumn("source_file", path))
-    return labelled.groupBy("attack_type", "vehicle").agg(F.count("*").alias("frames"))
+    name = F.concat(folder, F.lit("/"), F.get(F.array(*map(F.lit, NAMED)), F.expr("cast(seq % 5 as int)")))
+    line = F.concat_ws(",", F.format_string("%.6f", F.col("ts_us") / 1_000_000), F.hex("can_id"), P.bytes_to_hex("data", ""), F.col("attack").cast("string"))
+    root = fresh(spark, "captures")
+    write_lines(frames(spark, sf_dir).select(name.alias("name"), line.alias("line")), root, "timestamp,arbitration_id,data_field,attack")
+    return io.read_dataset(spark, root).groupBy("attack_type", "vehicle").agg(F.count("*").alias("frames"))
+
+
+def write_lines(lines: DataFrame, root: str, head: str) -> None:
+    """Text files by ``name`` below a folder that all tasks share, one for each name and partition, each with a head line."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", root))
+        number, files = TaskContext.get().partitionId(), {}
+        for batch in batches:
+            for name, line in zip(batch.column("name").to_pylist(), batch.column("line").to_pylist()):
+                if name not in files:
+                    system.create_dir(f"{base}/{name.rpartition('/')[0]}", recursive=True)
+                    files[name] = system.open_output_stream(f"{base}/{name}-{number}.csv")
+                    files[name].write(head.encode() + b"\n")
+                files[name].write(line.encode() + b"\n")
+        for file in files.values():
+            file.close()
+        yield pa.RecordBatch.from_pydict({"files": [len(files)]})
+
+    lines.mapInArrow(write, "files long").agg(F.sum("files")).collect()
 
 
 @query("S8_S11_rule_file", f"{BASE_SQL_RULES} SELECT concat(kind, ' 0x', lpad(hex(can_id), 3, '0')) AS name, can_id, expected_interval, consecutive_required, max_frequency FROM rules WHERE bus = 'v0'")

@@ -42,13 +42,15 @@ def _micros(seconds: Column) -> Column:
     return F.round(seconds.cast("decimal(20,6)") * 1_000_000).cast("long")
 
 
-def read_can_csv(spark: SparkSession, path: str | list[str], pad: bool = False) -> DataFrame:
+def read_can_csv(spark: SparkSession, path: str | list[str], pad: bool = False, below: str | None = None) -> DataFrame:
     """CSV with a header: timestamp, arbitration_id (or can_id), data_field (or data, Data), attack (or Attack).
 
     Ids are hex. A row whose time, id or payload can't be read is left out. With
-    ``pad`` a payload is filled up with 00 or cut to eight bytes.
+    ``pad`` a payload is filled up with 00 or cut to eight bytes. ``below``: all
+    files of this name (a glob) in the folder and those below it.
     """
-    raw = spark.read.option("header", True).csv(path)
+    reader = spark.read.option("header", True)
+    raw = (reader.option("recursiveFileLookup", True).option("pathGlobFilter", below) if below else reader).csv(path)
     names = {c.lower().strip(): c for c in raw.columns}
 
     def pick(*options: str) -> Column:
@@ -160,13 +162,7 @@ def vehicle_of(file: Column) -> Column:
 
 def read_dataset(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
     """All captures below a folder, with attack_type from the file's name and vehicle from its path; bus is the file."""
-    return labelled(read_can_csv(spark, _glob(spark, folder, pattern)))
-
-
-def _glob(spark: SparkSession, folder: str, pattern: str) -> list[str]:
-    """Files below the folder, as Spark lists them (any store)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder).select("path")
-    return [r.path for r in files.collect()]
+    return labelled(read_can_csv(spark, folder, below=pattern))
 
 
 def labelled(frames: DataFrame) -> DataFrame:

@@ -143,3 +143,12 @@ def test_no_python_in_rule_checks(spark, make):
 
     plan = R.evaluate(make([{}]), R.rules_frame(spark, DEMO_RULES))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "CartesianProduct" not in plan
+
+
+def test_scopes_are_counted_as_they_are_joined(spark, make):
+    rules = [{"name": "own", "severity": "LOW", "can_id": 5}, {"name": "own too", "severity": "LOW", "can_id": 5}, {"name": "range", "severity": "LOW", "can_id_range": [4, 6]}, {"name": "listed", "severity": "LOW", "whitelist_mode": True, "allowed_can_ids": [5, 9]}, {"name": "all", "severity": "LOW", "validate_dlc": True}]
+    frames = make([{"can_id": c} for c in (4, 5, 5, 7, 9, None)])
+    for some in (rules, rules[2:], rules[:1]):
+        table = R.rules_frame(spark, some)
+        one = R.statistics(frames, R.evaluate(frames, table), table).first()
+        assert one.avg_rules == R.match_scope(frames, table).count() / 6

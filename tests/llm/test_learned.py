@@ -87,9 +87,7 @@ def mixed(spark, n=150):
     return df, mixing.fit(labelled)
 
 
-@pytest.mark.parametrize("written", [1, 3, 1000])
-def test_rates_are_those_of_plain_projected_gradient(spark, monkeypatch, written):
-    monkeypatch.setattr(mixing, "WRITTEN", written)
+def test_rates_are_those_of_plain_projected_gradient(spark):
     df, model = mixed(spark)
     out = mixing.mix_to_targets(df, model, {"rare": 0.6, "common": 0.4}).collect()
     p, n = np.array([r.posterior for r in out]), np.array([r.n_tokens for r in out])

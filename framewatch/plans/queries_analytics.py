@@ -838,7 +838,7 @@ def _t11(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, last = f.agg(F.min("ts_us"), F.max("ts_us")).first()
     number = F.least(F.lit(LATE_BATCHES - 1), F.expr(f"(ts_us - {first or 0}) * {LATE_BATCHES} div {(last or 0) - (first or 0) + 1}") + F.when(F.col("seq") % 23 == 0, 3).otherwise(0))
     rules = R.rules_frame(spark, [{"name": "again", "severity": "LOW", "check_replay": True}])
-    rows, late = S.count_late(S.enrich(S.read_frames(spark, in_batches(f, number, LATE_BATCHES), per_batch=1), rules))
+    rows, late = S.count_late(S.enrich(S.read_frames(spark, in_batches(f, number, LATE_BATCHES), per_batch=1), rules, drop_late=True))
     return rows.select("bus", "seq", F.lit(late).cast("long").alias("late"))
 
 

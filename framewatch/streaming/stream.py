@@ -1,7 +1,7 @@
 """The monitor as Structured Streaming: frames in, state per id, rules, windows, alerts out.
 
 Event time is ``ts``; frames older than the watermark are late: Spark drops them
-before windows and state, and ``LateFrames`` counts them. Of the others, those of an
+before windows and event-time state, and ``LateFrames`` counts them. Of the others, those of an
 id that are in one batch are taken in order of time, those of later batches after them.
 """
 
@@ -55,7 +55,7 @@ def limits(rules: DataFrame) -> tuple[list[int], int]:
     return sorted({r.max_frequency for r in known if r.max_frequency}), max([0, *((r.consecutive_required or 5) + 2 for r in known if r.check_timing)])
 
 
-def enrich(frames: DataFrame, rules: DataFrame, memory_us: int | None = None) -> DataFrame:
+def enrich(frames: DataFrame, rules: DataFrame, memory_us: int | None = None, drop_late: bool = False) -> DataFrame:
     """The columns that the stateful checks of ``rules`` read, as ``rules.add_state`` (with the same ``memory_us``) has them in batch.
 
     State is kept for each bus and id by ``state.IdState``: it doesn't depend on how
@@ -63,12 +63,15 @@ def enrich(frames: DataFrame, rules: DataFrame, memory_us: int | None = None) ->
     ``memory_us`` it grows with the distinct payloads of an id, as nothing is
     forgotten; with it, payloads not seen for longer are new again, here and in batch.
     ``_backs``: for each distinct frame limit, the time of the frame so many back (this one counted).
+    With ``drop_late`` (and with ``memory_us``, which needs event time) frames behind the
+    watermark are dropped and counted; Spark's watermark begins at the epoch, so that
+    frames of time 0 and before are, too. Else all frames count, as they come.
     """
     counts, history = limits(rules)
     replay = not rules.filter("check_replay").isEmpty()
     use_state_store(frames.sparkSession)
     rows = frames.select("ts", "bus", "seq", "ts_us", "can_id", "dlc", "data", "is_extended", "is_remote", "is_error", P.bytes_to_hex("data", "").alias("payload"), F.try_element_at("data", F.lit(1)).bitwiseAND(F.lit(15)).alias("nibble"), diagnostic_source().alias("source"))
-    return rows.groupBy("bus", "can_id").transformWithStateInPandas(IdState(counts, history, replay, memory_us), ENRICHED, "append", "eventTime")
+    return rows.groupBy("bus", "can_id").transformWithStateInPandas(IdState(counts, history, replay, memory_us), ENRICHED, "append", "eventTime" if drop_late or memory_us is not None else "none")
 
 
 def detect_rules(enriched: DataFrame, rules: DataFrame) -> DataFrame:

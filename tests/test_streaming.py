@@ -73,7 +73,7 @@ def test_late_frames_are_counted_over_all_batches(spark, make, tmp_path):
         put(make, [{"t": t, "can_id": 5} for t in part], path, k * 10)
     spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", 2)
     try:
-        rows, late = S.count_late(S.enrich(S.read_frames(spark, path, per_batch=1), R.rules_frame(spark, RULES)))
+        rows, late = S.count_late(S.enrich(S.read_frames(spark, path, per_batch=1), R.rules_frame(spark, RULES), drop_late=True))
     finally:
         spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
     assert late == 4 and sorted(r.ts_us // 1_000_000 for r in rows.collect()) == [100, 199, 200, 300, 400, 500, 600]

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewatch.functions import payload as P
-from framewatch.operators import select
+from framewatch.operators import hot, select
 from framewatch.operators import windows as W
 
 KEYS = ("bus", "can_id")
@@ -16,18 +16,21 @@ KEYS = ("bus", "can_id")
 STRETCH = 65_536
 
 
-def _w(keys: tuple[str, ...]):
-    return Window.partitionBy(*keys).orderBy(*W.ORDER)
+def _gap(frames: DataFrame, keys: tuple[str, ...], busy: hot.Busy | None) -> DataFrame:
+    """Adds ``_gap``, the time (s) since the id's frame before; frames of hot ids are taken in blocks."""
+    busy = busy or hot.busy(frames, keys)
+    rows, w = busy.rows_back(frames, 1)
+    return busy.whole(rows.withColumn("_gap", (F.col("ts_us") - F.lag("ts_us").over(w)) / 1_000_000))
 
 
-def with_delta(frames: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+def with_delta(frames: DataFrame, keys: tuple[str, ...] = KEYS, busy: hot.Busy | None = None) -> DataFrame:
     """Adds time_delta (s) to the id's last frame; 0 for the first."""
-    return frames.withColumn("time_delta", F.coalesce((F.col("ts_us") - F.lag("ts_us").over(_w(keys))) / 1_000_000, F.lit(0.0)))
+    return _gap(frames, keys, busy).withColumn("time_delta", F.coalesce("_gap", F.lit(0.0))).drop("_gap")
 
 
-def _later(frames: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+def _later(frames: DataFrame, keys: tuple[str, ...], busy: hot.Busy | None = None) -> DataFrame:
     """Only frames with an earlier one of their id, with the interval to it (s) as ``iat``."""
-    return frames.withColumn("iat", (F.col("ts_us") - F.lag("ts_us").over(_w(keys))) / 1_000_000).filter("iat is not null")
+    return _gap(frames, keys, busy).filter("_gap is not null").withColumn("iat", F.col("_gap")).drop("_gap")
 
 
 def quantile(c: str, p: float | list[float], approx: bool = False) -> Column:
@@ -48,7 +51,7 @@ def iat_stats(frames: DataFrame, keys: tuple[str, ...] = KEYS, approx: bool = Fa
 
 def frequency_profile(frames: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """rate (frames a second of the id's span), mean_iat, std_iat, min_iat, max_iat, count."""
-    own = frames.withColumn("iat", (F.col("ts_us") - F.lag("ts_us").over(_w(keys))) / 1_000_000)
+    own = _gap(frames, keys, None).withColumnRenamed("_gap", "iat")
     span = (F.max("ts_us") - F.min("ts_us")) / 1_000_000
     return own.groupBy(*keys).agg(F.when(span > 0, F.count("*") / span).otherwise(0.0).alias("frequency"), F.avg("iat").alias("mean_iat"), F.stddev_samp("iat").alias("std_iat"), F.min("iat").alias("min_iat"), F.max("iat").alias("max_iat"), F.count("*").alias("n"))
 
@@ -124,9 +127,11 @@ def dos_fpmax(normal: DataFrame, pred: str = "pred") -> DataFrame:
     return normal.groupBy(*KEYS).agg(F.sum(F.col(pred).cast("long")).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("fp_max"))
 
 
-def with_hamming(frames: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+def with_hamming(frames: DataFrame, keys: tuple[str, ...] = KEYS, busy: hot.Busy | None = None) -> DataFrame:
     """Adds hamming: bits changed since the id's last payload; 0 for the first."""
-    return frames.withColumn("hamming", F.coalesce(P.hamming("data", F.lag("data").over(_w(keys))), F.lit(0)))
+    busy = busy or hot.busy(frames, keys)
+    rows, w = busy.rows_back(frames, 1)
+    return busy.whole(rows.withColumn("hamming", F.coalesce(P.hamming("data", F.lag("data").over(w)), F.lit(0))))
 
 
 def hamming_p99(frames: DataFrame, keys: tuple[str, ...] = KEYS, approx: bool = False) -> DataFrame:

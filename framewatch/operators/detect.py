@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from framewatch.functions import payload as P
 from framewatch.operators import calibrate as C
+from framewatch.operators import hot
 from framewatch.operators import windows as W
 from framewatch.operators.evaluate import metrics
 
@@ -22,14 +23,17 @@ def _known(df: DataFrame, profile: DataFrame, keys: list[str] | None = None) ->
     return df.join(profile.withColumn("_known", F.lit(True)), keys or KEYS, "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
 
 
-def prefilter(frames: DataFrame, expected: DataFrame, tolerance: float = 0.3) -> DataFrame:
+def prefilter(frames: DataFrame, expected: DataFrame, tolerance: float = 0.3, busy: hot.Busy | None = None) -> DataFrame:
     """Adds ``suspicious``: an unknown id, or an interval off the expected one by more than the tolerance.
 
     Expected is the calibrated interval, else the id's first in the table; an id's first frame passes if the id is known.
+    Frames of hot ids (``busy``) are taken in blocks.
     """
-    w = W.by_id()
-    rows = frames.withColumn("_iat", (F.col("ts_us") - F.lag("ts_us").over(w)) / 1_000_000)
-    rows = rows.withColumn("_second", F.first("_iat", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    busy = busy or hot.busy(frames)
+    rows, w = busy.rows_back(frames, 1)
+    rows = busy.whole(rows.withColumn("_iat", (F.col("ts_us") - F.lag("ts_us").over(w)) / 1_000_000))
+    place = F.when(F.col("_iat").isNotNull(), F.struct(*W.ORDER))
+    rows = busy.by_id(rows, {"_second": F.min_by("_iat", place)})
     rows = _known(rows, expected)
     want = F.coalesce("expected", "_second")
     off = F.abs(F.col("_iat") - want) > tolerance * want

@@ -1,58 +1,71 @@
-"""Feature tables over frames: window functions per id and, in blocks, per bus."""
+"""Feature tables over frames: window functions per id and, in blocks, per bus.
+
+What looks back within an id takes ``busy``, the ids that are too hot for one task,
+whose frames are windowed in blocks (``hot.Busy``); it is found by a count where it
+isn't given. Chains of features find it once.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from framewatch.functions import frames as FR
 from framewatch.functions import payload as P
 from framewatch.operators import calibrate as C
+from framewatch.operators import hot
 from framewatch.operators import windows as W
 from framewatch.storage import kept
 
 
-def _back(n: int):
-    return W.by_id().rowsBetween(-(n - 1), 0)
+def _back(w: WindowSpec, n: int) -> WindowSpec:
+    return w.rowsBetween(-(n - 1), 0)
 
 
-def interarrival(frames: DataFrame) -> DataFrame:
+def interarrival(frames: DataFrame, busy: hot.Busy | None = None) -> DataFrame:
     """Adds interval_ms and time_delta (s) since the id's last frame, and bus_delta since the bus's; 0 for the first."""
-    w = W.by_id()
-    own = (F.col("ts_us") - F.lag("ts_us").over(w))
-    rows = frames.withColumn("interval_ms", F.coalesce(own / 1000, F.lit(0.0))).withColumn("time_delta", F.coalesce(own / 1_000_000, F.lit(0.0)))
+    busy = busy or hot.busy(frames)
+    rows, w = busy.rows_back(frames, 1)
+    own = F.col("ts_us") - F.lag("ts_us").over(w)
+    rows = busy.whole(rows.withColumns({"interval_ms": F.coalesce(own / 1000, F.lit(0.0)), "time_delta": F.coalesce(own / 1_000_000, F.lit(0.0))}))
     blocks, b = W.bus_blocks(rows, 1)
     return blocks.withColumn("bus_delta", F.coalesce((F.col("ts_us") - F.lag("ts_us").over(b)) / 1_000_000, F.lit(0.0))).filter("_native = 1").drop("_native", "_block", "_rn")
 
 
-def _trailing_by_id(frames: DataFrame, us: int) -> Column:
-    """Frames of the id in [t - us, t] up to this one in order."""
-    older = Window.partitionBy("bus", "can_id").orderBy("ts_us").rangeBetween(Window.unboundedPreceding, -(us + 1))
-    return F.row_number().over(W.by_id()) - F.count(F.lit(1)).over(older)
+def _trailing(keys: tuple[str, ...], us: int) -> Column:
+    """Frames of the id in [t - us, t] up to this one in order; ``keys`` as ``Busy.time_back`` gives them for ``us`` or more."""
+    older = Window.partitionBy(*keys).orderBy("ts_us").rangeBetween(Window.unboundedPreceding, -(us + 1))
+    return F.row_number().over(Window.partitionBy(*keys).orderBy(*W.ORDER)) - F.count(F.lit(1)).over(older)
 
 
-def rates(frames: DataFrame) -> DataFrame:
+def rates(frames: DataFrame, busy: hot.Busy | None = None) -> DataFrame:
     """Adds freq_last_1s, 5s, 10s, 30s: frames of the id over the window; 0 unless it has two in a minute."""
-    out = frames.withColumn("_m", _trailing_by_id(frames, 60_000_000))
+    busy = busy or hot.busy(frames)
+    rows, keys = busy.time_back(frames, 60_000_000)
+    out = rows.withColumn("_m", _trailing(keys, 60_000_000))
     for s in (1, 5, 10, 30):
-        out = out.withColumn(f"freq_last_{s}s", F.when(F.col("_m") >= 2, _trailing_by_id(frames, s * 1_000_000) / s).otherwise(0.0))
-    return out.drop("_m")
+        out = out.withColumn(f"freq_last_{s}s", F.when(F.col("_m") >= 2, _trailing(keys, s * 1_000_000) / s).otherwise(0.0))
+    return busy.whole(out.drop("_m"))
 
 
-def interval_stats(frames: DataFrame) -> DataFrame:
+def interval_stats(frames: DataFrame, busy: hot.Busy | None = None) -> DataFrame:
     """Adds mean, sample sd, min, max and jitter (max - min) of the last 10 intervals (s); 0 with fewer than three frames."""
-    rows = frames.withColumn("_i", (F.col("ts_us") - F.lag("ts_us").over(W.by_id())) / 1_000_000).withColumn("_k", F.row_number().over(W.by_id()))
-    w = _back(10)
+    busy = busy or hot.busy(frames)
+    rows, by = busy.rows_back(frames, 10)
+    rows = rows.withColumn("_i", (F.col("ts_us") - F.lag("ts_us").over(by)) / 1_000_000).withColumn("_k", F.row_number().over(by))
+    w = _back(by, 10)
     some = lambda c: F.when(F.col("_k") >= 3, c).otherwise(0.0)
     rows = rows.withColumns({"interval_mean": some(F.avg("_i").over(w)), "interval_std": some(F.stddev_samp("_i").over(w)), "interval_min": some(F.min("_i").over(w)), "interval_max": some(F.max("_i").over(w))})
-    return rows.withColumn("interval_jitter", F.col("interval_max") - F.col("interval_min")).drop("_i", "_k")
+    return busy.whole(rows.withColumn("interval_jitter", F.col("interval_max") - F.col("interval_min")).drop("_i", "_k"))
 
 
-def behavior(frames: DataFrame) -> DataFrame:
+def behavior(frames: DataFrame, busy: hot.Busy | None = None) -> DataFrame:
     """Adds dlc_consistency (last 10), data_change_rate against the last payload, payload_variance (mean of the bytes' sample sd over the last 5)."""
-    w5 = _back(5)
-    rows = frames.withColumns({f"_b{i}": F.coalesce(F.try_element_at("data", F.lit(i + 1)), F.lit(0)) for i in range(8)})
-    rows = rows.withColumns({"_k": F.row_number().over(W.by_id()), "_p": F.lag("data").over(W.by_id()), "_m": F.max("dlc").over(w5), **{f"_s{i}": F.stddev_samp(f"_b{i}").over(w5) for i in range(8)}, "_a": F.min("dlc").over(_back(10)), "_z": F.max("dlc").over(_back(10))})
+    busy = busy or hot.busy(frames)
+    rows, by = busy.rows_back(frames, 10)
+    w5, w10 = _back(by, 5), _back(by, 10)
+    rows = rows.withColumns({f"_b{i}": F.coalesce(F.try_element_at("data", F.lit(i + 1)), F.lit(0)) for i in range(8)})
+    rows = rows.withColumns({"_k": F.row_number().over(by), "_p": F.lag("data").over(by), "_m": F.max("dlc").over(w5), **{f"_s{i}": F.stddev_samp(f"_b{i}").over(w5) for i in range(8)}, "_a": F.min("dlc").over(w10), "_z": F.max("dlc").over(w10)})
     changed = F.size(F.filter(F.zip_with("data", "_p", lambda x, y: x != y), lambda x: x))
     spread = F.aggregate(F.slice(F.array(*(f"_s{i}" for i in range(8))), 1, F.least("_m", F.lit(8))), F.lit(0.0), lambda a, x: a + x)
     rows = rows.withColumns({
@@ -60,7 +73,7 @@ def behavior(frames: DataFrame) -> DataFrame:
         "data_change_rate": F.when(F.col("_k") < 2, 0.0).when(F.size("data") != F.size("_p"), 1.0).otherwise(changed / F.greatest(F.size("data"), F.lit(1))),
         "payload_variance": F.when((F.col("_k") >= 5) & (F.col("_m") > 0), spread / F.col("_m")).otherwise(0.0),
     })
-    return rows.drop("_k", "_p", "_m", "_a", "_z", *(f"_b{i}" for i in range(8)), *(f"_s{i}" for i in range(8)))
+    return busy.whole(rows.drop("_k", "_p", "_m", "_a", "_z", *(f"_b{i}" for i in range(8)), *(f"_s{i}" for i in range(8))))
 
 
 def communication(frames: DataFrame, slab_us: int = W.SLAB_US) -> DataFrame:
@@ -84,9 +97,10 @@ BASE_FEATURES = (
 )
 
 
-def base47(frames: DataFrame) -> DataFrame:
+def base47(frames: DataFrame, busy: hot.Busy | None = None) -> DataFrame:
     """bus, seq and the base features, all doubles, in the published order."""
-    rows = communication(kept(behavior(interval_stats(rates(frames))), "base"))
+    busy = busy or hot.busy(frames)
+    rows = communication(kept(behavior(interval_stats(rates(frames, busy), busy), busy), "base"))
     rows = rows.withColumn("_s", P.stats("data")).withColumn("_p", P.patterns("data")).withColumn("_i", FR.id_priority())
     have = {
         "data_mean": "_s.mean", "data_median": "_s.median", "data_std": "_s.std", "data_min": "_s.min", "data_max": "_s.max", "data_range": "_s.range", "data_sum": "_s.sum", "zero_bytes": "_s.zeros", "max_bytes": "_s.ones",
@@ -113,22 +127,28 @@ def unknown_ngrams(frames: DataFrame, bigrams: DataFrame, trigrams: DataFrame, d
 
 def enhanced8(frames: DataFrame, iat: DataFrame, bigrams: DataFrame, trigrams: DataFrame) -> DataFrame:
     """Adds payload_entropy, hamming_distance, iat_zscore, unknown_bigram, unknown_trigram, bit_time_mean, bit_time_rms, bit_time_energy."""
-    rows = C.with_hamming(C.with_delta(frames)).withColumnRenamed("hamming", "hamming_distance").withColumn("payload_entropy", P.entropy("data")).withColumn("_b", FR.bit_time("time_delta"))
+    busy = hot.busy(frames)
+    rows = C.with_hamming(C.with_delta(frames, busy=busy), busy=busy).withColumnRenamed("hamming", "hamming_distance").withColumn("payload_entropy", P.entropy("data")).withColumn("_b", FR.bit_time("time_delta"))
     rows = rows.join(iat.select("bus", "can_id", "iat_mean", "iat_std"), ["bus", "can_id"], "left")
     z = F.when((F.col("iat_std") > 0) & (F.col("time_delta") > 0), (F.col("time_delta") - F.col("iat_mean")) / F.col("iat_std")).otherwise(0.0)
     rows = rows.withColumn("iat_zscore", z).withColumns({f"bit_time_{k}": F.col(f"_b.{k}") for k in ("mean", "rms", "energy")}).drop("_b", "iat_mean", "iat_std")
     return unknown_ngrams(rows, bigrams, trigrams)
 
 
-def ml23(frames: DataFrame) -> DataFrame:
+def ml23(frames: DataFrame, busy: hot.Busy | None = None) -> DataFrame:
     """bus, seq, n (frames of the id so far) and 23 features: bytes, payload statistics (population sd), 10 s rate, last 50 intervals, entropy of the last 5 frames' bytes, dlc sd over 10."""
-    rows = frames.withColumn("_i", (F.col("ts_us") - F.lag("ts_us").over(W.by_id())) / 1000).withColumn("n", F.row_number().over(W.by_id()))
-    w50 = _back(50)
+    busy = busy or hot.busy(frames)
+    rows, keys = busy.time_back(frames, 10_000_000)
+    rows = busy.whole(rows.withColumn("rate_10s", _trailing(keys, 10_000_000) / 10))
+    rows, w = busy.rows_back(rows, 50, "n")
+    rows = rows.withColumn("_i", (F.col("ts_us") - F.lag("ts_us").over(w)) / 1000)
+    w50 = _back(w, 50)
     rows = rows.withColumns({
-        "rate_10s": _trailing_by_id(frames, 10_000_000) / 10, "interval_ms": F.coalesce("_i", F.lit(0.0)), "interval_mean": F.coalesce(F.avg("_i").over(w50), F.lit(0.0)), "interval_std": F.coalesce(F.stddev_pop("_i").over(w50), F.lit(0.0)),
+        "interval_ms": F.coalesce("_i", F.lit(0.0)), "interval_mean": F.coalesce(F.avg("_i").over(w50), F.lit(0.0)), "interval_std": F.coalesce(F.stddev_pop("_i").over(w50), F.lit(0.0)),
         "interval_min": F.coalesce(F.min("_i").over(w50), F.lit(0.0)), "interval_max": F.coalesce(F.max("_i").over(w50), F.lit(0.0)),
-        "_recent": F.flatten(F.collect_list("data").over(_back(5))), "dlc_std": F.coalesce(F.stddev_pop("dlc").over(_back(10)), F.lit(0.0)),
-    }).withColumn("_s", P.stats("data"))
+        "_recent": F.flatten(F.collect_list("data").over(_back(w, 5))), "dlc_std": F.coalesce(F.stddev_pop("dlc").over(_back(w, 10)), F.lit(0.0)),
+    })
+    rows = busy.whole(rows).withColumn("_s", P.stats("data"))
     size = F.size("data")
     pop = F.when(size > 1, F.col("_s.std") * F.sqrt((size - 1) / size)).otherwise(0.0)
     return rows.select(
@@ -137,29 +157,36 @@ def ml23(frames: DataFrame) -> DataFrame:
     )
 
 
-def id_frequency(frames: DataFrame, mode: str = "rate") -> DataFrame:
+def id_frequency(frames: DataFrame, mode: str = "rate", busy: hot.Busy | None = None) -> DataFrame:
     """Adds id_frequency: ``rate`` frames a second since the oldest of the last minute; ``share`` of the bus's frames in the last second; ``count`` of all the id's frames."""
     if mode == "count":
-        return frames.withColumn("id_frequency", F.count(F.lit(1)).over(Window.partitionBy("bus", "can_id")).cast("double"))
+        return (busy or hot.busy(frames)).by_id(frames, {"id_frequency": F.count(F.lit(1))}).withColumn("id_frequency", F.col("id_frequency").cast("double"))
     if mode == "share":
         total = W.trailing_count(frames, 1_000_000, "_all")
         own = W.trailing_count(total, 1_000_000, "_own", ("bus", "can_id"))
         return own.withColumn("id_frequency", F.col("_own") / F.col("_all")).drop("_own", "_all")
-    oldest = F.min("ts_us").over(Window.partitionBy("bus", "can_id").orderBy("ts_us").rangeBetween(-60_000_000, 0))
+    busy = busy or hot.busy(frames)
+    rows, keys = busy.time_back(frames, 60_000_000)
+    oldest = F.min("ts_us").over(Window.partitionBy(*keys).orderBy("ts_us").rangeBetween(-60_000_000, 0))
     span = (F.col("ts_us") - oldest) / 1_000_000
-    return frames.withColumn("id_frequency", F.when(span > 0, _trailing_by_id(frames, 60_000_000) / span).otherwise(0.0))
+    return busy.whole(rows.withColumn("id_frequency", F.when(span > 0, _trailing(keys, 60_000_000) / span).otherwise(0.0)))
 
 
-def basic9(frames: DataFrame) -> DataFrame:
+def basic9(frames: DataFrame, busy: hot.Busy | None = None) -> DataFrame:
     """bus, seq and the basic nine; means and deviations over the last 50 frames."""
-    rows = id_frequency(C.with_delta(frames))
-    w = _back(50)
-    return rows.select("bus", "seq", F.col("can_id").alias("arb_id_numeric"), F.col("dlc").alias("data_length"), "id_frequency", "time_delta", F.avg("time_delta").over(w).alias("id_mean_time_delta"), F.coalesce(F.stddev_samp("time_delta").over(w), F.lit(0.0)).alias("id_std_time_delta"), *FR.calendar())
+    busy = busy or hot.busy(frames)
+    rows, by = busy.rows_back(id_frequency(C.with_delta(frames, busy=busy), busy=busy), 50)
+    w = _back(by, 50)
+    rows = busy.whole(rows.withColumns({"id_mean_time_delta": F.avg("time_delta").over(w), "id_std_time_delta": F.coalesce(F.stddev_samp("time_delta").over(w), F.lit(0.0))}))
+    return rows.select("bus", "seq", F.col("can_id").alias("arb_id_numeric"), F.col("dlc").alias("data_length"), "id_frequency", "time_delta", "id_mean_time_delta", "id_std_time_delta", *FR.calendar())
 
 
-def tree12(frames: DataFrame) -> DataFrame:
+def tree12(frames: DataFrame, busy: hot.Busy | None = None) -> DataFrame:
     """bus, seq, eight bytes, dlc, interval_ms, frequency over the last 100 frames, quick entropy."""
-    rows = frames.withColumn("_i", (F.col("ts_us") - F.lag("ts_us").over(W.by_id())) / 1000).withColumn("_f", F.first("ts_us").over(_back(100))).withColumn("_n", F.count(F.lit(1)).over(_back(100)))
+    busy = busy or hot.busy(frames)
+    rows, by = busy.rows_back(frames, 100)
+    w = _back(by, 100)
+    rows = busy.whole(rows.withColumns({"_i": (F.col("ts_us") - F.lag("ts_us").over(by)) / 1000, "_f": F.first("ts_us").over(w), "_n": F.count(F.lit(1)).over(w)}))
     span = (F.col("ts_us") - F.col("_f")) / 1_000_000
     return rows.select("bus", "seq", *P.byte_columns("data"), "dlc", F.coalesce("_i", F.lit(0.0)).alias("interval_ms"), F.when(span > 0, F.col("_n") / span).otherwise(0.0).alias("frequency"), P.entropy_fast("data").alias("entropy"))
 
@@ -216,13 +243,15 @@ def rolling(frames: DataFrame, n: int = 100) -> DataFrame:
 
 def enhanced13(frames: DataFrame, normal: DataFrame) -> DataFrame:
     """Deviation, burst, novelty and rolling features in one table, calibrated on ``normal``. Steps that read their input more than once get it from a written table."""
-    rows = id_frequency(C.with_delta(frames))
+    busy = hot.busy(frames)
+    rows = id_frequency(C.with_delta(frames, busy=busy), busy=busy)
     rows = kept(deviation(rows, C.frequency_profile(normal), C.payload_profile(normal), C.timing_profile(normal)), "deviation")
     rows = kept(sequence_novelty(kept(burst(rows), "burst"), C.ngrams(normal, 3, 100)), "novelty")
     return rolling(rows)
 
 
-def lags(df: DataFrame, columns: list[str], n: int = 3) -> DataFrame:
+def lags(df: DataFrame, columns: list[str], n: int = 3, busy: hot.Busy | None = None) -> DataFrame:
     """Adds {c}_lag1..n of the id's earlier frames, 0 where there is none."""
-    w = W.by_id()
-    return df.withColumns({f"{c}_lag{k}": F.lag(c, k, 0).over(w) for c in columns for k in range(1, n + 1)})
+    busy = busy or hot.busy(df)
+    rows, w = busy.rows_back(df, n)
+    return busy.whole(rows.withColumns({f"{c}_lag{k}": F.lag(c, k, 0).over(w) for c in columns for k in range(1, n + 1)}))

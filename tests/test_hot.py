@@ -7,6 +7,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from framewatch.operators import calibrate as C
+from framewatch.operators import detect as D
+from framewatch.operators import features as FT
 from framewatch.operators import hot
 from framewatch.operators import rules as R
 
@@ -40,3 +43,42 @@ def test_hot_ids_are_taken_apart_and_put_together(spark, make):
     want = values(R.state_by_id(frames, True, None, 7, [1, 4, 9]))
     assert values(R.state_by_id(frames, True, None, 7, [1, 4, 9], hot_rows=50)) == want
     assert values(R.state_by_id(frames, True, None, 7, [1, 4, 9], hot_rows=0)) == want
+
+
+FEATURES = {
+    "interarrival": FT.interarrival,
+    "rates": FT.rates,
+    "interval_stats": FT.interval_stats,
+    "behavior": FT.behavior,
+    "base47": FT.base47,
+    "ml23": FT.ml23,
+    "id_frequency": lambda f, busy: FT.id_frequency(f, busy=busy),
+    "id_count": lambda f, busy: FT.id_frequency(f, "count", busy),
+    "basic9": FT.basic9,
+    "tree12": FT.tree12,
+    "lags": lambda f, busy: FT.lags(f, ["ts_us", "dlc"], 3, busy),
+    "hamming": lambda f, busy: C.with_hamming(f, busy=busy),
+    "delta": lambda f, busy: C.with_delta(f, busy=busy),
+    "prefilter": lambda f, busy: D.prefilter(f, f.sparkSession.createDataFrame([("a", 5, 0.3), ("a", 0x7E0, None)], "bus string, can_id int, expected double"), busy=busy),
+}
+
+
+@pytest.mark.parametrize("name", FEATURES)
+def test_features_of_hot_ids_are_those_of_plain_windows(spark, make, name):
+    frames = make(some_frames(500, 5)).withColumn("data", F.expr("if(seq % 11 = 0, array(), data)"))
+    feature = FEATURES[name]
+    plain = feature(frames, hot.busy(frames))
+    rounded = lambda df: sorted(tuple(f"{v:.6g}" if isinstance(v, float) else str(v) for v in r) for r in df.select(plain.columns).collect())
+    want = rounded(plain)
+    assert len(want) == 500
+    busy = hot.busy(frames, rows=60, block=7, slab_us=1_000_000)
+    assert busy.ids is not None
+    assert rounded(feature(frames, busy)) == want
+
+
+def test_one_hot_id_lies_in_many_blocks(spark, make):
+    frames = make([{"t": i * 0.001} for i in range(900)])
+    busy = hot.busy(frames, rows=100, block=50)
+    rows, _ = busy.rows_back(frames, 10)
+    sizes = [r[0] for r in rows.groupBy("_block").agg(F.count("*")).select("count(1)").collect()]
+    assert len(sizes) >= 18 and max(sizes) <= 60

@@ -7,7 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewatch.operators import apart
 from framewatch.operators import windows as W
+from framewatch.storage import kept
 
 #: Severities by level.
 LEVELS = {"INFO": 0, "LOW": 1, "MEDIUM": 2, "HIGH": 3, "CRITICAL": 4}
@@ -70,32 +72,19 @@ def rate_limit(alerts: DataFrame, per_second: int, sliding: bool = False) -> Dat
     return W.null_safe(rows, kept, columns, "left_semi").drop("_copy")
 
 
-def keep_apart(times: np.ndarray, width: int) -> np.ndarray:
-    """Places of the times (ascending) that are kept when each must be ``width`` or more after the one kept before; a jump for each kept one."""
-    kept, i = [], 0
-    while i < len(times):
-        kept.append(i)
-        i = int(np.searchsorted(times, times[i] + width, "left"))
-    return np.array(kept, int)
-
-
-def dedup(alerts: DataFrame, window_s: float = 60.0) -> DataFrame:
+def dedup(alerts: DataFrame, window_s: float = 60.0, slab_us: int = apart.SLAB_US) -> DataFrame:
     """Drops an alert if one of the same bus, rule, id and severity was kept less than ``window_s`` before.
 
-    Null is a value like any other here (alerts of a whole bus have no id). Of repeated
-    rows one is kept. Only signature and order reach the tasks that scan, one signature each; what they keep is joined back.
+    Null is a value like any other here (alerts of a whole bus have no id). Of alerts
+    of one signature and time that with the least ``seq`` stands for all. A signature is
+    taken in slabs of time (``apart.first_apart``), so that one that never stops is no single task's.
     """
-    width = int(window_s * 1_000_000)
-
-    def scan(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["ts_us", "seq"], kind="stable")
-        return part.iloc[keep_apart(part["ts_us"].to_numpy(), width)]
-
     keys = ["bus", "rule_name", "can_id", "severity"]
-    rows = W.copies(alerts, [*keys, "ts_us", "seq"]).filter("_copy = 1").drop("_copy")
-    slim = rows.select(*keys, "ts_us", "seq")
-    kept = slim.groupBy(*keys).applyInPandas(scan, slim.schema)
-    return W.null_safe(rows, kept, slim.columns, "left_semi")
+    first = Window.partitionBy(*keys, "ts_us").orderBy("seq")
+    rows = kept(alerts.withColumn("_copy", F.row_number().over(first)).filter("_copy = 1").drop("_copy") if window_s > 0 else alerts, "alerts")
+    if window_s <= 0:
+        return rows
+    return W.null_safe(rows, apart.first_apart(rows.select(*keys, "ts_us"), keys, int(window_s * 1_000_000), slab_us), [*keys, "ts_us"], "left_semi")
 
 
 def process(alerts: DataFrame, source: str = "rules", min_severity: str = "INFO", min_confidence: float = 0.0, per_second: int = 10, window_s: float = 60.0) -> DataFrame:

@@ -32,8 +32,10 @@ def prefilter(frames: DataFrame, expected: DataFrame, tolerance: float = 0.3, bu
     busy = busy or hot.busy(frames)
     rows, w = busy.rows_back(frames, 1)
     rows = busy.whole(rows.withColumn("_iat", (F.col("ts_us") - F.lag("ts_us").over(w)) / 1_000_000))
-    place = F.when(F.col("_iat").isNotNull(), F.struct(*W.ORDER))
-    rows = busy.by_id(rows, {"_second": F.min_by("_iat", place)})
+    if busy.ids is None:
+        rows = rows.withColumn("_second", F.first("_iat", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        rows = busy.by_id(rows, {"_second": F.min_by("_iat", F.when(F.col("_iat").isNotNull(), F.struct(*W.ORDER)))})
     rows = _known(rows, expected)
     want = F.coalesce("expected", "_second")
     off = F.abs(F.col("_iat") - want) > tolerance * want

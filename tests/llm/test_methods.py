@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
 import tracemalloc
 from collections import defaultdict
@@ -12,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from framewatch.llm import decontaminate, html, neardup, queries
+from framewatch.llm import decontaminate, html, media, neardup, queries
 from framewatch.llm.common import texts
 
 from .test_llm import SPLIT, docs, prose
@@ -278,3 +279,20 @@ def test_a_name_in_doubt_is_decided_by_the_host(spark):
     got = {r.page_id: r.text.split("\n") for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     for lines in got.values():
         assert len(lines) == 2 and lines[0].startswith(PROSE) and lines[1].startswith("own ")
+
+
+@pytest.mark.parametrize("height,width", [(24, 24), (7, 24), (131, 24), (32, 32), (50, 3)])
+def test_cosine_hash_is_that_of_plain_loops(height, width):
+    """Area means by overlaps of each sample with each of 32 x 32 cells, then cosine sums, all by loops."""
+    samples = np.random.default_rng(height * 100 + width).integers(0, 256, (height, width)).astype(np.uint8)
+
+    def overlaps(n):  # cell -> [(sample, share of the sample in the cell)]
+        return [[(i, share) for i in range(n) if (share := min(i + 1, (c + 1) * n / 32) - max(i, c * n / 32)) > 0] for c in range(32)]
+
+    ys, xs = overlaps(height), overlaps(width)
+    small = [[sum(a * b * float(samples[i, j]) for i, a in ys[y] for j, b in xs[x]) / (height * width / 1024) for x in range(32)] for y in range(32)]
+    wave = [[math.cos(math.pi * k * (2 * i + 1) / 64) for i in range(32)] for k in range(8)]
+    low = [round(sum(wave[u][y] * wave[v][x] * small[y][x] for y in range(32) for x in range(32)), 6) for u in range(8) for v in range(8)]
+    middle = sorted(low[1:])[31]
+    want = int("".join("1" if v > middle else "0" for v in low), 2)
+    assert media.cosine_hash(samples) == f"{want:016x}"

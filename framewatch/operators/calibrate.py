@@ -16,7 +16,7 @@ KEYS = ("bus", "can_id")
 STRETCH = 65_536
 
 
-def _gap(frames: DataFrame, keys: tuple[str, ...], busy: hot.Busy | None) -> DataFrame:
+def gaps(frames: DataFrame, keys: tuple[str, ...] = KEYS, busy: hot.Busy | None = None) -> DataFrame:
     """Adds ``_gap``, the time (s) since the id's frame before; frames of hot ids are taken in blocks."""
     busy = busy or hot.busy(frames, keys)
     rows, w = busy.rows_back(frames, 1)
@@ -25,12 +25,12 @@ def _gap(frames: DataFrame, keys: tuple[str, ...], busy: hot.Busy | None) -> Dat
 
 def with_delta(frames: DataFrame, keys: tuple[str, ...] = KEYS, busy: hot.Busy | None = None) -> DataFrame:
     """Adds time_delta (s) to the id's last frame; 0 for the first."""
-    return _gap(frames, keys, busy).withColumn("time_delta", F.coalesce("_gap", F.lit(0.0))).drop("_gap")
+    return gaps(frames, keys, busy).withColumn("time_delta", F.coalesce("_gap", F.lit(0.0))).drop("_gap")
 
 
 def _later(frames: DataFrame, keys: tuple[str, ...], busy: hot.Busy | None = None) -> DataFrame:
     """Only frames with an earlier one of their id, with the interval to it (s) as ``iat``."""
-    return _gap(frames, keys, busy).filter("_gap is not null").withColumn("iat", F.col("_gap")).drop("_gap")
+    return gaps(frames, keys, busy).filter("_gap is not null").withColumn("iat", F.col("_gap")).drop("_gap")
 
 
 def quantile(c: str, p: float | list[float], approx: bool = False) -> Column:
@@ -51,7 +51,7 @@ def iat_stats(frames: DataFrame, keys: tuple[str, ...] = KEYS, approx: bool = Fa
 
 def frequency_profile(frames: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """rate (frames a second of the id's span), mean_iat, std_iat, min_iat, max_iat, count."""
-    own = _gap(frames, keys, None).withColumnRenamed("_gap", "iat")
+    own = gaps(frames, keys, None).withColumnRenamed("_gap", "iat")
     span = (F.max("ts_us") - F.min("ts_us")) / 1_000_000
     return own.groupBy(*keys).agg(F.when(span > 0, F.count("*") / span).otherwise(0.0).alias("frequency"), F.avg("iat").alias("mean_iat"), F.stddev_samp("iat").alias("std_iat"), F.min("iat").alias("min_iat"), F.max("iat").alias("max_iat"), F.count("*").alias("n"))
 

@@ -23,6 +23,7 @@ from framewatch.operators import explore as X
 from framewatch.operators import features as FT
 from framewatch.operators import ml as M
 from framewatch.operators import rules as R
+from framewatch.operators import summary as SU
 from framewatch.plans.demo import FRAMES_SQL, frames
 from framewatch.plans.queries_rules import BASE_SQL as BASE_SQL_RULES
 from framewatch.plans.queries_rules import DEMO_RULES, ENTROPY, HITS_SQL, PAD, WIN, demo_hits, joined, r6
@@ -64,6 +65,7 @@ def profile(name: str, sql: str, values: list[str], make: Callable[[DataFrame],
 
 GROUP = "FROM i GROUP BY bus, can_id"
 profile("B5_iat_stats", f"SELECT bus, can_id, avg(iat) AS iat_mean, stddev_pop(iat) AS iat_std, quantile_cont(iat, 0.05) AS iat_p5, quantile_cont(iat, 0.95) AS iat_p95, count(iat) AS n {GROUP} HAVING count(iat) > 0", ["iat_mean", "iat_std", "iat_p5", "iat_p95"], C.iat_stats, exact=["n"])
+profile("B5_merged_summaries", f"SELECT bus, can_id, avg(iat) AS iat_mean, stddev_pop(iat) AS iat_std, min(iat) AS iat_min, max(iat) AS iat_max, count(iat) AS n {GROUP} HAVING count(iat) > 0", ["iat_mean", "iat_std", "iat_min", "iat_max"], lambda f: SU.statistics(SU.merge(kept(SU.interval_summary(f, period_us=10_000_000), "summaries"))), exact=["n"])
 profile("B6_frequency_profile", f"SELECT bus, can_id, CASE WHEN max(ts_us) > min(ts_us) THEN count(*) / ((max(ts_us) - min(ts_us)) / 1000000) ELSE 0 END AS frequency, avg(iat) AS mean_iat, stddev_samp(iat) AS std_iat, min(iat) AS min_iat, max(iat) AS max_iat, count(*) AS n {GROUP}", ["frequency", "mean_iat", "std_iat", "min_iat", "max_iat"], C.frequency_profile, exact=["n"])
 MODE = "(SELECT dlc FROM (SELECT m.dlc, count(*) AS c FROM n m WHERE m.bus = g.bus AND m.can_id = g.can_id GROUP BY m.dlc) ORDER BY c DESC, dlc LIMIT 1)"
 profile("B7_payload_profile", f"SELECT *, {MODE} AS common_dlc FROM (SELECT bus, can_id, avg({ENTROPY.format(d='data')}) AS entropy_mean, coalesce(stddev_samp({ENTROPY.format(d='data')}), 0) AS entropy_std, coalesce(var_samp(dlc), 0) AS dlc_variance {GROUP}) g", ["entropy_mean", "entropy_std", "dlc_variance"], C.payload_profile, exact=["common_dlc"])

@@ -171,13 +171,13 @@ class Forest:
         return 0.5 - 2.0 ** (-total / max(1, len(self.trees)) / self.norm)
 
 
-def isolation_forest_fit(df: DataFrame, columns: list[str], trees: int = 50, sample: int = 256, contamination: float = 0.05, seed: int = 42) -> Forest:
-    """One tree for each of ``trees`` groups of about ``sample`` rows, grown in parallel; rows are dealt by a seeded hash of ``seq``.
+def isolation_forest_fit(df: DataFrame, columns: list[str], trees: int = 50, sample: int = 256, contamination: float = 0.05, seed: int = 42, keys: tuple[str, ...] = ("bus", "seq")) -> Forest:
+    """One tree for each of ``trees`` groups of about ``sample`` rows, grown in parallel; rows are dealt by a seeded hash of ``keys``.
 
     The threshold is the contamination quantile of the scores of all rows.
     """
     n = df.count()
-    h = F.pmod(F.xxhash64("bus", "seq", F.lit(seed)), F.lit(max(n, trees * sample)))
+    h = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(max(n, trees * sample)))
     rows = df.select(h.alias("_h"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns))
     if n >= trees * sample:
         rows = rows.filter(F.col("_h") < trees * sample).withColumn("_tree", F.expr(f"cast(_h % {trees} as int)"))
@@ -196,8 +196,8 @@ def isolation_forest_fit(df: DataFrame, columns: list[str], trees: int = 50, sam
     return forest
 
 
-def isolation_forest_score(df: DataFrame, forest: Forest) -> DataFrame:
-    """Adds score and label (1 under the threshold); trees are broadcast (bounded by trees x sample)."""
+def isolation_forest_score(df: DataFrame, forest: Forest, score_name: str = "score", label_name: str = "label") -> DataFrame:
+    """Adds score and label (1 under the threshold), under the names given; trees are broadcast (bounded by trees x sample)."""
     sent = df.sparkSession.sparkContext.broadcast(forest)
 
     @F.pandas_udf("double")
@@ -205,7 +205,7 @@ def isolation_forest_score(df: DataFrame, forest: Forest) -> DataFrame:
         for columns in parts:
             yield pd.Series(sent.value.scores(np.stack([c.fillna(0).to_numpy(float) for c in columns], axis=1)))
 
-    return df.withColumn("score", score(*(F.col(c).cast("double") for c in forest.columns))).withColumn("label", (F.col("score") < forest.threshold).cast("int"))
+    return df.withColumn(score_name, score(*(F.col(c).cast("double") for c in forest.columns))).withColumn(label_name, (F.col(score_name) < forest.threshold).cast("int"))
 
 
 def ml_alerts(scored: DataFrame, columns: list[str]) -> DataFrame:

@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,7 @@ from framewatch.operators import features as FT
 from framewatch.operators import ml as M
 from framewatch.operators import rules as R
 from framewatch.operators import summary as SU
+from framewatch.operators.forest import IsolationForest
 from framewatch.plans.demo import FRAMES_SQL, frames
 from framewatch.plans.queries_rules import BASE_SQL as BASE_SQL_RULES
 from framewatch.plans.queries_rules import DEMO_RULES, ENTROPY, HITS_SQL, PAD, WIN, demo_hits, joined, r6
@@ -471,6 +474,17 @@ def _m56(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.ml_alerts(M.isolation_forest_score(t, forest), COLS).select("bus", "seq", "can_id", r6(F.col("anomaly_score"), "anomaly_score"), r6(F.col("confidence"), "confidence"), "reason")
 
 
+@query("M5_forest_reloaded", f"{FRAMES_SQL} SELECT bus, seq, true AS same FROM frames")
+def _m5r(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a saved and loaded pipeline of assembler and forest scores each frame as before."""
+    path, t = fresh(spark, "pipeline"), table(spark, sf_dir)
+    steps = Pipeline(stages=[VectorAssembler(inputCols=COLS, outputCol="features", handleInvalid="keep"), IsolationForest()])
+    fitted = steps.fit(t.filter("attack = 0"))
+    fitted.write().save(path)
+    both = PipelineModel.load(path).transform(fitted.transform(t).drop("features").withColumnsRenamed({"score": "before", "prediction": "odd"}))
+    return both.select("bus", "seq", ((F.col("before") == F.col("score")) & (F.col("odd") == F.col("prediction"))).alias("same"))
+
+
 @query("M7_decision_tree")
 def _m7(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = FT.tree12(frames(spark, sf_dir)).join(frames(spark, sf_dir).select("bus", "seq", "attack"), ["bus", "seq"])

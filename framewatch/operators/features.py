@@ -167,9 +167,12 @@ def id_frequency(frames: DataFrame, mode: str = "rate", busy: hot.Busy | None =
         return own.withColumn("id_frequency", F.col("_own") / F.col("_all")).drop("_own", "_all")
     busy = busy or hot.busy(frames)
     rows, keys = busy.time_back(frames, 60_000_000)
-    oldest = F.min("ts_us").over(Window.partitionBy(*keys).orderBy("ts_us").rangeBetween(-60_000_000, 0))
+    w = Window.partitionBy(*keys).orderBy("ts_us")
+    # The oldest frame follows the last one that is too old: frames of windows that only grow, where a sliding range is read anew for each row.
+    rows = rows.withColumn("_next", F.lead("ts_us").over(Window.partitionBy(*keys).orderBy(*W.ORDER)))
+    oldest = F.coalesce(F.max("_next").over(w.rangeBetween(Window.unboundedPreceding, -60_000_001)), F.min("ts_us").over(w.rangeBetween(Window.unboundedPreceding, 0)))
     span = (F.col("ts_us") - oldest) / 1_000_000
-    return busy.whole(rows.withColumn("id_frequency", F.when(span > 0, _trailing(keys, 60_000_000) / span).otherwise(0.0)))
+    return busy.whole(rows.withColumn("id_frequency", F.when(span > 0, _trailing(keys, 60_000_000) / span).otherwise(0.0)).drop("_next"))
 
 
 def basic9(frames: DataFrame, busy: hot.Busy | None = None) -> DataFrame:

@@ -82,3 +82,17 @@ def test_one_hot_id_lies_in_many_blocks(spark, make):
     rows, _ = busy.rows_back(frames, 10)
     sizes = [r[0] for r in rows.groupBy("_block").agg(F.count("*")).select("count(1)").collect()]
     assert len(sizes) >= 18 and max(sizes) <= 60
+
+
+def test_rate_reads_no_sliding_range(spark, make):
+    """The oldest frame of the last minute by windows that only grow, equal to a plain loop."""
+    rng, t, rows = random.Random(6), 0.0, []
+    for _ in range(400):
+        t += rng.choice([0, 0, 0.5, 20, 59.999999, 60, 60.000001, 90])
+        rows.append({"t": round(t, 6), "bus": rng.choice(["a", None]), "can_id": rng.choice([5, None])})
+    out = FT.id_frequency(make(rows))
+    assert "RangeFrame, -60000000" not in out._jdf.queryExecution().optimizedPlan().toString()
+    mine = {r["seq"]: r for r in out.collect()}
+    for r in mine.values():
+        span = [o.ts_us for o in mine.values() if (o.bus, o.can_id) == (r.bus, r.can_id) and r.ts_us - 60_000_000 <= o.ts_us and (o.ts_us, o.seq) <= (r.ts_us, r.seq)]
+        assert r.id_frequency == pytest.approx(len(span) / (r.ts_us - min(span)) * 1e6 if r.ts_us > min(span) else 0.0)

@@ -1,9 +1,11 @@
 """PCAP captures of SocketCAN frames, a file in as many tasks as it has ranges of bytes.
 
-A range begins at the first record in it. Records have no marks between them, so one
-is taken for a record if it and the CHAIN headers that follow from its length are
-consistent. A range is read up to where the next one begins, and its last record
-must end there exactly; if not, the file is no such capture and the read fails.
+A range begins at the first record in it. Records have no marks between them, and bytes
+within a record may look like a header, so a range is followed from every place in it
+where its first record may begin to where the records leave it. Nearly all of these
+chains meet; which one holds follows from the range before, from the file's first record
+on. A range is read up to where the next one begins, and its last record must end
+there exactly; if not, the file is no such capture and the read fails.
 
 Files are opened by the tasks (by path, or by any URI that Arrow's file systems
 know); ``io.read_pcap`` reads whole files through Spark instead, from any store.
@@ -11,28 +13,30 @@ know); ``io.read_pcap`` reads whole files through Spark instead, from any store.
 
 from __future__ import annotations
 
+import heapq
 import re
+import struct
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewatch.sources.io import frame_columns
 from framewatch.storage import kept
 
-#: Bytes of a range, and from its begin within which a record must begin.
-RANGE, LOOK = 64 << 20, 1 << 18
-#: Headers that must follow from each other, and bytes of a record at most.
-CHAIN, LONGEST = 6, 1 << 16
+#: Bytes of a range, and of a record at most.
+RANGE, LONGEST = 64 << 20, 1 << 16
 #: The first four bytes of a file, its byte order and the units of a fraction in a second.
 MAGIC = {b"\xd4\xc3\xb2\xa1": ("<", 10**6), b"\xa1\xb2\xc3\xd4": (">", 10**6), b"\x4d\x3c\xb2\xa1": ("<", 10**9), b"\xa1\xb2\x3c\x4d": (">", 10**9)}
 HEAD, RECORD = 24, 16
 #: Link headers that may stand before the frame, in bytes.
 LINKS = (0, 14, 16, 18)
+_LOOK = pa.schema([("path", pa.string()), ("length", pa.int64()), ("start", pa.int64()), ("usual", pa.int64()), ("entries", pa.list_(pa.int64())), ("leaves", pa.list_(pa.int64()))])
 _FRAMES = "file string, at long, us long, id long, ext boolean, rtr boolean, err boolean, d array<int>"
 
 
@@ -46,31 +50,60 @@ def _headers(data: np.ndarray, at: np.ndarray, order: str) -> np.ndarray:
     return np.ascontiguousarray(data[at[:, None] + np.arange(RECORD)]).view(order + "u4").astype(np.int64)
 
 
-def first_record(data: np.ndarray, order: str, units: int, last: bool) -> int | None:
-    """Where the first record in ``data`` begins; ``last``: the file ends with it."""
-    at = np.arange(max(0, len(data) - RECORD + 1))
-    begin, live = at, np.ones(len(at), bool)
-    for _ in range(CHAIN):
-        inside = at + RECORD <= len(data)
-        h = _headers(data, np.where(inside, at, 0), order)
-        fine = (h[:, 1] < units) & (h[:, 2] <= h[:, 3]) & (h[:, 2] < LONGEST) & (h[:, 3] < LONGEST) & (h[:, 2] > 0)
-        beyond = (at == len(data)) if last else (at > len(data) - RECORD)
-        live &= np.where(inside, fine, beyond)
-        at = np.where(inside, at + RECORD + h[:, 2], at)
-    found = begin[live]
-    return int(found[0]) if len(found) else None
-
-
-def _begin(path: str, start: int, length: int) -> int | None:
+def exits(data: bytes, stop: int, order: str, units: int, last: bool) -> dict[int, int | None]:
+    """For each place before ``stop`` where the first record of a range may begin: where the records from there on first reach ``stop`` (None: they don't). ``last``: the file ends with the data."""
+    unpack, n = struct.Struct(order + "IIII").unpack_from, len(data)
+    at = np.arange(max(0, min(stop, LONGEST + RECORD, n - RECORD + 1)))
+    h = _headers(np.frombuffer(data, np.uint8), at, order)
+    likely = at[(h[:, 1] < units) & (h[:, 2] <= h[:, 3]) & (h[:, 3] < LONGEST) & (h[:, 2] > 0)]
+    after = dict(zip(likely.tolist(), (likely + RECORD + h[likely, 2]).tolist()))
+
+    def ahead(q: int, upto: int) -> int | None:
+        """The first record from ``q`` on at ``upto`` or later."""
+        while q < upto:
+            if q + RECORD > n:
+                return None
+            _, part, size, whole = unpack(data, q)
+            if part >= units or not 0 < size <= whole < LONGEST:
+                return None
+            q += RECORD + size
+        return q
+
+    # Chains from the places looked at go on together, the hindmost first, so that those that meet are followed once.
+    beyond = {q: [q] for q in set(after.values()) if q >= len(at)}
+    queue, left = list(beyond), {}
+    heapq.heapify(queue)
+    while queue:
+        q = heapq.heappop(queue)
+        ids = beyond.pop(q)
+        to = ahead(q, stop if not queue else min(stop, queue[0] + 1))
+        if to is None or to >= stop:
+            left |= dict.fromkeys(ids, None if to is None or last and to != n else to)
+        elif to in beyond:
+            beyond[to] += ids
+        else:
+            beyond[to] = ids
+            heapq.heappush(queue, to)
+    out: dict[int, int | None] = {}
+    for q in sorted(after, reverse=True):
+        out[q] = left[after[q]] if after[q] >= len(at) else out.get(after[q])
+    return out
+
+
+def _look(path: str, start: int, length: int, size: int) -> tuple[int | None, list[int], list[int | None]] | None:
+    """Of a range: where most of its chains leave it, and the begins and ends of the others; None if the file is no capture."""
     with _open(path) as file:
         kind = MAGIC.get(file.read_at(4, 0))
         if kind is None:
             return None
-        if start == 0:
-            return HEAD
-        raw = file.read_at(min(LOOK, length - start), start)
-        found = first_record(np.frombuffer(raw, np.uint8), *kind, start + len(raw) == length)
-        return None if found is None else start + found
+        begin = max(start, HEAD)
+        stop = min(start + size, length)
+        data = file.read_at(max(0, min(stop + RECORD, length) - begin), begin)
+    found = {begin + q: None if to is None else begin + to for q, to in exits(data, stop - begin, *kind, stop == length).items()}
+    common = Counter(to for to in found.values() if to is not None).most_common(1)
+    usual = common[0][0] if common else None
+    others = [q for q, to in found.items() if to != usual]
+    return usual, others, [found[q] for q in others]
 
 
 def same_lengths(data: np.ndarray, at: int, order: str) -> tuple[int, int]:
@@ -131,19 +164,30 @@ def parsed(data: np.ndarray, order: str, units: int, offset: int) -> Iterator[di
 
 
 def ranges(spark: SparkSession, path: str | list[str], size: int = RANGE) -> DataFrame:
-    """(path, begin, past) of the ranges of whole records, from the files' lengths and a look at each range's begin."""
+    """(path, begin, past) of the ranges of whole records: each is followed from all places where it may begin, then a file's ranges are put together from its first record on."""
     files = spark.read.format("binaryFile").load(path).select("path", "length")
     starts = files.filter("length > 0").select("path", "length", F.explode(F.sequence(F.lit(0), F.col("length") - 1, F.lit(size))).alias("start"))
     dealt = starts.repartition("path", "start")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            yield batch.append_column("begin", pa.array([_begin(r["path"], r["start"], r["length"]) for r in rows], pa.int64()))
-
-    found = kept(dealt.mapInArrow(look, "path string, length long, start long, begin long"), "ranges").filter("begin is not null")
-    w = Window.partitionBy("path").orderBy("begin")  # the ranges of a file
-    return found.select("path", "begin", F.coalesce(F.lead("begin").over(w), "length").alias("past"))
+            for r in batch.to_pylist():
+                found = _look(r["path"], r["start"], r["length"], size)
+                if found is not None:
+                    yield pa.RecordBatch.from_pylist([{**r, "usual": found[0], "entries": found[1], "leaves": found[2]}], _LOOK)
+
+    def follow(part: pa.Table) -> pa.Table:
+        rows = part.sort_by("start").to_pylist()
+        at, begins = HEAD, []
+        for r in rows:
+            if at is not None and at < min(r["start"] + size, r["length"]):
+                begins.append(at)
+                at = dict(zip(r["entries"], r["leaves"])).get(at, r["usual"])
+        length = rows[0]["length"]
+        return pa.table({"path": pa.array([rows[0]["path"]] * len(begins), pa.string()), "begin": pa.array(begins, pa.int64()), "past": pa.array([*begins[1:], length][: len(begins)], pa.int64())})
+
+    found = dealt.mapInArrow(look, "path string, length long, start long, usual long, entries array<long>, leaves array<long>")
+    return kept(found.groupBy("path").applyInArrow(follow, "path string, begin long, past long"), "ranges")
 
 
 def read_pcap_ranges(spark: SparkSession, path: str | list[str], size: int = RANGE) -> DataFrame:

@@ -59,3 +59,13 @@ def test_a_cut_off_record_fails(spark, tmp_path):
     (tmp_path / "a.pcap").write_bytes(capture(random.Random(1), 50, "<", b"\xd4\xc3\xb2\xa1", 1)[:-3])
     with pytest.raises(Exception, match="past its range"):
         pcap.read_pcap_ranges(spark, str(tmp_path)).collect()
+
+
+def test_a_payload_that_looks_like_a_header(spark, tmp_path):
+    """Eight zero bytes before a record of second 24 read as the header of a record that ends with the next but one: a chain that holds from there on."""
+    one = lambda us, data: struct.pack("<IIII", 24, us, 16, 16) + struct.pack(">IB3x", 0x123, len(data)) + data.ljust(8, b"\0")
+    (tmp_path / "a.pcap").write_bytes(b"\xd4\xc3\xb2\xa1" + bytes(20) + b"".join(one(100 + i, b"\1\2\3\4") for i in range(300)))
+    want = rows(io.read_pcap(spark, str(tmp_path)))
+    assert len(want) == 300
+    for size in (300, 1000, 3200):
+        assert rows(pcap.read_pcap_ranges(spark, str(tmp_path), size)) == want

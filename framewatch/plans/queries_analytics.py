@@ -26,6 +26,7 @@ from framewatch.operators import features as FT
 from framewatch.operators import ml as M
 from framewatch.operators import rules as R
 from framewatch.operators import summary as SU
+from framewatch.operators import windows as W
 from framewatch.operators.forest import IsolationForest
 from framewatch.plans.demo import FRAMES_SQL, frames
 from framewatch.plans.queries_rules import BASE_SQL as BASE_SQL_RULES
@@ -709,13 +710,15 @@ def _s6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("S4_read_candump_all", f"{FRAMES_SQL} SELECT CASE WHEN seq % 5 = 4 AND lag(seq) OVER (ORDER BY seq) IS NOT NULL THEN lag(ts_us) OVER (ORDER BY seq) + 1000 ELSE ts_us END AS ts_us, can_id, array_to_string(data, ',') AS bytes FROM frames WHERE seq > 0")
 def _s4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of all three kinds in turn; a bare one has no time."""
+    """Lines of all three kinds in turn, in files that begin with a line with a time where there is one; a bare one has none."""
     path = fresh(spark, "candump")
     t, i = F.col("ts_us") / 1_000_000, F.col("can_id")
     standard = F.format_string("(%.6f) %s %03X#%s", t, F.col("bus"), i, P.bytes_to_hex("data", ""))
     detailed = F.format_string("%.6f %s %03X [%d] %s", t, F.col("bus"), i, F.size("data"), P.bytes_to_hex("data"))
     line = F.when(F.expr("seq % 5 = 4"), F.format_string("%03X#%s", i, P.bytes_to_hex("data", ""))).when(F.expr("seq % 2 = 0"), standard).otherwise(detailed)
-    frames(spark, sf_dir).filter("seq > 0").coalesce(1).sortWithinPartitions("seq").select(line).write.text(path)
+    lines = frames(spark, sf_dir).filter("seq > 0").select("seq", line.alias("line"), F.col("seq").alias("ts_us"), F.lit(0).alias("_all"))
+    lines = W.running_max(lines, {"_timed": F.when(F.expr("seq % 5 <> 4"), F.col("seq"))}, ("_all",), slab_us=1 << 16)
+    lines.repartitionByRange(F.coalesce("_timed", F.lit(-1))).sortWithinPartitions("seq").select("line").write.text(path)
     return io.read_candump(spark, path, "all").select("ts_us", "can_id", joined(F.col("data")).alias("bytes"))
 
 

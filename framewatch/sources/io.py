@@ -9,12 +9,14 @@ from typing import Any
 
 import pandas as pd
 import yaml
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewatch.functions.payload import hex_to_bytes
+from framewatch.operators import windows as W
 from framewatch.operators.rules import rule_row, rules_frame
 from framewatch.schema import FRAME_SCHEMA
+from framewatch.storage import kept
 
 #: Attack type by a word in the file's name, in order.
 ATTACK_NAMES = (("attack-free", "none"), ("dos", "dos"), ("accessory", "accessory"), ("combined", "combined"), ("double", "double"), ("fuzz", "fuzzing"), ("interval", "interval"), ("rpm", "rpm"), ("speed", "speed"), ("standstill", "standstill"), ("systematic", "systematic"), ("triple", "triple"), ("suspension", "suspension"), ("force", "force-neutral"), ("gear", "gear"))
@@ -71,11 +73,12 @@ _DETAILED = r"^\s*\(?(\d+(?:\.\d+)?)\)?\s+(\S+)\s+([0-9A-Fa-f]+)\s+\[(\d+)\]\s*(
 _BARE = r"^\s*([0-9A-Fa-f]+)#([0-9A-Fa-f]*)\s*$"
 
 
-def read_candump(spark: SparkSession, path: str | list[str], formats: str = "standard") -> DataFrame:
+def read_candump(spark: SparkSession, path: str | list[str], formats: str = "standard", stretch: int = 1 << 16) -> DataFrame:
     """candump text, ``(time) iface ID#HEX``; R for a remote frame; other lines are left out, an odd last digit dropped.
 
     ``formats='all'`` reads ``time iface ID [n] HH HH`` and bare ``ID#HEX`` lines
-    too; a bare line is a millisecond after the line before it.
+    too; a bare line is a millisecond after the line before it. A file's lines are
+    taken in stretches of ``stretch`` at most.
     """
     raw = spark.read.text(path).select("value", F.input_file_name().alias("_file")).withColumn("_seq", _seq())
     part = lambda p, i: F.when(F.col("value").rlike(p), F.regexp_extract("value", p, i))
@@ -85,12 +88,12 @@ def read_candump(spark: SparkSession, path: str | list[str], formats: str = "sta
         ident, text = F.coalesce(ident, part(_DETAILED, 3), part(_BARE, 1)), F.coalesce(text, part(_DETAILED, 5), part(_BARE, 2))
     rows = raw.select("_seq", "_file", time.alias("_time"), iface.alias("_iface"), ident.alias("_hex"), F.regexp_replace(text, r"\s", "").alias("_text")).filter("_hex is not null")
     rows = rows.withColumn("_us", _micros(F.col("_time"))).withColumn("_id", F.conv("_hex", 16, 10).cast("long"))
-    if formats == "all":  # lines of one file in order; a gap of bare lines counts up from the last time
-        w = Window.partitionBy("_file").orderBy("_seq")
-        upto = w.rowsBetween(Window.unboundedPreceding, 0)
-        rows = rows.withColumn("_known", F.last("_us", ignorenulls=True).over(upto)).withColumn("_group", F.count("_us").over(upto))
-        gap = F.row_number().over(Window.partitionBy("_file", "_group").orderBy("_seq")) - F.when(F.col("_known").isNull(), 0).otherwise(1)
-        rows = rows.withColumn("_us", F.coalesce("_us", F.coalesce("_known", F.lit(0)) + gap * 1000))
+    if formats == "all":  # a bare line counts on from the last time in its file, by stretches of lines
+        placed = kept(rows, "lines").withColumns({"ts_us": F.col("_seq"), "seq": F.col("_seq")})
+        numbered = W.running_sum(placed, F.lit(1), "_rn", ("_file",), stretch)
+        rows = W.running_max(numbered, {"_last": F.when(F.col("_us").isNotNull(), F.struct("_rn", "_us"))}, ("_file",), 0, stretch).drop("ts_us", "seq")
+        gap = F.col("_rn") - F.coalesce("_last._rn", F.lit(0))
+        rows = rows.withColumn("_us", F.coalesce("_last._us", F.lit(0)) + gap * 1000)
     data = F.when(F.col("_text") == "R", F.expr("cast(array() as array<int>)")).otherwise(hex_to_bytes("_text"))
     rows = rows.withColumn("_d", data)
     return frame_columns(rows, seq=F.col("_seq"), ts_us=F.col("_us"), can_id=F.col("_id"), dlc=F.size("_d"), data=F.col("_d"), is_extended=(F.length("_hex") > 3) & (F.col("_id") > 0x7FF), is_remote=F.col("_text") == "R", bus=F.coalesce("_iface", F.regexp_extract("_file", r"([^/]+)$", 1)), source_file=F.col("_file"))

@@ -167,3 +167,19 @@ def test_isolation_forest_finds_the_odd_one(spark):
 def test_upper_median(make):
     f = make([{"t": t} for t in (0, 1, 3, 6, 10)])
     assert C.prefilter_intervals(f).first().expected == 3.0
+
+
+def test_bare_lines_in_stretches(spark, tmp_path):
+    """The last time is carried over stretches without any; no window sees a whole file."""
+    lines = ["1#00", "2#00"] + [line for i in range(6) for line in (f"({i + 10}.5) c 3#01", *["4#02", "what"] * (7 * (i % 3)))]
+    (tmp_path / "a.log").write_text("\n".join(lines))
+    at, want = None, []
+    for line in lines:
+        if line != "what":
+            at = int(float(line[1:5]) * 1e6) if line[0] == "(" else (at or 0) + 1000
+            want.append(at)
+    for stretch in (3, 1 << 16):
+        got = io.read_candump(spark, str(tmp_path), "all", stretch)
+        assert [r.ts_us for r in got.orderBy("seq").collect()] == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "_slab" in plan and "_group" not in plan

@@ -835,16 +835,32 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = frames(spark, sf_dir)
     first, last = f.agg(F.min("ts_us"), F.max("ts_us")).first()
     third = F.least(F.lit(2), F.expr(f"(ts_us - {first or 0}) * 3 div {(last or 0) - (first or 0) + 1}"))
-    return S.read_frames(spark, in_batches(f, third, 3), per_batch=1)
+    path, files = in_batches(f, third, 3)
+    return S.read_frames(spark, path, per_batch=files)
 
 
-def in_batches(f: DataFrame, number: Column, count: int) -> str:
-    """The folder of ``f`` as stream frames, in ``count`` files written one after the other by batch number."""
-    path = fresh(f.sparkSession, "frames")
+#: Rows of a file of a stream.
+FILE_ROWS = 1 << 18
+
+
+def in_batches(f: DataFrame, number: Column, count: int) -> tuple[str, int]:
+    """The folder of ``f`` as stream frames, in ``count`` batches written one after the other by batch number, and the files of a batch."""
     rows = kept(f.withColumn("ts", F.timestamp_micros("ts_us")).withColumn("source_file", F.lit(None).cast("string")).withColumn("_batch_no", number), "frames")
-    for k in range(count):
-        rows.filter(F.col("_batch_no") == k).drop("_batch_no").coalesce(1).write.mode("append").parquet(path)
-    return path
+    return written_as([rows.filter(F.col("_batch_no") == k).drop("_batch_no") for k in range(count)], rows.count())
+
+
+def written_as(batches: list[DataFrame], rows: int) -> tuple[str, int]:
+    """A folder to which batches of ``rows`` rows in all are written one after the other, each in as many files, and this number; a batch of few rows has empty ones."""
+    spark = batches[0].sparkSession
+    path, files = fresh(spark, "batches"), max(1, -(-rows // (FILE_ROWS * len(batches))))
+    there = 0
+    for batch in batches:
+        (batch.coalesce(1) if files == 1 else batch.repartition(files)).write.mode("append").parquet(path)
+        missing = there + files - len(spark.read.schema(batch.schema).parquet(path).inputFiles())
+        for _ in range(missing):
+            spark.createDataFrame([], batch.schema).coalesce(1).write.mode("append").parquet(path)
+        there += files
+    return path, files
 
 
 LATE_BATCHES, LATE_SLAB = 8, "(ts_us - (SELECT min(ts_us) FROM frames)) * 8 // ((SELECT max(ts_us) - min(ts_us) FROM frames) + 1)"
@@ -859,7 +875,8 @@ def _t11(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, last = f.agg(F.min("ts_us"), F.max("ts_us")).first()
     number = F.least(F.lit(LATE_BATCHES - 1), F.expr(f"(ts_us - {first or 0}) * {LATE_BATCHES} div {(last or 0) - (first or 0) + 1}") + F.when(F.col("seq") % 23 == 0, 3).otherwise(0))
     rules = R.rules_frame(spark, [{"name": "again", "severity": "LOW", "check_replay": True}])
-    rows, late = S.count_late(S.enrich(S.read_frames(spark, in_batches(f, number, LATE_BATCHES), per_batch=1), rules, drop_late=True))
+    path, files = in_batches(f, number, LATE_BATCHES)
+    rows, late = S.count_late(S.enrich(S.read_frames(spark, path, per_batch=files), rules, drop_late=True))
     return rows.select("bus", "seq", F.lit(late).cast("long").alias("late"))
 
 
@@ -895,12 +912,10 @@ def _t7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("T8_dedup_alerts", ALERT_SQL.replace("WITH frames", "WITH RECURSIVE frames", 1) + DEDUP_SQL + " SELECT bus, seq, rule_name FROM dd WHERE keep")
 def _t8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = fresh(spark, "alerts")
     found = kept(demo_alerts(spark, sf_dir).withColumn("ts", F.timestamp_micros("ts_us")), "alerts")
     middle = (found.agg(F.max("ts_us")).first()[0] or 0) // 2
-    for part in (F.col("ts_us") < middle, F.col("ts_us") >= middle):
-        found.filter(part).coalesce(1).write.mode("append").parquet(path)
-    alerts = spark.readStream.schema(found.schema).option("maxFilesPerTrigger", 1).parquet(path).withWatermark("ts", S.LATENESS)
+    path, files = written_as([found.filter(part) for part in (F.col("ts_us") < middle, F.col("ts_us") >= middle)], found.count())
+    alerts = spark.readStream.schema(found.schema).option("maxFilesPerTrigger", files).parquet(path).withWatermark("ts", S.LATENESS)
     return S.drain(S.dedup_alerts(alerts), "dedup").select("bus", "seq", "rule_name")
 
 

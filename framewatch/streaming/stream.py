@@ -18,6 +18,7 @@ from pyspark.sql.types import StructType
 
 from framewatch.functions import payload as P
 from framewatch.functions.frames import diagnostic_source
+from framewatch.operators import apart
 from framewatch.operators import rules as R
 from framewatch.schema import FRAME_SCHEMA
 from framewatch.storage import fresh
@@ -137,16 +138,14 @@ def dedup_alerts(alerts: DataFrame, window_s: int = 60) -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        last = state.get[0] if state.exists else None
+        last = state.get[0] if state.exists else apart.NEVER
         batch = pd.concat(list(parts), ignore_index=True).sort_values(["ts_us", "seq"], kind="stable")
-        keep = []
-        for t in batch["ts_us"].tolist():
-            keep.append(last is None or t - last >= width)
-            if keep[-1]:
-                last = t
+        times = batch["ts_us"].to_numpy()
+        keep = apart.keep_apart(times, width, last)
+        last = int(times[keep[-1]]) if len(keep) else last
         state.update((last,))
         state.setTimeoutTimestamp(max(last // 1000 + window_s * 1000, state.getCurrentWatermarkMs() + 1))
-        yield batch[keep][["bus", "rule_name", "can_id", "severity", "ts_us", "seq"]]
+        yield batch.iloc[keep][["bus", "rule_name", "can_id", "severity", "ts_us", "seq"]]
 
     keys = ["bus", "rule_name", "can_id", "severity"]
     return alerts.select(*keys, "ts_us", "seq", "ts").groupBy(*keys).applyInPandasWithState(run, "bus string, rule_name string, can_id int, severity string, ts_us long, seq long", "last long", "append", GroupStateTimeout.EventTimeTimeout)

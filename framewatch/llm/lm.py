@@ -35,11 +35,13 @@ IN_CLASS = 32
 HIDDEN = 20
 #: Counted words that are broadcast, the commonest; the others are joined.
 HEAD = 1 << 19
-#: Lanes and steps of a window in scoring and in training. Products are taken step by step: so small that the
-#: linear algebra library works on each in one thread, as other tasks have the other cores.
-LANES, WINDOW = 160, 20
+#: Lanes and steps of a window in scoring, where they change no result, and in training. Spark gives the linear algebra
+#: library of each task one thread (OMP_NUM_THREADS is spark.task.cpus).
+LANES, WINDOW = 480, 20
 TRAIN_LANES, TRAIN_WINDOW, EPOCHS, RATE = 160, 20, 2, 0.015
 SLICE = 6 << 20
+#: Tokens of a class whose outputs are one product.
+PIECE = 384
 FLUSH = 1 << 20
 #: The hash of the end of a text.
 END = int(mix(np.array([0x5EED], np.uint64)).view(np.int64)[0])
@@ -93,6 +95,20 @@ def counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word long, ending int, n long").groupBy("word").agg(F.max("ending").alias("ending"), F.sum("n").alias("n"))
 
 
+def _place(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Where each hash is among the sorted ``known`` ones if it is there: by its first 16 bits where they name one place, else by search."""
+    top = (known >> np.uint64(48)).astype(np.int64)
+    first = np.zeros(1 << 16, np.int32)
+    first[top] = np.arange(len(known))
+    at = first[(hashes >> np.uint64(48)).astype(np.int64)]
+    shared = np.zeros(1 << 16, bool)
+    shared[top[1:][top[1:] == top[:-1]]] = True
+    if shared.any():
+        more = np.flatnonzero(shared[top[at]])
+        at[more] = np.minimum(np.searchsorted(known, hashes[more]), len(known) - 1)
+    return at
+
+
 @dataclass
 class Model:
     head: np.ndarray  # sorted hashes of counted words
@@ -114,7 +130,7 @@ class Model:
         cls, slot = SINGLE + ending, np.full(len(hashes), IN_CLASS - 1)
         for known, value, out in ((self.single, self.single_class, cls), (self.listed, self.listed_slot, slot)):
             if len(known):
-                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                at = _place(known, hashes)
                 np.copyto(out, value[at], where=known[at] == hashes)
         return cls, slot
 
@@ -170,17 +186,81 @@ def pack(cls: np.ndarray, offsets: np.ndarray, count: int) -> tuple[np.ndarray,
     return y.reshape(steps, len(load)), x.reshape(steps, len(load)), flat, active
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
-def _by_class(cls: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each class by endings that occurs, and the places of its tokens."""
-    order = np.argsort(cls, kind="stable")
-    order = order[np.searchsorted(cls[order], SINGLE) :]
+class _Scratch:
+    """float32 arrays by name that each window takes again, not cleared."""
+
+    def __init__(self) -> None:
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        size = int(np.prod(shape))
+        if name not in self.held or self.held[name].size < size:
+            self.held[name] = np.empty(size, np.float32)
+        return self.held[name][:size].reshape(shape)
+
+
+def _with_bias(weight: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Output weights with the bias as one more unit, which is always one."""
+    return np.concatenate([weight, bias[..., None, :]], axis=-2)
+
+
+class _Cell:
+    """The recurrent unit's weights as its steps take them: unit x lane, so that gates are whole rows; those of both gates are negated for the exponential."""
+
+    def __init__(self, w: dict[str, np.ndarray]):
+        self.table = w["x"].copy()
+        both = np.concatenate([w["u"], w["un"]], axis=1)
+        self.to_state = both.copy()
+        self.both = np.ascontiguousarray(_with_bias(both, np.concatenate([np.zeros(2 * HIDDEN, np.float32), w["bn"]])).T)
+        self.table[:, : 2 * HIDDEN] *= -1
+        self.both[: 2 * HIDDEN] *= -1
+
+    def given(self, x: np.ndarray, scratch: _Scratch) -> np.ndarray:
+        """What the words before (step x lane) give to each gate: step x gate x lane."""
+        taken = self.table.take(x.ravel(), axis=0, out=scratch("taken", x.size, 3 * HIDDEN), mode="clip")
+        out = scratch("given", len(x), 3 * HIDDEN, x.shape[1])
+        out[...] = taken.reshape(*x.shape, -1).transpose(0, 2, 1)
+        return out
+
+    def step(self, g: np.ndarray, before: np.ndarray, state: np.ndarray, n: np.ndarray, off: np.ndarray, out: np.ndarray) -> None:
+        """One step from ``before`` (with the unit that is always one) into ``out`` (without). ``state`` then has the gates r and z and the new part by
+        the state, ``n`` the new part, ``off`` its distance to the state."""
+        np.matmul(self.both, before, out=state)
+        rz = state[: 2 * HIDDEN]
+        rz += g[: 2 * HIDDEN]
+        np.exp(rz, out=rz)
+        rz += 1
+        np.reciprocal(rz, out=rz)
+        np.multiply(rz[:HIDDEN], state[2 * HIDDEN :], out=n)
+        n += g[2 * HIDDEN :]
+        np.tanh(n, out=n)
+        np.subtract(before[:HIDDEN], n, out=off)
+        np.multiply(rz[HIDDEN:], off, out=out)
+        out += n
+
+
+def _pieces(tokens: int, lanes_: int) -> Iterator[slice]:
+    """A few steps of a window at a time: few calls, on arrays that stay in the cache."""
+    size = 4 * lanes_
+    return (slice(low, min(low + size, tokens)) for low in range(0, tokens, size))
+
+
+def _inner(w: dict[str, np.ndarray], states: np.ndarray, cls: np.ndarray, scratch: _Scratch) -> tuple[np.ndarray, list[int], np.ndarray, np.ndarray]:
+    """Outputs within the class of every token in a class by endings: the places of these tokens by class, where classes begin, their states, the logits.
+    ``states``: unit (the one that is always one among them) x token."""
+    order = np.argsort(cls.astype(np.uint8), kind="stable")
     edges = np.searchsorted(cls[order], np.arange(SINGLE, _CLASSES + 1))
-    for c in np.flatnonzero(np.diff(edges)).tolist():
-        yield c, order[edges[c] : edges[c + 1]]
+    order, edges = order[edges[0] :], (edges - edges[0]).tolist()
+    turned = scratch("turned", *states.T.shape)
+    turned[...] = states.T
+    rows = turned.take(order, axis=0, out=scratch("rows", len(order), HIDDEN + 1), mode="clip")
+    both = _with_bias(w["s"], w["d"])
+    q = scratch("q", len(order), IN_CLASS)
+    for c in range(BY_ENDING):
+        for low in range(edges[c], edges[c + 1], PIECE):
+            high = min(low + PIECE, edges[c + 1])
+            np.matmul(rows[low:high], both[c], out=q[low:high])
+    return order, edges, rows, q
 
 
 def log_probabilities(weights: dict[str, np.ndarray], cls: np.ndarray, slot: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -190,81 +270,106 @@ def log_probabilities(weights: dict[str, np.ndarray], cls: np.ndarray, slot: np.
     slots[flat] = slot
     slots = slots.reshape(y.shape)
     out = np.zeros(y.shape, np.float32)
-    h = np.zeros((y.shape[1], HIDDEN), np.float32)
-    u, un, bn, table = weights["u"], weights["un"], weights["bn"], weights["x"]
-    states = np.zeros((WINDOW, y.shape[1], HIDDEN), np.float32)
+    cell, width, scratch = _Cell(weights), y.shape[1], _Scratch()
+    v = np.ascontiguousarray(_with_bias(weights["v"], weights["c"]).T)
+    h = np.zeros((HIDDEN + 1, width), np.float32)
+    h[HIDDEN] = 1
+    begins = x == _CLASSES
+    some = begins.any(axis=1)
     for low in range(0, len(y), WINDOW):
         high = min(low + WINDOW, len(y))
-        for t in range(low, high):
-            a = active[t]
-            h = h[:a]
-            h *= (x[t, :a] != _CLASSES)[:, None]
-            g = table[x[t, :a]]
-            rz = _sigmoid(g[:, : 2 * HIDDEN] + h @ u)
-            n = np.tanh(g[:, 2 * HIDDEN :] + rz[:, :HIDDEN] * (h @ un + bn))
-            h = n + rz[:, HIDDEN:] * (h - n)
-            states[t - low, :a] = h
-        a = active[low]
-        rows = states[: high - low, :a].reshape(-1, HIDDEN)
-        logits = (states[: high - low, :a] @ weights["v"]).reshape(len(rows), -1)
-        target, inner = y[low:high, :a].ravel().astype(np.int64), slots[low:high, :a].ravel()
-        logits += weights["c"]
-        found = logits[np.arange(len(rows)), target]
-        np.exp(logits, out=logits)
-        found -= np.log(logits.sum(axis=1))
-        for c, at in _by_class(target):
-            own = rows[at] @ weights["s"][c]
-            own += weights["d"][c]
-            found[at] += own[np.arange(len(at)), inner[at]]
-            np.exp(own, out=own)
-            found[at] -= np.log(own.sum(axis=1))
+        a = int(active[low])
+        if a < width:
+            h, width = np.ascontiguousarray(h[:, :a]), a
+        h = h.copy()  # the states of this window take its place
+        after = scratch("after", HIDDEN + 1, high - low, a)
+        after[HIDDEN] = 1
+        given = cell.given(x[low:high, :a], scratch)
+        state, n, off = (scratch(k, size * HIDDEN, a) for k, size in (("state", 3), ("n", 1), ("off", 1)))
+        for t in range(high - low):
+            if some[low + t]:
+                h = h.copy()
+                h[:HIDDEN] *= ~begins[low + t, :a]
+            h, before = after[:, t], h
+            cell.step(given[t], before, state, n, off, h[:HIDDEN])
+        states, target = after.reshape(HIDDEN + 1, -1), y[low:high, :a].ravel()
+        found, total = np.empty(len(target), np.float32), np.empty(len(target), np.float32)
+        for at in _pieces(len(target), a):
+            logits = np.matmul(v, states[:, at], out=scratch("p", _CLASSES, at.stop - at.start))
+            found[at] = logits.ravel().take(target[at] * np.int64(logits.shape[1]) + np.arange(logits.shape[1]))
+            np.exp(logits, out=logits)
+            logits.sum(axis=0, out=total[at])
+        found -= np.log(total)
+        order, _, _, q = _inner(weights, states, target, scratch)
+        own = q.ravel().take(slots[low:high, :a].ravel()[order] + np.arange(0, q.size, IN_CLASS))
+        np.exp(q, out=q)
+        found[order] += own - np.log(q.sum(axis=1))
         out[low:high, :a] = found.reshape(high - low, a)
     return out.ravel()[flat]
 
 
+def _views(vector: np.ndarray, shapes: dict[str, tuple[int, ...]]) -> dict[str, np.ndarray]:
+    """Parts of a vector by name, in the order of the names."""
+    out, at = {}, 0
+    for k in sorted(shapes):
+        size = int(np.prod(shapes[k]))
+        out[k] = vector[at : at + size].reshape(shapes[k])
+        at += size
+    return out
+
+
 class Trainer:
     """Weights with the moments of Adam, improved by truncated backpropagation through time: the state is carried from window to window, gradients are not."""
 
     def __init__(self, weights: dict[str, np.ndarray], m1: dict[str, np.ndarray] | None = None, m2: dict[str, np.ndarray] | None = None, step: int = 0):
-        self.w = {k: v.copy() for k, v in weights.items()}
-        self.m1 = {k: v.copy() for k, v in m1.items()} if m1 else {k: np.zeros_like(v) for k, v in weights.items()}
-        self.m2 = {k: v.copy() for k, v in m2.items()} if m2 else {k: np.zeros_like(v) for k, v in weights.items()}
+        self.shapes = {k: v.shape for k, v in weights.items()}
+        size = sum(v.size for v in weights.values())
+        self._flat = np.zeros((3, size), np.float32)  # weights and moments; the dictionaries are views of them
+        self.w, self.m1, self.m2 = (_views(f, self.shapes) for f in self._flat)
+        for part, values in ((self.w, weights), (self.m1, m1), (self.m2, m2)):
+            for k, v in (values or {}).items():
+                part[k][...] = v
         self.step = step
 
     def vector(self) -> np.ndarray:
-        return np.concatenate([part[k].ravel() for part in (self.w, self.m1, self.m2) for k in sorted(self.w)]).astype(np.float64)
+        return self._flat.ravel().astype(np.float64)
 
     def replaced(self, vector: np.ndarray, step: int) -> Trainer:
         """A trainer of the same shapes with the values of ``vector``."""
-        parts, at = [], 0
-        for part in (self.w, self.m1, self.m2):
-            parts.append({})
-            for k in sorted(part):
-                parts[-1][k] = vector[at : at + part[k].size].reshape(part[k].shape).astype(np.float32)
-                at += part[k].size
-        return Trainer(*parts, step)
-
-    def _outputs(self, rows: np.ndarray, target: np.ndarray, slot: np.ndarray, weight: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        """Gradients of the weighted negative log probability: of the output weights, and of the states. ``rows``: step x lane x unit."""
-        w, steps, rows = self.w, rows, rows.reshape(-1, HIDDEN)
-        p = (steps @ w["v"]).reshape(len(rows), -1)
-        p += w["c"]
-        np.exp(p, out=p)
-        p *= (weight / p.sum(axis=1))[:, None]
-        p[np.arange(len(p)), target] -= weight
-        by_step = p.reshape(*steps.shape[:2], -1)
-        grad = {"v": (steps.transpose(0, 2, 1) @ by_step).sum(axis=0), "c": p.sum(axis=0), "s": np.zeros_like(w["s"]), "d": np.zeros_like(w["d"])}
-        states = (by_step @ w["v"].T).reshape(len(rows), -1)
-        for c, at in _by_class(np.where(weight > 0, target, 0)):
-            own, share = rows[at], weight[at]
-            q = own @ w["s"][c]
-            q += w["d"][c]
-            np.exp(q, out=q)
-            q *= (share / q.sum(axis=1))[:, None]
-            q[np.arange(len(q)), slot[at]] -= share
-            grad["s"][c], grad["d"][c] = own.T @ q, q.sum(axis=0)
-            states[at] += q @ w["s"][c].T
-        return grad, states
+        return Trainer(*(_views(v, self.shapes) for v in vector.reshape(3, -1)), step)
+
+    def _outputs(self, states: np.ndarray, target: np.ndarray, slot: np.ndarray, weight: np.ndarray, grad: dict[str, np.ndarray], scratch: _Scratch) -> np.ndarray:
+        """Gradients of the weighted negative log probability: of the output weights into ``grad``, and of the states.
+        ``states``: unit x step x lane, with the unit that is always one, which what is returned lacks; the rest step x lane."""
+        w, v = self.w, np.ascontiguousarray(_with_bias(self.w["v"], self.w["c"]).T)
+        target, weight, shape, states = target.ravel(), weight.ravel(), states.shape, states.reshape(HIDDEN + 1, -1)
+        turned_v = np.ascontiguousarray(w["v"].T)
+        back, of_v = scratch("by_token", len(target), HIDDEN), np.zeros((_CLASSES, HIDDEN + 1), np.float32)
+        for at in _pieces(len(target), shape[2]):
+            p = np.matmul(v, states[:, at], out=scratch("p", _CLASSES, at.stop - at.start))
+            np.exp(p, out=p)
+            p *= weight[at] / p.sum(axis=0)
+            p.ravel()[target[at] * np.int64(p.shape[1]) + np.arange(p.shape[1])] -= weight[at]
+            of_v += p @ states[:, at].T
+            np.matmul(p.T, turned_v, out=back[at])
+        grad["v"][...], grad["c"][...] = of_v[:, :HIDDEN].T, of_v[:, HIDDEN]
+        order, edges, rows, q = _inner(w, states, np.where(weight > 0, target, 0), scratch)
+        share = weight[order]
+        np.exp(q, out=q)
+        q *= (share / q.sum(axis=1))[:, None]
+        q.ravel()[slot.ravel()[order] + np.arange(0, q.size, IN_CLASS)] -= share
+        inner, turned = scratch("inner", len(q), HIDDEN), np.ascontiguousarray(w["s"].transpose(0, 2, 1))
+        of_s = np.empty((HIDDEN + 1, IN_CLASS), np.float32)
+        for c in range(BY_ENDING):
+            if edges[c] < edges[c + 1]:
+                at = slice(edges[c], edges[c + 1])
+                np.matmul(rows[at].T, q[at], out=of_s)
+                grad["s"][c], grad["d"][c] = of_s[:HIDDEN], of_s[HIDDEN]
+                np.matmul(q[at], turned[c], out=inner[at])
+        back[order] += inner
+        out = scratch("from_out", HIDDEN, len(target))
+        out[...] = back.T
+        return out.reshape(HIDDEN, *shape[1:])
 
     def learn(self, cls: np.ndarray, slot: np.ndarray, offsets: np.ndarray, rate: Callable[[float], float], window: int = TRAIN_WINDOW) -> None:
         """One pass over some texts; ``rate`` gives the learning rate by the share of the pass that is done.
@@ -283,79 +388,80 @@ class Trainer:
         real, slots = np.zeros(y.size, np.float32), np.zeros(y.size, np.int16)
         real[flat], slots[flat] = 1, slot
         real, slots = real.reshape(y.shape), slots.reshape(y.shape)
-        h = np.zeros((HIDDEN, y.shape[1]), np.float32)  # unit x lane, so that gates are whole rows
+        wide = y.shape[1]
+        h = np.zeros((HIDDEN, wide), np.float32)
+        befores = np.ones((window, HIDDEN + 1, wide), np.float32)
+        gradient = np.empty(self._flat.shape[1], np.float32)
+        grad, spare, scratch = _views(gradient, self.shapes), np.empty_like(gradient), _Scratch()
         for low in range(0, len(y), window):
-            w, high = self.w, min(low + window, len(y))
-            steps, lanes_ = high - low, y.shape[1]
+            high = min(low + window, len(y))
+            steps, cell = high - low, _Cell(self.w)
             came = x[low:high].ravel()
-            given = np.ascontiguousarray(w["x"][came].reshape(steps, lanes_, 3 * HIDDEN).transpose(0, 2, 1))
-            goes = (x[low:high] != _CLASSES).astype(np.float32)
-            both, bn = np.ascontiguousarray(np.concatenate([w["u"], w["un"]], axis=1).T), w["bn"][:, None]
-            after, befores = np.empty((steps, HIDDEN, lanes_), np.float32), np.empty((steps, HIDDEN, lanes_), np.float32)
-            tape = []
+            given, goes = cell.given(x[low:high], scratch), (x[low:high] != _CLASSES).astype(np.float32)
+            after = scratch("after", HIDDEN + 1, steps, wide)
+            h = h.copy()  # the states of this window take its place
+            after[HIDDEN] = 1
+            new, off, gates = scratch("new", steps, HIDDEN, wide), scratch("off", steps, HIDDEN, wide), scratch("gates", steps, 3 * HIDDEN, wide)
             for t in range(steps):
-                g, before = given[t], befores[t]
-                np.multiply(h, goes[t], out=before)
-                state = both @ before
-                rz = g[: 2 * HIDDEN] + state[: 2 * HIDDEN]
-                rz *= 0.5
-                np.tanh(rz, out=rz)
-                rz += 1
-                rz *= 0.5
-                r, z = rz[:HIDDEN], rz[HIDDEN:]
-                hn = state[2 * HIDDEN :]
-                hn += bn
-                n = r * hn
-                n += g[2 * HIDDEN :]
-                np.tanh(n, out=n)
-                off = before - n
-                h = after[t]
-                np.multiply(z, off, out=h)
-                h += n
-                tape.append((r, z, hn, n, off))
-            turned = lambda a: np.ascontiguousarray(a.transpose(0, 2, 1))
-            target, weight = y[low:high].ravel(), real[low:high].ravel() / max(1.0, float(real[low:high].sum()))
-            grad, from_out = self._outputs(turned(after), target, slots[low:high].ravel(), weight)
-            from_out = np.ascontiguousarray(from_out.reshape(steps, lanes_, HIDDEN).transpose(0, 2, 1))
+                np.multiply(h, goes[t], out=befores[t, :HIDDEN])
+                h = after[:HIDDEN, t]
+                cell.step(given[t], befores[t], gates[t], new[t], off[t], h)
+            gradient[:] = 0
+            weight = real[low:high] / max(1.0, float(real[low:high].sum()))
+            from_out = self._outputs(after, y[low:high], slots[low:high], weight, grad, scratch)
+            # What the state's gradient is multiplied by for z and n; and what n's is for r and n's part by the state.
+            r, z, hn = (gates[:, i * HIDDEN : (i + 1) * HIDDEN] for i in range(3))
+            first, second = (scratch(k, steps, 2, HIDDEN, wide) for k in ("first", "second"))
+            np.subtract(1, z, out=first[:, 1])
+            np.multiply(off, z, out=off)
+            np.multiply(off, first[:, 1], out=first[:, 0])
+            np.multiply(new, new, out=new)
+            np.subtract(1, new, out=new)
+            first[:, 1] *= new
+            np.subtract(1, r, out=second[:, 0])
+            second[:, 0] *= r
+            second[:, 0] *= hn
+            second[:, 1] = r
             dh = np.zeros_like(h)
-            back = np.empty((steps, 4 * HIDDEN, lanes_), np.float32)  # r, z, n's part by the state, n
-            to_state = np.ascontiguousarray(both.T)
+            back = scratch("back", 4, HIDDEN, steps, wide)  # r, z, n's part by the state, n
+            by_gate = back.reshape(4 * HIDDEN, steps, wide)
+            to_state = cell.to_state
             for t in range(steps - 1, -1, -1):
-                r, z, hn, n, off = tape[t]
-                dh = dh + from_out[t]
-                b, dn = back[t], back[t, 3 * HIDDEN :]
-                np.multiply(n, n, out=dn)
-                np.subtract(1, dn, out=dn)
-                dn *= dh
-                dn -= dn * z
-                dr = dn * hn
-                dr *= r
-                np.multiply(dr, 1 - r, out=b[:HIDDEN])
-                dz = dh * off
-                dz *= z
-                np.multiply(dz, 1 - z, out=b[HIDDEN : 2 * HIDDEN])
-                np.multiply(dn, r, out=b[2 * HIDDEN : 3 * HIDDEN])
-                dh *= z
-                dh += to_state @ b[: 3 * HIDDEN]
+                dh += from_out[:, t]
+                b = back[:, :, t]
+                np.multiply(dh, first[t], out=b[1::2])
+                np.multiply(b[3], second[t], out=b[0::2])
+                dh *= z[t]
+                dh += to_state @ by_gate[: 3 * HIDDEN, t]
                 dh *= goes[t]
-            back = turned(back)
-            through = (befores @ back[:, :, : 3 * HIDDEN]).sum(axis=0)
-            back = back.reshape(steps * lanes_, -1)
-            grad["u"], grad["un"] = through[:, : 2 * HIDDEN], through[:, 2 * HIDDEN :]
-            grad["bn"] = back[:, 2 * HIDDEN : 3 * HIDDEN].sum(axis=0)
+            through = np.matmul(befores[:steps, :HIDDEN], by_gate[: 3 * HIDDEN].transpose(1, 2, 0)).sum(axis=0)
+            grad["u"][...], grad["un"][...] = through[:, : 2 * HIDDEN], through[:, 2 * HIDDEN :]
+            grad["bn"][...] = back[2].sum(axis=(1, 2))
             order = np.argsort(came, kind="stable")
-            first = np.flatnonzero(np.diff(came[order], prepend=-1))
-            grad["x"] = np.zeros_like(w["x"])
-            sums = np.add.reduceat(back[order], first, axis=0)
-            grad["x"][came[order][first]] = np.concatenate([sums[:, : 2 * HIDDEN], sums[:, 3 * HIDDEN :]], axis=1)
-            norm = float(np.sqrt(sum((g * g).sum() for g in grad.values())))
-            self.step += 1
-            now = rate(low / len(y))
-            for k in w:
-                g = grad[k] * min(1.0, 1.0 / (norm + 1e-8))
-                self.m1[k] = 0.9 * self.m1[k] + 0.1 * g
-                self.m2[k] = 0.99 * self.m2[k] + 0.01 * g * g
-                w[k] = w[k] - (now * (self.m1[k] / (1 - 0.9**self.step)) / (np.sqrt(self.m2[k] / (1 - 0.99**self.step)) + 1e-8)).astype(np.float32)
+            begins = np.flatnonzero(np.diff(came[order], prepend=-1))
+            for part, of in (((0, 2 * HIDDEN), by_gate[: 2 * HIDDEN]), ((2 * HIDDEN, 3 * HIDDEN), by_gate[3 * HIDDEN :])):
+                sums = np.add.reduceat(of.reshape(len(of), -1).take(order, axis=1, out=scratch("sorted", len(of), len(order)), mode="clip"), begins, axis=1)
+                grad["x"][came[order][begins], part[0] : part[1]] = sums.T
+            self._improve(gradient, spare, rate(low / len(y)))
+
+    def _improve(self, gradient: np.ndarray, spare: np.ndarray, rate: float) -> None:
+        """A step of Adam on all weights at once; a gradient longer than one is cut to that."""
+        w, m1, m2 = self._flat
+        np.multiply(gradient, gradient, out=spare)
+        cut = min(1.0, 1.0 / (float(np.sqrt(spare.sum())) + 1e-8))
+        self.step += 1
+        m1 *= 0.9
+        gradient *= 0.1 * cut
+        m1 += gradient
+        m2 *= 0.99
+        spare *= 0.01 * cut * cut
+        m2 += spare
+        np.multiply(m2, 1 / (1 - 0.99**self.step), out=spare)
+        np.sqrt(spare, out=spare)
+        spare += 1e-8
+        np.divide(m1, spare, out=spare)
+        spare *= rate / (1 - 0.9**self.step)
+        w -= spare
 
 
 def start(per_class: np.ndarray, per_slot: np.ndarray) -> dict[str, np.ndarray]:
@@ -494,18 +600,19 @@ def score(docs: DataFrame, model: Model, table: DataFrame, keys: tuple[str, ...]
         number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
         for batch in slices(batches, "text", SLICE):
             hashes, ending, offsets = tokens_of(words(texts(batch.column("text")), lower=True))
-            cls, slot = model.classes(hashes, ending)
-            u, same = np.unique(hashes, return_inverse=True)
+            u, one, same = np.unique(hashes, return_index=True, return_inverse=True)
+            u_cls, u_slot = model.classes(u, ending[one])
+            u_n = np.zeros(len(u), np.int64)
             if len(model.head):
                 at = np.minimum(np.searchsorted(model.head, u), len(model.head) - 1)
-                n_of = np.where(model.head[at] == u, model.n[at], 0)[same]
-            else:
-                n_of = np.zeros(len(hashes), np.int64)
+                np.copyto(u_n, model.n[at], where=model.head[at] == u)
+            u_base, u_unlisted = model.base(u_n), model.unlisted(u_cls, u_slot, u_n)
+            cls, slot, n_of = u_cls.astype(np.int16)[same], u_slot.astype(np.int16)[same], u_n[same]
             row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
             rest = np.flatnonzero(n_of == 0) if not model.complete else np.zeros(0, np.int64)
             inside = np.ones(len(hashes), bool)
             inside[rest] = False
-            add = lambda v: np.bincount(row, np.where(inside, v, 0.0), batch.num_rows)
+            add = lambda v: np.bincount(row, np.where(inside, v, 0.0) if len(rest) else v, batch.num_rows)
             network = np.bincount(row, log_probabilities(model.weights, cls, slot, offsets).astype(np.float64), batch.num_rows) / _LN10
             rest = rest[np.lexsort((hashes[rest], row[rest]))]
             first = np.flatnonzero(np.diff(row[rest], prepend=-1).astype(bool) | np.diff(hashes[rest], prepend=np.uint64(0)).astype(bool))
@@ -514,7 +621,7 @@ def score(docs: DataFrame, model: Model, table: DataFrame, keys: tuple[str, ...]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(number + np.arange(batch.num_rows)), *(batch.column(k) for k in keys), pa.array(np.diff(offsets)), pa.array(add(n_of > 0).astype(np.int64)),
-                    pa.array(add(model.base(n_of))), pa.array(network + add(model.unlisted(cls, slot, n_of))),
+                    pa.array(add(u_base[same])), pa.array(network + add(u_unlisted[same])),
                     pa.ListArray.from_arrays(cuts, pa.array(hashes[rest].view(np.int64))), pa.ListArray.from_arrays(cuts, pa.array(times.astype(np.int32))), pa.ListArray.from_arrays(cuts, pa.array(cls[rest].astype(np.int32))),
                 ],
                 names=["__row", *keys, "n_tokens", "__known", "__base", "score", "__words", "__times", "__classes"],

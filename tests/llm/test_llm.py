@@ -406,6 +406,40 @@ def test_gradients_of_the_network():
     assert inside.any()
 
 
+def test_network_is_that_of_plain_loops(monkeypatch):
+    """Log probabilities against one token after the other in double precision; several texts share a lane, in windows of which the last is short."""
+    rng = np.random.default_rng(6)
+    cls, slot, offsets = rng.integers(0, lm._CLASSES, 90), rng.integers(0, lm.IN_CLASS, 90), np.array([0, 0, 1, 30, 37, 80, 90])
+    w = {k: (v + rng.standard_normal(v.shape) * 0.3).astype(np.float32) for k, v in lm.initial().items()}
+    d = {k: v.astype(float) for k, v in w.items()}
+    want = []
+    for low, high in zip(offsets, offsets[1:]):
+        h, came = np.zeros(lm.HIDDEN), lm._CLASSES
+        for c, s in zip(cls[low:high], slot[low:high]):
+            g, gates = d["x"][came], h @ d["u"]
+            r, z = (1 / (1 + np.exp(-g[i : i + lm.HIDDEN] - gates[i : i + lm.HIDDEN])) for i in (0, lm.HIDDEN))
+            n = np.tanh(g[2 * lm.HIDDEN :] + r * (h @ d["un"] + d["bn"]))
+            h, came = n + z * (h - n), c
+            out = h @ d["v"] + d["c"]
+            want.append(out[c] - np.log(np.exp(out).sum()))
+            if c >= lm.SINGLE:
+                own = h @ d["s"][c - lm.SINGLE] + d["d"][c - lm.SINGLE]
+                want[-1] += own[s] - np.log(np.exp(own).sum())
+    monkeypatch.setattr(lm, "WINDOW", 7)
+    monkeypatch.setattr(lm, "LANES", 2)
+    assert np.allclose(lm.log_probabilities(w, cls, slot, offsets), want, atol=1e-4)
+
+
+def test_places_of_hashes_that_begin_alike():
+    rng = np.random.default_rng(7)
+    every = rng.integers(0, 1 << 20, 600, dtype=np.uint64) + (rng.integers(0, 40, 600, dtype=np.uint64) << np.uint64(48))
+    known = np.unique(np.concatenate([every[:300], rng.integers(0, 1 << 63, 900, dtype=np.uint64)]))
+    for some in (known, known[:1], every[:0]):
+        if len(some):
+            assert np.array_equal(some[lm._place(some, every)] == every, np.isin(every, some))
+            assert np.array_equal(lm._place(some, some), np.arange(len(some)))
+
+
 def test_the_network_learns_order_and_its_softmaxes_sum_to_one():
     other = lm.IN_CLASS - 1
     cls, slot, offsets = np.tile([3, 7, 50], 400), np.tile([other, other, 5], 400), np.array([0, 600, 1200])
